@@ -1,0 +1 @@
+"""No streaming operator is claimed: every input of this domain is a finished directory or table."""
