@@ -18,8 +18,10 @@ UNDETERMINED = "und"
 #: The sample of each language: at most SLOTS labelled texts, at most PIECE characters from the middle of each.
 SLOTS, PIECE = 256, 448
 LEVEL = 6
-#: A text is rejected if the best encoding is not smaller by this many bytes and by this share.
-MIN_MARGIN_BYTES, MIN_MARGIN_SHARE = 2, 0.002
+#: A text is encoded in pieces of this many bytes, each against the dictionary, so that all of a long text counts.
+CHUNK = 4096
+#: A text is rejected if the best encoding is not smaller by this many bytes.
+MIN_MARGIN_BYTES = 2
 
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -78,12 +80,13 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                     rows.append((UNDETERMINED, 0.0, 0, False))
                     continue
                 body = plain(text)
-                sizes = [len(c.compress(body)) for c in coders]
+                parts = [body[k : k + CHUNK] for k in range(0, len(body), CHUNK)]
+                sizes = [sum(len(c.compress(x)) for x in parts) for c in coders]
                 best = min(range(len(names)), key=lambda k: (sizes[k], k))
                 rest = [s for k, s in enumerate(sizes) if k != best]
                 margin = min(rest) - sizes[best]
                 score = 1.0 / (1.0 + sum(2.0 ** -min(500, s - sizes[best]) for s in rest))
-                rows.append((names[best], score, margin, margin >= MIN_MARGIN_BYTES and margin >= MIN_MARGIN_SHARE * min(rest)))
+                rows.append((names[best], score, margin, margin >= MIN_MARGIN_BYTES))
             yield pd.DataFrame(rows, columns=list(added))
 
     kept = [F.col(c) for c in docs.columns if c not in added]
