@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, licenses, mixing, quality, sharding
+from . import contamination, language, language_model, licenses, mixing, quality, sharding
 from .common import doc_remainder, read_table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs.select("doc_id", "text", (doc_remainder(5) == 0).alias("held_out")), dictionaries).drop("text")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), doc_remainder(10) != 0)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,5 +48,5 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op4_quality_rules, op6_decontaminate, op7_license_scan, op9_shard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op6_decontaminate, op7_license_scan, op9_shard)}
 ORACLE_SQL = {"op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle()}
