@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, language_model, licenses, mixing, quality, sharding
+from . import contamination, language, language_model, licenses, mixing, near_duplicates, quality, sharding
 from .common import doc_remainder, read_table
 
 
@@ -48,5 +48,9 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op6_decontaminate, op7_license_scan, op9_shard)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op6_decontaminate, op7_license_scan, op9_shard, op10_minhash_dedup)}
 ORACLE_SQL = {"op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle()}
