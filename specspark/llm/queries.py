@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, language_model, licenses, mixing, near_duplicates, quality, sharding, substring_dedup
+from . import contamination, language, language_model, licenses, mixing, near_duplicates, quality, sharding, substring_dedup, suffix_dedup
 from .common import doc_remainder, read_table
 
 
@@ -47,6 +47,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,5 +60,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op9_shard, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup)}
 ORACLE_SQL = {"op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle()}
