@@ -100,36 +100,40 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return [out[j] for j in range(1, shards)]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, columns: tuple[str, ...] = ()) -> DataFrame:
     """Every row of `docs(doc_id, text)` with its shard: sizes of the shards are near equal.
 
     Columns: doc_id, size (UTF-8 bytes + 1), text_crc32, shard (0..shards-1), slot (0.. without
     gaps within the shard). Null text counts as empty; null doc_id orders first. Repeated rows
     are rows of their own and get slots of their own. An empty table gives an empty result; a
-    text larger than a shard makes its shard larger. Other columns are ignored.
+    text larger than a shard makes its shard larger. `columns` of `docs` come along, all others
+    are ignored.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = written(
+    keyed = (
         docs.select(
             "doc_id",
+            *columns,
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
             F.xxhash64(body).alias("key"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("id"),
-        ),
-        "keys",
+        )
     )
+    rows = written(keyed.select("doc_id", "size", "text_crc32", "key", "id"), "keys")
     cuts = splitters(rows, shards, tolerance)
     number = F.lit(0)
     for key, id_ in cuts:
         number = number + F.when((F.col("key") > F.lit(key)) | ((F.col("key") == F.lit(key)) & (F.col("id") >= F.lit(id_))), 1).otherwise(0)
     blocks = max(1, rows.count() // BLOCK_ROWS)
-    placed = rows.withColumn("shard", number.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    number, block = number.cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
     before = (
-        placed.groupBy("shard", "block")
+        rows.select(number, block)
+        .groupBy("shard", "block")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n"))
         .drop("n")
     )
     line = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "key", "size")) - 1
-    return placed.join(before, ["shard", "block"]).withColumn("slot", (F.col("before") + line).cast("long")).select("doc_id", "size", "text_crc32", "shard", "slot")
+    placed = (keyed if columns else rows).select("*", number, block)
+    return placed.join(before, ["shard", "block"]).withColumn("slot", (F.col("before") + line).cast("long")).select("doc_id", *columns, "size", "text_crc32", "shard", "slot")
