@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jobs, tables
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return jobs.snv_pls_metrics(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(tables.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(tables.ORACLE)
