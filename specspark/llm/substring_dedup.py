@@ -44,13 +44,18 @@ def _window_table(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     return docs.join(ranges, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "window long, doc_id long, start int")
 
 
+def _repeated_cells(docs: DataFrame, length: int) -> DataFrame:
+    """Level one: cells whose anchor, of half the length, occurs in two documents."""
+    cells = written(cell_table(docs, _units, length, max(1, length // 2)), "cells")
+    again = cells.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("least < most")
+    return written(cells.join(again, "anchor").select("anchor", "body", "doc_id", "first", "last", "least", (F.col("b0") == F.col("b1")).alias("one")), "repeated")
+
+
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """(doc_id, start, stop), in words: stretches made of windows that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cells = written(cell_table(docs, _units, length, max(1, length // 2)), "cells")
-    again = cells.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("least < most")
-    level = written(cells.join(again, "anchor").select("anchor", "body", "doc_id", "first", "last", "least", (F.col("b0") == F.col("b1")).alias("one")), "repeated")
+    level = _repeated_cells(docs, length)
     release(spark)
     whole = F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     found = level.where("one and doc_id > least").select("doc_id", whole.alias("s"))
@@ -66,9 +71,10 @@ def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
     return found.unionByName(single)
 
 
-def longest_repeats(docs: DataFrame, spans: DataFrame, length: int = WORDS) -> DataFrame:
-    """(doc_id, start, length): windows of `length`, 2 * `length`, ... words of the spans that occur in two documents, at the largest length that survives for their start."""
-    level = written(spans.where(F.col("stop") - F.col("start") >= length), "spans")
+def longest_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
+    """(doc_id, start, length): starts of windows that occur in two documents, with the largest of `length`, 2 * `length`, ... words that survives there."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    level = _repeated_cells(docs, length).select("doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     out, size = None, length
     while level.head(1):
         ranges = level.select("doc_id", "start", (F.col("stop") - size + 1).alias("stop"))
