@@ -602,10 +602,10 @@ def emsc_train_ref(spark, sf_dir):
     picks as (select 0 as pick, [a] as chosen from start_ union all
       select pick + 1, list_append(chosen, (select a from (select a, min(d) as m from d where list_contains(picks.chosen, d.b) and not list_contains(picks.chosen, d.a) group by a) order by m desc, a limit 1)) from picks where pick + 1 < (select n_train from size_)),
     last_ as (select chosen from picks order by pick desc limit 1)
-    select distinct d.a as sample_id, case when list_contains(chosen, d.a) then 'train' else 'validation' end as part, list_position(chosen, d.a) - 1 as pick from d, last_""".replace("recursive_none as (select 1), ", "")
+    select distinct d.a as sample_id, case when list_contains(chosen, d.a) then 'train' else 'validation' end as part, coalesce(list_position(chosen, d.a) - 1, -1) as pick from d, last_""".replace("recursive_none as (select 1), ", "")
 )
 def spxy_split(spark, sf_dir):
-    return splits.spxy_split(sample_xy(spark, sf_dir)).select("sample_id", "part", F.col("pick").cast("int").alias("pick"))
+    return splits.spxy_split(sample_xy(spark, sf_dir)).select("sample_id", "part", F.coalesce(F.col("pick").cast("int"), F.lit(-1)).alias("pick"))
 
 
 ORACLE["spxy_split"] = ORACLE["spxy_split"].replace("\nwith v as", "\nwith recursive v as", 1)
