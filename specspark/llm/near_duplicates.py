@@ -9,6 +9,8 @@ order and with the document that follows the most common byte at each depth, the
 original of a group of copies. A comparison of signatures leaves pairs that may be similar
 enough; these are confirmed on the full shingle sets, first one promising partner for each
 document, then what could still join different components, until no such pair is left.
+Documents of split regions are then compared with all of WIDE documents to either side that
+are still in another component, which finds the copies that resemble few others of a group.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import Words, mix64, release, signed, text_steps, window_hashes, wr
 from .components import components
 
 SIGNATURE, TREES, BASE_DEPTH, DEPTH = 128, 16, 4, 16
-REGION, NEIGHBOURS = 32, 4
+REGION, NEIGHBOURS, WIDE = 16, 2, 512
 #: Signatures agree in at least this share of bytes for a pair to be confirmed: 0.8 less 3.5 standard errors.
 MARGIN = 0.12
 #: Partners that each document tries per round; in the last round, all.
@@ -111,13 +113,16 @@ def _labels(batches):
         )
 
 
-def _similar_in_order(tree, label, v, s, least: int) -> list[np.ndarray]:
-    """Pairs (a, b, agreeing bytes) among rows that lie in one sorted order of signatures."""
+def _similar_in_order(tree, label, v, s, part, least: int, apart: bool) -> list[np.ndarray]:
+    """Pairs (a, b, agreeing bytes) among rows that lie in one sorted order of signatures.
+
+    `apart`: only the wide comparison of large regions, between rows of different parts.
+    """
     n, found = len(v), []
 
     def compare(i, j):
         same = (s[i] == s[j]).sum(axis=1)
-        ok = (same >= least) & (v[i] != v[j])
+        ok = (same >= least) & (part[i] != part[j])
         if ok.any():
             a, b = v[i[ok]], v[j[ok]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b), same[ok]]))
@@ -133,6 +138,13 @@ def _similar_in_order(tree, label, v, s, least: int) -> list[np.ndarray]:
         sizes = np.diff(np.concatenate([starts, [n]]))
         for lo, size in zip(starts[sizes > REGION], sizes[sizes > REGION], strict=True):
             hi, a, b = lo + size, lo, lo + size
+            if apart:
+                for c in range(lo, hi, 64):
+                    own, near = np.arange(c, min(c + 64, hi)), np.arange(c, min(hi, c + 64 + WIDE))
+                    i, j = np.nonzero(part[own][:, None] != part[near][None, :])
+                    for k in range(0, len(i), 1 << 16):
+                        compare(own[i[k : k + (1 << 16)]], near[j[k : k + (1 << 16)]])
+                continue
             for d in range(depth - 1, DEPTH):  # follow the most common byte
                 heads = np.concatenate([[a], np.flatnonzero(shared[a + 1 : b] <= d) + a + 1, [b]])
                 k = np.diff(heads).argmax()
@@ -145,6 +157,8 @@ def _similar_in_order(tree, label, v, s, least: int) -> list[np.ndarray]:
                 cut[lo + 1 : hi] |= shared[lo + 1 : hi] < depth
             else:  # equal labels
                 cut[lo:hi:REGION] = True
+        if apart:
+            return found
     region = np.cumsum(cut)
     for k in range(1, min(REGION, n)):
         i = np.flatnonzero(region[k:] == region[:-k])
@@ -154,13 +168,21 @@ def _similar_in_order(tree, label, v, s, least: int) -> list[np.ndarray]:
     return found
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b, same), a < b, of `reps(v, signature)` whose signatures agree in enough bytes."""
-    least = int(np.ceil((threshold - MARGIN) * SIGNATURE))
+def forest(reps: DataFrame) -> DataFrame:
+    """(tree, label, v, signature) of the `reps(v, signature)` that share their first bytes with another, tree by tree."""
     places = written(reps.select("v", "signature").mapInArrow(_trees, "place long, v long"), "places")
     shared = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place")
     kept = places.join(shared, "place").groupBy("v").agg(F.collect_list(F.shiftright("place", 8 * BASE_DEPTH).cast("int")).alias("trees"))
-    rows = written(reps.select("v", "signature").join(kept, "v").mapInArrow(_labels, "tree int, label binary, v long, signature binary"), "labels")
+    return reps.select("v", "signature").join(kept, "v").mapInArrow(_labels, "tree int, label binary, v long, signature binary")
+
+
+def candidates(rows: DataFrame, threshold: float, parts: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b, same), a < b, of `forest` rows whose signatures agree in enough bytes.
+
+    With `parts(v, c)`, only those pairs of large regions that lie in different parts.
+    """
+    least, apart = int(np.ceil((threshold - MARGIN) * SIGNATURE)), parts is not None
+    rows = rows.join(parts, "v", "left").withColumn("c", F.coalesce("c", "v")) if apart else rows.withColumn("c", F.col("v"))
 
     def search(batches):
         carried = None
@@ -168,17 +190,17 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
             tree = batch.column(0).to_numpy()
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, DEPTH)
             s = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-            part = (tree, label, batch.column(2).to_numpy(), s)
+            part = (tree, label, batch.column(2).to_numpy(), s, batch.column(4).to_numpy())
             if carried is not None:
                 part = tuple(np.concatenate(x) for x in zip(carried, part, strict=True))
-            carried = tuple(x[-REGION:] for x in part)
-            found = _similar_in_order(*part, least)
+            carried = tuple(x[-WIDE:] for x in part)
+            found = _similar_in_order(*part, least, apart)
             if found:
                 a, b, same = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], names=["a", "b", "same"])
 
-    parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "tree", "label", "v").sortWithinPartitions("tree", "label", "v")
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.select("tree", "label", "v", "signature", "c").repartitionByRange(tasks, "tree", "label", "v").sortWithinPartitions("tree", "label", "v")
     return ordered.mapInArrow(search, "a long, b long, same long").distinct()
 
 
@@ -208,43 +230,52 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 cuts = np.searchsorted(row, np.arange(step.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([step.column(0), pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["v", "shingles"])
 
-    return docs.select(F.col("doc_id").alias("v"), "text").join(wanted, "v", "left_semi").mapInArrow(run, "v long, shingles binary")
+    return docs.select(F.col("doc_id").alias("v"), "text").join(wanted.hint("merge"), "v", "left_semi").mapInArrow(run, "v long, shingles binary")
 
 
 def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """(v, c) for the representatives that have a confirmed link; None without any candidate."""
     spark = docs.sparkSession
-    pairs = written(candidates(reps, percent / 100), "candidates")
+    rows = written(forest(reps), "labels")
+    pairs = written(candidates(rows, percent / 100), "candidates")
     release(spark)
-    if not pairs.head(1):
-        return None
-    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "same").unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "same"))
-    degree = both.groupBy("v").agg(F.count("*").alias("degree"))
+    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree")), "degree")
     sets = written(_sets(docs, degree.select("v"), size).dropDuplicates(["v"]), "sets")
     release(spark)
-    left = written(both.join(degree.select(F.col("v").alias("u"), "degree"), "u").select("v", "u", (F.col("same") >= percent * SIGNATURE / 100).alias("likely"), "degree", "same"), "pairs")
+    of = lambda table, column, name: table.select(F.col("v").alias(name), F.col(column).alias(f"{column}_{name}"))
+    left = written(pairs.join(of(degree, "degree", "a"), "a").join(of(degree, "degree", "b"), "b"), "pairs")
     links, found = None, None
-    for tries in ROUNDS:
-        rank = F.struct("likely", "degree", "same", "u")
+    for tries in ROUNDS if left.head(1) else ():
+        likely = (F.col("same") >= percent * SIGNATURE / 100).alias("likely")
+        ways = left.select(F.col("a").alias("v"), F.struct(likely, F.col("degree_b").alias("degree"), "same", F.col("b").alias("u")).alias("r")).unionByName(
+            left.select(F.col("b").alias("v"), F.struct(likely, F.col("degree_a").alias("degree"), "same", F.col("a").alias("u")).alias("r"))
+        )
         if tries is None:
-            chosen = left.select("v", "u")
-        elif tries == 1:
-            chosen = left.groupBy("v").agg(F.max(rank).alias("r")).select("v", "r.u")
+            chosen = left.select("a", "b")
         else:  # `tries` partners of each document, one for each residue of the partner's hash
-            chosen = left.groupBy("v", F.pmod(F.xxhash64("u"), F.lit(tries)).alias("k")).agg(F.max(rank).alias("r")).select("v", "r.u")
-        chosen = chosen.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
+            best = ways.groupBy("v", F.pmod(F.xxhash64("r.u"), F.lit(tries)).alias("k")).agg(F.max("r").alias("r"))
+            chosen = best.select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
+        chosen = written(chosen, "chosen")
         new = written(confirm(chosen, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         if links.head(1):
             found = components(links)
-            of = lambda name: found.select(F.col("v").alias(name), F.col("c").alias(f"c_{name}"))  # noqa: E731, B023
-            left = left.join(of("v"), "v", "left").join(of("u"), "u", "left")
-            left = left.where(F.coalesce("c_v", "v") != F.coalesce("c_u", "u")).drop("c_v", "c_u")
+            left = left.join(of(found, "c", "a"), "a", "left").join(of(found, "c", "b"), "b", "left")
+            left = left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
         if tries is not None:
-            left = written(left.join(chosen.select(F.col("a").alias("v"), F.col("b").alias("u")), ["v", "u"], "left_anti").join(chosen.select(F.col("b").alias("v"), F.col("a").alias("u")), ["v", "u"], "left_anti"), "left")
+            left = written(left.join(chosen, ["a", "b"], "left_anti"), "left")
             if not left.head(1):
                 break
         release(spark)
+    rest = written(candidates(rows, percent / 100, found if found is not None else degree.select("v", F.col("v").alias("c"))).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if rest.head(1):
+        new = rest.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(degree, "v", "left_anti")
+        if new.head(1):
+            sets = sets.unionByName(written(_sets(docs, new, size).dropDuplicates(["v"]), "sets"))
+        more = written(confirm(rest.select("a", "b"), sets, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        if links.head(1):
+            found = components(links)
     return found
 
 
