@@ -6,17 +6,20 @@ signatures by bytes of its own choice. Documents that share the first BASE_DEPTH
 order are compared; where more than REGION documents share them the region is split by further
 bytes (adaptive depth), and there every document is also compared with its neighbours in the
 order and with the document that follows the most common byte at each depth, the likely
-original of a group of copies. A comparison of signatures leaves pairs that may be similar
-enough; these are confirmed on the full shingle sets, first one promising partner for each
-document, then what could still join different components, until no such pair is left.
-Documents of split regions are then compared with all of WIDE documents to either side that
-are still in another component, which finds the copies that resemble few others of a group.
+original of a group of copies; of all these the partner most alike goes on. A comparison of
+signatures leaves pairs that may be similar enough; these are confirmed on the full shingle
+sets, first one promising partner for each document, then what could still join different
+components, until no such pair is left. Documents of split regions are then compared, on
+longer sketches, with those likely originals and with all of WIDE documents to either side
+that are still in another component: that covers every pair left out before and finds the
+copies that resemble few others of a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +30,17 @@ SIGNATURE, TREES, BASE_DEPTH, DEPTH = 128, 16, 4, 16
 REGION, NEIGHBOURS, WIDE = 16, 2, 512
 #: Signatures agree in at least this share of bytes for a pair to be confirmed: 0.8 less 3.5 standard errors.
 MARGIN = 0.12
+#: The wide comparison takes two bits of each of SKETCH minimum hashes: less than half of a signature's standard error.
+SKETCH, ERRORS = 1024, 3.5
+#: Shingles that one vectorised step of the sketches takes; a longer set is a step of its own.
+SKETCH_STEP = 1 << 19
 #: Partners that each document tries per round; in the last round, all.
 ROUNDS = (1, 8, None)
 
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(1, 1 << 31, SIGNATURE, dtype=np.int64).astype(np.uint32) * np.uint32(2)) + np.uint32(1)
 _ORDERS = np.stack([_random.permutation(SIGNATURE)[:DEPTH] for _ in range(TREES)])
+_SKETCH_FACTORS = (_random.integers(1, 1 << 31, SKETCH, dtype=np.int64).astype(np.uint32) * np.uint32(2)) + np.uint32(1)
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +75,28 @@ def _signatures(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketches(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two bits per minimum hash, for sets that begin at `starts`: all first bits, then all second bits."""
+    out = np.empty((len(starts), 2, SKETCH), np.uint8)
+    x = (value >> np.uint64(32)).astype(np.uint32)
+    for k, factor in enumerate(_SKETCH_FACTORS):
+        two = (np.minimum.reduceat(x * factor, starts) * np.uint32(0x9E3779B1)) >> np.uint32(30)
+        out[:, 0, k], out[:, 1, k] = two & np.uint32(1), two >> np.uint32(1)
+    return np.packbits(out.reshape(len(starts), -1), axis=1)
+
+
+def _same_bytes(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bytes of signatures i and j agree."""
+    return (s[i] == s[j]).sum(axis=1)
+
+
+def _same_pairs_of_bits(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many minimum hashes of sketches i and j agree in both bits."""
+    differ = s.view(np.uint64)[i] ^ s.view(np.uint64)[j]
+    half = differ.shape[1] // 2
+    return SKETCH - np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1, dtype=np.int64)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, signature) of each row of `docs(doc_id, text)`; empty sets have null keys."""
 
@@ -100,107 +130,125 @@ def _trees(batches):
 
 
 def _labels(batches):
-    """(tree, label, v, signature) of each signature in each tree where it shares its first bytes."""
+    """(tree, label, v, signature, wide) of each signature in each tree where it shares its first bytes."""
     for batch in batches:
         s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
         trees = batch.column(2)
         row = np.repeat(np.arange(len(s)), trees.value_lengths().to_numpy())
-        tree = trees.flatten().to_numpy()
+        tree = trees.flatten().field("tree").to_numpy()
         label = s[row[:, None], _ORDERS[tree]]
         take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tree), pa.array([x.tobytes() for x in label], pa.binary()), batch.column(0).take(take), batch.column(1).take(take)], names=["tree", "label", "v", "signature"]
-        )
+        columns = [pa.array(tree), pa.array([x.tobytes() for x in label], pa.binary()), batch.column(0).take(take), batch.column(1).take(take), trees.flatten().field("wide")]
+        yield pa.RecordBatch.from_arrays(columns, names=["tree", "label", "v", "signature", "wide"])
 
 
 def _similar_in_order(tree, label, v, s, part, least: int, apart: bool) -> list[np.ndarray]:
-    """Pairs (a, b, agreeing bytes) among rows that lie in one sorted order of signatures.
+    """Pairs (a, b, how many minimum hashes agree) among rows that lie in one sorted order of signatures.
 
-    `apart`: only the wide comparison of large regions, between rows of different parts.
+    In large regions a row keeps the most alike of the few rows it is compared with. `apart`:
+    only the wide comparison of large regions, on sketches, between rows of different parts.
     """
-    n, found = len(v), []
-
-    def compare(i, j):
-        same = (s[i] == s[j]).sum(axis=1)
-        ok = (same >= least) & (part[i] != part[j])
-        if ok.any():
-            a, b = v[i[ok]], v[j[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), same[ok]]))
+    n, found, few = len(v), [], []
+    agree = _same_pairs_of_bits if apart else _same_bytes
+
+    def compare(i, j, into):
+        other = part[i] != part[j]
+        i, j = i[other], j[other]
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            same = agree(s, x, y)
+            ok = same >= least
+            if ok.any():
+                into.append(np.stack([x[ok], y[ok], same[ok]]))
 
     shared = np.zeros(n, np.int64)  # bytes shared with the row before
     if n > 1:
         differ = label[1:] != label[:-1]
         shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), DEPTH)
         shared[1:][tree[1:] != tree[:-1]] = 0
-    cut = shared < BASE_DEPTH
+    cut, large = shared < BASE_DEPTH, np.zeros(n, bool)
     for depth in range(BASE_DEPTH + 1, DEPTH + 2):
         starts = np.flatnonzero(cut)
         sizes = np.diff(np.concatenate([starts, [n]]))
         for lo, size in zip(starts[sizes > REGION], sizes[sizes > REGION], strict=True):
             hi, a, b = lo + size, lo, lo + size
-            if apart:
-                for c in range(lo, hi, 64):
-                    own, near = np.arange(c, min(c + 64, hi)), np.arange(c, min(hi, c + 64 + WIDE))
-                    i, j = np.nonzero(part[own][:, None] != part[near][None, :])
-                    for k in range(0, len(i), 1 << 16):
-                        compare(own[i[k : k + (1 << 16)]], near[j[k : k + (1 << 16)]])
-                continue
+            large[lo:hi] = True
             for d in range(depth - 1, DEPTH):  # follow the most common byte
                 heads = np.concatenate([[a], np.flatnonzero(shared[a + 1 : b] <= d) + a + 1, [b]])
                 k = np.diff(heads).argmax()
                 a, b = heads[k], heads[k + 1]
             i = np.arange(lo, hi)
-            compare(i, np.full(size, a))
-            for k in range(1, NEIGHBOURS + 1):
-                compare(i[:-k], i[k:])
+            compare(i, np.full(size, a), few)
+            if not apart:
+                for k in range(1, NEIGHBOURS + 1):
+                    compare(i[:-k], i[k:], few)
+            elif depth == BASE_DEPTH + 1:
+                for c in range(lo, hi, 64):
+                    own, near = np.arange(c, min(c + 64, hi)), np.arange(c, min(hi, c + 64 + WIDE))
+                    i, j = np.nonzero(part[own][:, None] != part[near][None, :])
+                    compare(own[i], near[j], found)
             if depth <= DEPTH:
                 cut[lo + 1 : hi] |= shared[lo + 1 : hi] < depth
             else:  # equal labels
                 cut[lo:hi:REGION] = True
-        if apart:
-            return found
-    region = np.cumsum(cut)
-    for k in range(1, min(REGION, n)):
-        i = np.flatnonzero(region[k:] == region[:-k])
-        if not len(i):
-            break
-        compare(i, i + k)
-    return found
+    if not apart:
+        region = np.cumsum(cut)
+        for k in range(1, min(REGION, n)):
+            i = np.flatnonzero(region[k:] == region[:-k])
+            if not len(i):
+                break
+            for rows, into in ((i[~large[i]], found), (i[large[i]], few)):
+                compare(rows, rows + k, into)
+    if few and not apart:
+        i, j, same = np.concatenate(few, axis=1)
+        best = np.zeros(n, np.int64)
+        np.maximum.at(best, i, same)
+        np.maximum.at(best, j, same)
+        most = (same == best[i]) | (same == best[j])
+        few = [np.stack([i[most], j[most], same[most]])]
+    found += few
+    return [np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j]), same]) for i, j, same in found]
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """(tree, label, v, signature) of the `reps(v, signature)` that share their first bytes with another, tree by tree."""
+    """(tree, label, v, signature, wide) of the `reps(v, signature)` that share their first bytes with another, tree by tree.
+
+    wide: more than REGION share them.
+    """
     places = written(reps.select("v", "signature").mapInArrow(_trees, "place long, v long"), "places")
-    shared = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place")
-    kept = places.join(shared, "place").groupBy("v").agg(F.collect_list(F.shiftright("place", 8 * BASE_DEPTH).cast("int")).alias("trees"))
-    return reps.select("v", "signature").join(kept, "v").mapInArrow(_labels, "tree int, label binary, v long, signature binary")
+    shared = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place", (F.col("n") > REGION).alias("wide"))
+    at = F.struct(F.shiftright("place", 8 * BASE_DEPTH).cast("int").alias("tree"), "wide")
+    kept = places.join(shared, "place").groupBy("v").agg(F.collect_list(at).alias("trees"))
+    return reps.select("v", "signature").join(kept, "v").mapInArrow(_labels, "tree int, label binary, v long, signature binary, wide boolean")
 
 
-def candidates(rows: DataFrame, threshold: float, parts: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a, b, same), a < b, of `forest` rows whose signatures agree in enough bytes.
+def candidates(rows: DataFrame, least: int, apart: bool = False) -> DataFrame:
+    """Distinct pairs (a, b, same), a < b, of `rows(tree, label, v, signature)` that agree in at least `least` minimum hashes.
 
-    With `parts(v, c)`, only those pairs of large regions that lie in different parts.
+    `apart`: only pairs of large regions that lie in different parts, for
+    `rows(tree, label, v, sketch, part)`.
     """
-    least, apart = int(np.ceil((threshold - MARGIN) * SIGNATURE)), parts is not None
-    rows = rows.join(parts, "v", "left").withColumn("c", F.coalesce("c", "v")) if apart else rows.withColumn("c", F.col("v"))
+    sketch, part = ("sketch", "part") if apart else ("signature", "v")
 
     def search(batches):
         carried = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             tree = batch.column(0).to_numpy()
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, DEPTH)
-            s = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-            part = (tree, label, batch.column(2).to_numpy(), s, batch.column(4).to_numpy())
+            s = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(tree), -1)
+            rows = (tree, label, batch.column(2).to_numpy(), s, batch.column(4).to_numpy())
             if carried is not None:
-                part = tuple(np.concatenate(x) for x in zip(carried, part, strict=True))
-            carried = tuple(x[-WIDE:] for x in part)
-            found = _similar_in_order(*part, least, apart)
+                rows = tuple(np.concatenate(x) for x in zip(carried, rows, strict=True))
+            carried = tuple(x[-WIDE:] for x in rows)
+            found = _similar_in_order(*rows, least, apart)
             if found:
                 a, b, same = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], names=["a", "b", "same"])
 
     tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("tree", "label", "v", "signature", "c").repartitionByRange(tasks, "tree", "label", "v").sortWithinPartitions("tree", "label", "v")
+    ordered = rows.select("tree", "label", "v", sketch, F.col(part).alias("part")).repartitionByRange(tasks, "tree", "label", "v").sortWithinPartitions("tree", "label", "v")
     return ordered.mapInArrow(search, "a long, b long, same long").distinct()
 
 
@@ -223,24 +271,46 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(v, shingles, wide) of the texts named by `wanted(v, wide)`."""
+
     def run(batches):
         for batch in batches:
             for step in text_steps(batch):
                 value, row = shingle_sets(step.column(1), size)
                 cuts = np.searchsorted(row, np.arange(step.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([step.column(0), pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["v", "shingles"])
+                shingles = pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([step.column(0), shingles, step.column(2)], names=["v", "shingles", "wide"])
+
+    texts = docs.select(F.col("doc_id").alias("v"), "text").join(wanted.hint("merge"), "v").select("v", "text", "wide")
+    return texts.mapInArrow(run, "v long, shingles binary, wide boolean")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(v, sketch) of each of `sets(v, shingles)`, none of them empty."""
+
+    def run(batches):
+        for batch in batches:
+            lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            steps = np.cumsum(lengths) // SKETCH_STEP
+            for step in np.unique(steps):
+                at = np.flatnonzero(steps == step)
+                part = batch.slice(at[0], len(at))
+                value = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64)
+                starts = np.cumsum(lengths[at]) - lengths[at]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sketches(value, starts)], pa.binary())], names=["v", "sketch"])
 
-    return docs.select(F.col("doc_id").alias("v"), "text").join(wanted.hint("merge"), "v", "left_semi").mapInArrow(run, "v long, shingles binary")
+    return sets.select("v", "shingles").mapInArrow(run, "v long, sketch binary")
 
 
 def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """(v, c) for the representatives that have a confirmed link; None without any candidate."""
     spark = docs.sparkSession
     rows = written(forest(reps), "labels")
-    pairs = written(candidates(rows, percent / 100), "candidates")
+    pairs = written(candidates(rows, int(np.ceil((percent / 100 - MARGIN) * SIGNATURE))), "candidates")
     release(spark)
     degree = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree")), "degree")
-    sets = written(_sets(docs, degree.select("v"), size).dropDuplicates(["v"]), "sets")
+    wide = rows.where("wide").select("v", "wide").unionByName(degree.select("v", F.lit(False).alias("wide"))).groupBy("v").agg(F.max("wide").alias("wide"))
+    sets = written(_sets(docs, wide, size).dropDuplicates(["v"]), "sets")
     release(spark)
     of = lambda table, column, name: table.select(F.col("v").alias(name), F.col(column).alias(f"{column}_{name}"))
     left = written(pairs.join(of(degree, "degree", "a"), "a").join(of(degree, "degree", "b"), "b"), "pairs")
@@ -267,11 +337,12 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
             if not left.head(1):
                 break
         release(spark)
-    rest = written(candidates(rows, percent / 100, found if found is not None else degree.select("v", F.col("v").alias("c"))).join(pairs, ["a", "b"], "left_anti"), "rest")
+    agree = (1 + 3 * percent / 100) / 4  # by chance, one in four minimum hashes agrees in two bits
+    least = int(np.ceil(agree * SKETCH - ERRORS * np.sqrt(agree * (1 - agree) * SKETCH)))
+    parts = rows.where("wide").select("tree", "label", "v").join(sketches(sets.where("wide")), "v")
+    parts = parts.withColumn("part", F.col("v")) if found is None else parts.join(of(found, "c", "v"), "v", "left").withColumn("part", F.coalesce("c_v", "v"))
+    rest = written(candidates(parts, least, apart=True).join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.head(1):
-        new = rest.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(degree, "v", "left_anti")
-        if new.head(1):
-            sets = sets.unionByName(written(_sets(docs, new, size).dropDuplicates(["v"]), "sets"))
         more = written(confirm(rest.select("a", "b"), sets, percent), "links")
         links = more if links is None else links.unionByName(more)
         if links.head(1):

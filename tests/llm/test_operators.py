@@ -418,3 +418,15 @@ def test_components_of_a_long_path(spark):
 
 def test_digest_of_kept_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("shared", [0, 400, 700, 800, 950, 1000])
+def test_sketches_estimate_the_similarity(spark, shared):
+    rng = np.random.default_rng(shared)
+    draw = rng.integers(0, 1 << 63, 3000 - shared, dtype=np.int64).astype(np.uint64)
+    x, y = np.sort(draw[:1500]), np.sort(draw[1500 - shared : 3000 - shared])
+    got = near_duplicates.sketches(spark.createDataFrame([(1, bytearray(x.tobytes())), (2, bytearray(y.tobytes()))], "v long, shingles binary")).collect()
+    s = np.stack([np.frombuffer(bytes(r["sketch"]), np.uint8) for r in sorted(got)])
+    same = near_duplicates._same_pairs_of_bits(s, np.array([0]), np.array([1]))[0] / near_duplicates.SKETCH
+    agree = (1 + 3 * shared / (3000 - shared)) / 4
+    assert abs(same - agree) < 4 * np.sqrt(agree * (1 - agree) / near_duplicates.SKETCH) + 1e-9
