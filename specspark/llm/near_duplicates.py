@@ -10,9 +10,9 @@ original of a group of copies; of all these the partner most alike goes on. A co
 signatures leaves pairs that may be similar enough; these are confirmed on the full shingle
 sets, first one promising partner for each document, then what could still join different
 components, until no such pair is left. Documents of split regions are then compared, on
-longer sketches, with those likely originals and with all of WIDE documents to either side
-that are still in another component: that covers every pair left out before and finds the
-copies that resemble few others of a group.
+longer sketches, with the likely originals of the whole region, and after that block against
+block with all documents of the region that are still in another component: that covers every
+pair left out before, whatever batch or partition its documents came in.
 """
 
 from __future__ import annotations
@@ -27,15 +27,21 @@ from .common import Words, mix64, release, signed, text_steps, window_hashes, wr
 from .components import components
 
 SIGNATURE, TREES, BASE_DEPTH, DEPTH = 128, 16, 4, 16
-REGION, NEIGHBOURS, WIDE = 16, 2, 512
+REGION, NEIGHBOURS = 16, 2
+#: Rows carried from batch to batch of a sorted order: a region that is not split is met whole.
+CARRIED = 64
+#: Rows of a block of a split region.
+BLOCK = 1024
 #: Signatures agree in at least this share of bytes for a pair to be confirmed: 0.8 less 3.5 standard errors.
 MARGIN = 0.12
-#: The wide comparison takes two bits of each of SKETCH minimum hashes: less than half of a signature's standard error.
+#: The comparison of split regions takes two bits of each of SKETCH minimum hashes: less than half of a signature's standard error.
 SKETCH, ERRORS = 1024, 3.5
 #: Shingles that one vectorised step of the sketches takes; a longer set is a step of its own.
 SKETCH_STEP = 1 << 19
 #: Partners that each document tries per round; in the last round, all.
 ROUNDS = (1, 8, None)
+#: The same for each row of a pair of blocks; a region comes again while some of its pairs are left out.
+BLOCK_ROUNDS = (1, 16, None)
 
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(1, 1 << 31, SIGNATURE, dtype=np.int64).astype(np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -142,21 +148,19 @@ def _labels(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["tree", "label", "v", "signature", "wide"])
 
 
-def _similar_in_order(tree, label, v, s, part, least: int, apart: bool) -> list[np.ndarray]:
+def _similar_in_order(tree, label, v, s, least: int) -> list[np.ndarray]:
     """Pairs (a, b, how many minimum hashes agree) among rows that lie in one sorted order of signatures.
 
-    In large regions a row keeps the most alike of the few rows it is compared with. `apart`:
-    only the wide comparison of large regions, on sketches, between rows of different parts.
+    In large regions a row keeps the most alike of the few rows it is compared with.
     """
     n, found, few = len(v), [], []
-    agree = _same_pairs_of_bits if apart else _same_bytes
 
     def compare(i, j, into):
-        other = part[i] != part[j]
+        other = v[i] != v[j]
         i, j = i[other], j[other]
         for k in range(0, len(i), 1 << 16):
             x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            same = agree(s, x, y)
+            same = _same_bytes(s, x, y)
             ok = same >= least
             if ok.any():
                 into.append(np.stack([x[ok], y[ok], same[ok]]))
@@ -179,27 +183,20 @@ def _similar_in_order(tree, label, v, s, part, least: int, apart: bool) -> list[
                 a, b = heads[k], heads[k + 1]
             i = np.arange(lo, hi)
             compare(i, np.full(size, a), few)
-            if not apart:
-                for k in range(1, NEIGHBOURS + 1):
-                    compare(i[:-k], i[k:], few)
-            elif depth == BASE_DEPTH + 1:
-                for c in range(lo, hi, 64):
-                    own, near = np.arange(c, min(c + 64, hi)), np.arange(c, min(hi, c + 64 + WIDE))
-                    i, j = np.nonzero(part[own][:, None] != part[near][None, :])
-                    compare(own[i], near[j], found)
+            for k in range(1, NEIGHBOURS + 1):
+                compare(i[:-k], i[k:], few)
             if depth <= DEPTH:
                 cut[lo + 1 : hi] |= shared[lo + 1 : hi] < depth
             else:  # equal labels
                 cut[lo:hi:REGION] = True
-    if not apart:
-        region = np.cumsum(cut)
-        for k in range(1, min(REGION, n)):
-            i = np.flatnonzero(region[k:] == region[:-k])
-            if not len(i):
-                break
-            for rows, into in ((i[~large[i]], found), (i[large[i]], few)):
-                compare(rows, rows + k, into)
-    if few and not apart:
+    region = np.cumsum(cut)
+    for k in range(1, min(REGION, n)):
+        i = np.flatnonzero(region[k:] == region[:-k])
+        if not len(i):
+            break
+        for rows, into in ((i[~large[i]], found), (i[large[i]], few)):
+            compare(rows, rows + k, into)
+    if few:
         i, j, same = np.concatenate(few, axis=1)
         best = np.zeros(n, np.int64)
         np.maximum.at(best, i, same)
@@ -222,13 +219,11 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("v", "signature").join(kept, "v").mapInArrow(_labels, "tree int, label binary, v long, signature binary, wide boolean")
 
 
-def candidates(rows: DataFrame, least: int, apart: bool = False) -> DataFrame:
-    """Distinct pairs (a, b, same), a < b, of `rows(tree, label, v, signature)` that agree in at least `least` minimum hashes.
+def candidates(rows: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs (a, b, same), a < b, of `rows(tree, label, v, signature, wide)` that agree in at least `least` minimum hashes.
 
-    `apart`: only pairs of large regions that lie in different parts, for
-    `rows(tree, label, v, sketch, part)`.
+    Regions that are not split lie in one partition each.
     """
-    sketch, part = ("sketch", "part") if apart else ("signature", "v")
 
     def search(batches):
         carried = None
@@ -238,20 +233,131 @@ def candidates(rows: DataFrame, least: int, apart: bool = False) -> DataFrame:
             tree = batch.column(0).to_numpy()
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, DEPTH)
             s = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(tree), -1)
-            rows = (tree, label, batch.column(2).to_numpy(), s, batch.column(4).to_numpy())
+            rows = (tree, label, batch.column(2).to_numpy(), s)
             if carried is not None:
                 rows = tuple(np.concatenate(x) for x in zip(carried, rows, strict=True))
-            carried = tuple(x[-WIDE:] for x in rows)
-            found = _similar_in_order(*rows, least, apart)
+            carried = tuple(x[-CARRIED:] for x in rows)
+            found = _similar_in_order(*rows, least)
             if found:
                 a, b, same = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], names=["a", "b", "same"])
 
     tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("tree", "label", "v", sketch, F.col(part).alias("part")).repartitionByRange(tasks, "tree", "label", "v").sortWithinPartitions("tree", "label", "v")
+    places = ["tree", F.substring("label", 1, BASE_DEPTH), F.when(F.col("wide"), F.col("label")), F.when(F.col("wide"), F.col("v"))]
+    ordered = rows.select("tree", "label", "v", "signature", "wide").repartitionByRange(tasks, *places).sortWithinPartitions("tree", "label", "v")
     return ordered.mapInArrow(search, "a long, b long, same long").distinct()
 
 
+def originals(rows: DataFrame) -> DataFrame:
+    """Distinct (v, u), v <> u: rows of `rows(tree, label, v)` and the likely originals of all regions that hold them.
+
+    The likely original of more than REGION rows that share first bytes has their most common label.
+    """
+    labels = written(rows.groupBy("tree", "label").agg(F.count("*").alias("n"), F.min("v").alias("u")), "common")
+    prefix = F.explode(F.expr(f"transform(sequence({BASE_DEPTH}, {DEPTH}), d -> substring(label, 1, d))")).alias("prefix")
+    within = labels.select("tree", "label", "n", "u", prefix)
+    first = within.groupBy("tree", "prefix").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "u")).alias("most")).where(F.col("rows") > REGION)
+    of_label = within.select("tree", "label", "prefix").join(first.select("tree", "prefix", F.col("most.u").alias("u")), ["tree", "prefix"]).select("tree", "label", "u").distinct()
+    return rows.join(of_label, ["tree", "label"]).where("v <> u").select("v", "u").distinct()
+
+
+def alike(pairs: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
+    """(v, u, same) of the `pairs(v, u)` whose sketches `sketched(v, sketch)` agree in at least `least` minimum hashes."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            s = np.frombuffer(b"".join(batch.column(2).to_pylist() + batch.column(3).to_pylist()), np.uint8).reshape(2 * n, -1) if n else np.zeros((0, SKETCH // 4), np.uint8)
+            same = _same_pairs_of_bits(s, np.arange(n), np.arange(n, 2 * n))
+            at = pa.array(np.flatnonzero(same >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(same).take(at)], names=["v", "u", "same"])
+
+    second = sketched.select(F.col("v").alias("u"), F.col("sketch").alias("other"))
+    return pairs.join(sketched, "v").join(second, "u").select("v", "u", "sketch", "other").mapInArrow(run, "v long, u long, same long")
+
+
+def _similar_in_blocks(v, s, part, left, least: int, tries: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a, b) of different parts between the `left` rows and the others, or among all if all are left.
+
+    With `tries`, only those most alike of each row; the last value tells whether there are more.
+    """
+    own, others = np.flatnonzero(left), np.flatnonzero(~left)
+    alone, found = not len(others), []
+    if alone:
+        others = own
+    for k in range(0, len(own), 32):
+        i, j = np.nonzero(part[own[k : k + 32]][:, None] != part[others][None, :])
+        i = i + k
+        if alone:
+            i, j = i[i < j], j[i < j]
+        i, j = own[i], others[j]
+        same = _same_pairs_of_bits(s, i, j)
+        ok = same >= least
+        if ok.any():
+            found.append(np.stack([i[ok], j[ok], same[ok]]))
+    if not found:
+        return v[:0], v[:0], False
+    i, j, same = np.concatenate(found, axis=1)
+    keep = np.ones(len(i), bool)
+    if tries is not None:
+        keep[:] = False
+        for x in (i, j):
+            order = np.lexsort((-same, x))
+            first = np.searchsorted(x[order], x[order])
+            keep[order[np.arange(len(x)) - first < tries]] = True
+    return np.minimum(v[i], v[j])[keep], np.maximum(v[i], v[j])[keep], not keep.all()
+
+
+def blocks_apart(members: DataFrame, sketched: DataFrame, least: int, tries: int | None) -> DataFrame:
+    """(a, b, place): pairs alike among the rows of each place of `members(place, v, part)` that have different parts.
+
+    Rows are dealt by hash to blocks of about BLOCK rows, a part of more than BLOCK rows to
+    blocks of its own, and each pair of blocks that can hold different parts goes to one task
+    as copies. A row with null a and b names a place where `tries` left out pairs.
+    """
+
+    def search(batches):
+        def pairs(table):
+            s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            v, part, left = (table.column(c).to_numpy() for c in ("v", "part", "left"))
+            a, b, more = _similar_in_blocks(v, s, part, left, least, tries)
+            places = np.unique(table.column("place").to_numpy()) if more else np.zeros(0, np.int64)
+            none = pa.nulls(len(places), pa.int64())
+            columns = [pa.concat_arrays([pa.array(a, pa.int64()), none]), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(places)])]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "place"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            pair = table.column("pair").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pairs(table.slice(lo, hi - lo))
+            held = table.slice(cuts[-1])
+        if held is not None:
+            yield pairs(held)
+
+    sizes = members.groupBy("place", "part").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("place").agg(F.count("*").alias("parts")).where("parts > 1").select("place")
+    sizes = written(sizes.join(several, "place").select("place", "part", "n", (F.col("n") > BLOCK).alias("heavy")), "sizes")
+    group = F.when(F.col("heavy"), F.col("part"))
+    groups = sizes.groupBy("place", group.alias("g")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    groups = written(groups.select("place", F.col("g").isNull().alias("light"), F.coalesce("g", F.lit(0).cast("long")).alias("g"), "blocks"), "groups")
+    block = F.struct("light", "g", "k")
+    blocks = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = blocks.select("place", block.alias("x")).join(blocks.select("place", block.alias("y")), "place")
+    both = both.where("x <= y and (x.light or y.light or x.g <> y.g)").withColumn("pair", F.xxhash64("place", "x", "y"))
+    sides = both.select("place", F.col("x").alias("block"), "pair", F.lit(True).alias("left")).unionByName(both.where("x <> y").select("place", F.col("y").alias("block"), "pair", F.lit(False).alias("left")))
+    dealt = members.join(sizes.select("place", "part", (~F.col("heavy")).alias("light"), F.coalesce(group, F.lit(0).cast("long")).alias("g")), ["place", "part"]).join(groups, ["place", "light", "g"])
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("place", block.alias("block"), "v", "part")
+    tasks = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    copies = dealt.join(sides, ["place", "block"]).select("pair", "place", "left", "v", "part").join(sketched, "v")
+    return copies.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(search, "a long, b long, place long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets `sets(v, shingles)` have 100 * intersection >= percent * union."""
 
@@ -339,14 +445,42 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         release(spark)
     agree = (1 + 3 * percent / 100) / 4  # by chance, one in four minimum hashes agrees in two bits
     least = int(np.ceil(agree * SKETCH - ERRORS * np.sqrt(agree * (1 - agree) * SKETCH)))
-    parts = rows.where("wide").select("tree", "label", "v").join(sketches(sets.where("wide")), "v")
-    parts = parts.withColumn("part", F.col("v")) if found is None else parts.join(of(found, "c", "v"), "v", "left").withColumn("part", F.coalesce("c_v", "v"))
-    rest = written(candidates(parts, least, apart=True).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if rest.head(1):
-        more = written(confirm(rest.select("a", "b"), sets, percent), "links")
-        links = more if links is None else links.unionByName(more)
-        if links.head(1):
-            found = components(links)
+    split = rows.where("wide").select("tree", "label", "v")
+    if not split.head(1):
+        return found
+    sketched = written(sketches(sets.where("wide")), "sketches")
+
+    def in_parts(table, *names):
+        for name in names:
+            table = table.withColumn(f"part_{name}", F.col(name)) if found is None else table.join(of(found, "c", name), name, "left").withColumn(f"part_{name}", F.coalesce(f"c_{name}", name)).drop(f"c_{name}")
+        return table
+
+    def linked(chosen):
+        new = written(confirm(chosen, sets, percent), "links")
+        if not new.head(1):
+            return links, found
+        all_links = new if links is None else links.unionByName(new)
+        return all_links, components(all_links)
+
+    first = alike(in_parts(originals(split), "v", "u").where("part_v <> part_u").select("v", "u"), sketched, least)
+    best = first.groupBy("v").agg(F.max(F.struct("same", "u")).alias("r")).select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
+    chosen = written(best.join(pairs, ["a", "b"], "left_anti"), "chosen")
+    links, found = linked(chosen)
+    tried = pairs.select("a", "b").unionByName(chosen)
+    release(spark)
+    place = F.shiftleft(F.col("tree").cast("long"), 8 * BASE_DEPTH) + F.conv(F.hex(F.substring("label", 1, BASE_DEPTH)), 16, 10).cast("long")
+    members = written(split.select(place.alias("place"), "v"), "members")
+    for tries in BLOCK_ROUNDS:
+        search = written(blocks_apart(in_parts(members, "v").withColumnRenamed("part_v", "part"), sketched, least, tries), "apart")
+        rest = written(search.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        release(spark)
+        if rest.head(1):
+            links, found = linked(rest)
+            tried = tried.unionByName(rest)
+        again = search.where("a is null").select("place").distinct()
+        if not again.head(1):
+            break
+        members = written(members.join(again, "place", "left_semi"), "members")
     return found
 
 

@@ -403,6 +403,28 @@ def test_near_duplicates_with_a_large_group(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_near_duplicates_that_resemble_only_the_original(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "WIDE", 8, raising=False)  # the window before there were blocks
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = {500: " ".join(base)}
+    for i in range(400):
+        w = list(base)
+        for k in rng.choice(37, 7, replace=False):
+            w[8 * k + 4] = f"x{i}_{k}"
+        rows[i] = " ".join(w)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        for k, n in zip(old, (20, 7), strict=True):
+            spark.conf.set(k, n)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(table(spark, [(d, t, "en", "s") for d, t in rows.items()]), 4).collect()}
+    finally:
+        for k, n in old.items():
+            spark.conf.set(k, n)
+    assert got == brute_components(rows, 4, 80)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_duplicates.near_duplicates(table(spark, odd_rows())).collect()
     assert len(got) == 9 and {r["component_id"] for r in got if r["doc_id"] in (6, 7)} == {6}
