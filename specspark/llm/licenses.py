@@ -56,6 +56,22 @@ KNOWN = (
     ("MIT-0", f"{_MIT_GRANT}. {_MIT_WARRANTY}"),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
+# Digests of the canonical form of complete licences, whose texts are not kept here.
+COMPLETE = (
+    ("Apache-2.0", "7f0f1086750ea5cae71a90724a09654602afb135180095b5dc7d38219248384d"),
+    ("Artistic-1.0-Perl", "d204941775ec7bcd689de0a18b9e348b6828c2e6004b77bab8baf847cd70cee5"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "79a2c8508573322306e5acb0551c61e59c9434e1c78e030a19599d4432194192"),
+    ("GFDL-1.3", "b8e7d7d0a94d6992d3a3f0e056789546c7a95a56b8b702cf11ddc692f5efa459"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "95eb00db52703d7f8a507729e994f54664c80da1840bfcc11d8177dd1ec9301a"),
+    ("LGPL-2.0", "28765b3cfa0dcc1b9c2aaa134da3a3ef3cc780cc40a03b06e9093ae363ba1801"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "a3466d4f60d6134443e1c2d5761e472d76d12119cf92985b28984b4d0d8c5ac6"),
+    ("MPL-1.1", "ec50af2b690eb92871b322c5583363a9966efc8736342d648aeb07bc0930249f"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
 
 
 def canonical(text: Column) -> Column:
@@ -71,10 +87,11 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license_id), one row per digest, of licence texts given as (license_id, text)."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known=KNOWN, complete=COMPLETE) -> DataFrame:
+    """(digest, license_id), one row per digest, of licences given as (license_id, text) and (license_id, digest)."""
+    rows = spark.createDataFrame(list(known), "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    rows = rows.unionByName(spark.createDataFrame(list(complete), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -332,6 +332,17 @@ def test_license_variants_match(spark):
     assert licenses.scan(table(spark, []), licenses.known_digests(spark)).count() == 0
 
 
+def test_complete_licenses_match(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    whole = {}
+    for name in files:
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            whole[name] = f.read()
+    rows = [(i, whole[name], "en", "s") for i, name in enumerate(files)] + [(100, whole["GPL-3"].replace("\n", "\n  ").upper(), "en", "s"), (101, whole["GPL-3"][:-400], "en", "s")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(table(spark, rows), licenses.known_digests(spark)).collect()}
+    assert got == dict(enumerate(files.values())) | {100: "GPL-3.0", 101: None}
+
+
 # ---- 9 shards -------------------------------------------------------------------------------------
 
 
