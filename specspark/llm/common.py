@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (a local session) a temporary folder is used.
+    Only a local session may go without that setting; it gets a temporary folder. Anywhere else
+    executors could not read what the driver sees, so a missing setting raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     if ":" not in base.split("/")[0]:
@@ -44,7 +48,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once all that reads them is written itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -53,6 +67,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: The id that stands for null inside the operators: it orders first.
+NO_ID = -(1 << 63)
+
+
+def row_key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tk")]
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, id, tk): `id` is never null, and (id, tk) tells apart rows that share a doc_id but not a text."""
+    return docs.select("doc_id", "text", *row_key())
+
+
 def stripped(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
@@ -69,8 +96,9 @@ def word_count(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z and nothing else; texts of ASCII characters alone need no look-up of each character."""
+    letters = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(letters)
 
 
 def doc_remainder(modulus: int) -> Column:

@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _powers, mix64, signed, text_steps
-
-CELL_SCHEMA = "anchor long, body long, doc_id long, first int, last int, at int"
+from .common import _BASE, _INVERSE, _powers, mix64
 
 
 class Stretches:
@@ -51,63 +50,52 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return base + (((best & low).astype(np.int64) - base) & int(low))
 
 
-def cells(units: np.ndarray, firsts: np.ndarray, length: int, part: int) -> tuple[np.ndarray, ...]:
-    """anchor hash, body hash, row, first and last window start, anchor position of each cell.
+def row_starts(firsts: np.ndarray, n: int) -> np.ndarray:
+    """The row of each of `n` units, for rows that begin at `firsts`, its end included."""
+    return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[:n]
+
+
+def cells(grams: np.ndarray, rows: np.ndarray, length: int, part: int) -> tuple[np.ndarray, ...]:
+    """(first, last, at) of each cell: positions in the units of its windows' first starts and of its anchor.
 
-    `firsts` are the offsets of the texts in `units`, its end included; positions count from
-    the start of the text.
+    `grams` are the hashes of all `part`-unit grams, `rows` the row of each unit.
     """
-    empty = np.zeros(0, np.int64)
-    starts_at = np.searchsorted(firsts, np.arange(len(units)), side="right") - 1 if len(units) < 1 << 20 else np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    n = len(units) - length + 1
+    n = len(rows) - length + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return (empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty)
-    s = Stretches(units)
-    grams = s.grams(part)
+        return none, none, none
     at = _leftmost_least(grams, length - part + 1)[:n]
-    row = starts_at[:n]
-    valid = row == starts_at[length - 1 :]
-    index = np.flatnonzero(valid)
+    index = np.flatnonzero(rows[:n] == rows[length - 1 :])
     if not len(index):
-        return (empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty)
-    a, r = at[index], row[index]
+        return none, none, none
+    a, r = at[index], rows[index]
     new = np.ones(len(index), bool)
     new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
     head = np.flatnonzero(new)
     tail = np.concatenate([head[1:], [len(index)]]) - 1
-    first, last, anchor = index[head], index[tail], a[head]
-    base = firsts[r[head]]
-    return grams[anchor], s(first, last + length), r[head], first - base, last - base, anchor - base
+    return index[head], index[tail], a[head]
 
 
-def cell_table(docs: DataFrame, units_of, length: int, part: int) -> DataFrame:
-    """All cells of `docs(doc_id, text)`; `units_of(column)` gives units and offsets of texts."""
-
-    def run(batches):
-        for batch in batches:
-            for step in text_steps(batch):
-                units, firsts = units_of(step.column(1))
-                anchor, body, row, first, last, at = cells(units, firsts, length, part)
-                ids = step.column(0).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchor)), pa.array(signed(body)), ids, *[pa.array(x.astype(np.int32)) for x in (first, last, at)]], names=["anchor", "body", "doc_id", "first", "last", "at"]
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CELL_SCHEMA)
+def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the unions of half-open spans within each row, in order; touching spans are one."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    base = row.astype(np.int64) << 40
+    reach = np.maximum.accumulate(base + stop) if len(row) else base
+    new = np.ones(len(row), bool)
+    new[1:] = base[1:] + start[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    ends = np.concatenate([head[1:], [len(row)]]) - 1 if len(head) else head
+    return row[head], start[head], reach[ends] - base[head]
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Union of half-open spans, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def flat_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of a column of arrays of spans; null holds none."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(lengths)), lengths), flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("stop").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def spans_by_doc(spans: DataFrame) -> DataFrame:
-    """(doc_id, spans): the distinct spans (doc_id, start, stop) of each document, as arrays."""
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    """(id, tk, spans): the distinct spans (id, tk, start, stop) of each text, as arrays."""
+    return spans.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))

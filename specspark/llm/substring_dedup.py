@@ -1,10 +1,12 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Level one looks at windows of half the wanted length, and only at those that the content
-chooses as anchors. Windows repeated there alone are extended to twice that length, the wanted
-one: first all windows around an anchor at once, by the hash of the whole cell; where cells
-differ, each window by itself. Further doublings, for the length of the longest repeats, go on
-until no candidate survives (`longest_repeats`).
+Level one looks at short windows, and only at those that the content chooses as anchors of the
+wanted windows (see `repeats`). Windows that repeat across documents at one length, and those
+alone, are extended to twice that length, until the wanted length is reached or no candidate
+survives: 13, 25 and 50 words. The hashes of all levels are made in one pass over the texts, the
+shorter window always lying inside the longer one, so a level costs narrow rows of survivors
+only. At the wanted length all windows of a cell are first compared at once, by the hash of the
+whole cell; where cells differ, each window is compared by itself.
 """
 
 from __future__ import annotations
@@ -14,109 +16,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, release, signed, text_steps, window_hashes, written
-from .repeats import cell_table, merged, spans_by_doc
+from .common import Words, discard, release, signed, text_steps, window_hashes, with_row_keys, written
+from .repeats import Stretches, _leftmost_least, cells, flat_spans, merged, row_starts, spans_by_doc
 
-WORDS = 50
+WORDS, SHORTEST = 50, 12
 
 
-def _units(column):
-    words = Words(column)
-    return words.hashes(), words.first
+def levels(length: int = WORDS, shortest: int = SHORTEST) -> list[int]:
+    """Window lengths from the shortest level up: each is at most twice the one before, the last is `length`."""
+    out = [length]
+    while out[0] > 1 and -(-out[0] // 2) >= min(shortest, length // 2):
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _cell_table(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(g0, g1, .., body, id, tk, first, last) of each cell of `docs(id, tk, text)`: window hashes of all levels but the last, hash of the whole cell."""
+    length, part = sizes[-1], sizes[-2]
+    names = [*[f"g{k}" for k in range(len(sizes) - 1)], "body", "id", "tk", "first", "last"]
+
+    def run(batches):
+        for batch in batches:
+            for step in text_steps(batch):
+                words = Words(step.column(2))
+                s = Stretches(words.hashes())
+                grams = s.grams(part)
+                first, last, at = cells(grams, row_starts(words.first, len(words.start)), length, part)
+                found, inner, size = [grams[at]], at, part
+                for smaller in sizes[-3::-1]:
+                    grams = s.grams(smaller)
+                    inner = _leftmost_least(grams, size - smaller + 1)[inner] if len(inner) else inner
+                    found.insert(0, grams[inner])
+                    size = smaller
+                row = np.searchsorted(words.first, first, side="right") - 1
+                base, at_row = words.first[row], pa.array(row)
+                arrays = [*[pa.array(signed(x)) for x in (*found, s(first, last + length))], step.column(0).take(at_row), step.column(1).take(at_row), *[pa.array((x - base).astype(np.int32)) for x in (first, last)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    hashes = ", ".join(f"{x} long" for x in names[: len(sizes)])
+    return docs.select("id", "tk", "text").mapInArrow(run, f"{hashes}, id long, tk int, first int, last int")
 
 
 def _window_table(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
-    """(window, doc_id, start): hash of each window that starts in `ranges(doc_id, ranges)`."""
+    """(window, id, tk, start): hash of each window that starts in `ranges(id, tk, spans)`."""
 
     def run(batches):
         for batch in batches:
             for step in text_steps(batch):
-                words = Words(step.column(1))
+                words = Words(step.column(2))
                 h = window_hashes(words.hashes(), length)
-                ids, out = step.column(0).to_pylist(), []
-                for i, rs in enumerate(step.column(2).to_pylist()):
+                ids, keys, out = step.column(0).to_pylist(), step.column(1).to_pylist(), []
+                for i, rs in enumerate(step.column(3).to_pylist()):
                     at = np.unique(np.concatenate([np.arange(r["start"], r["stop"]) for r in rs]))
-                    out.append((h[words.first[i] + at], np.full(len(at), ids[i]), at))
+                    out.append((h[words.first[i] + at], np.full(len(at), ids[i]), np.full(len(at), keys[i]), at))
                 if out:
-                    w, d, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(d), pa.array(at.astype(np.int32))], names=["window", "doc_id", "start"])
+                    w, d, k, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(d), pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32))], names=["window", "id", "tk", "start"])
 
-    return docs.join(ranges, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "window long, doc_id long, start int")
+    return docs.join(ranges, ["id", "tk"]).select("id", "tk", "text", "spans").mapInArrow(run, "window long, id long, tk int, start int")
 
 
-def _repeated_cells(docs: DataFrame, length: int) -> DataFrame:
-    """Level one: cells whose anchor, of half the length, occurs in two documents."""
-    cells = written(cell_table(docs, _units, length, max(1, length // 2)), "cells")
-    again = cells.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("least < most")
-    return written(cells.join(again, "anchor").select("anchor", "body", "doc_id", "first", "last", "least", (F.col("b0") == F.col("b1")).alias("one")), "repeated")
+def surviving_cells(docs: DataFrame, length: int = WORDS) -> DataFrame:
+    """(anchor, body, id, tk, first, last, least, one): cells whose windows of every level below `length` occur in two documents.
+
+    least: the smallest id that has the anchor, the window of the last level; one: all cells
+    of the anchor are equal. What repeats is written before it is joined, so that Spark can
+    split the join where one window has many rows.
+    """
+    sizes = levels(length)
+    if len(sizes) < 2:
+        raise ValueError("windows have two words at least")
+    level = written(_cell_table(docs, sizes), "cells")
+    for k in range(len(sizes) - 1):
+        key, last = f"g{k}", k == len(sizes) - 2
+        both = [F.min("id").alias("least"), F.max("id").alias("most"), *([F.min("body").alias("b0"), F.max("body").alias("b1")] if last else [])]
+        again = level.groupBy(key).agg(*both).where("least < most")
+        again = written(again.select(F.col(key), "least", (F.col("b0") == F.col("b1")).alias("one")) if last else again.select(key), "again")
+        kept = written(level.join(again, key).drop(key) if not last else level.join(again, key).withColumnRenamed(key, "anchor"), "level")
+        discard(level, again)
+        release(docs.sparkSession)
+        level = kept
+        if not last and not level.head(1):  # no candidate survives
+            return level.select(F.col(f"g{len(sizes) - 2}").alias("anchor"), "body", "id", "tk", "first", "last", F.lit(0).cast("long").alias("least"), F.lit(True).alias("one"))
+    return level
 
 
 def repeated_spans(docs: DataFrame, length: int = WORDS) -> DataFrame:
-    """(doc_id, start, stop), in words: stretches made of windows that also start in a document with a smaller doc_id."""
+    """(id, tk, start, stop), in words: stretches made of windows that also start in a document with a smaller id, for `docs(id, tk, text)`."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    level = _repeated_cells(docs, length)
-    release(spark)
+    level = surviving_cells(docs, length)
     whole = F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    found = level.where("one and doc_id > least").select("doc_id", whole.alias("s"))
+    found = level.where("one and id > least").select("id", "tk", whole.alias("s"))
     several = level.where("not one")
-    bodies = several.groupBy("anchor", "body").agg(F.min("doc_id").alias("least"))
-    several = written(several.drop("least").join(bodies, ["anchor", "body"]).select("doc_id", "first", "last", "least"), "bodies")
-    found = found.unionByName(several.where("doc_id > least").select("doc_id", whole.alias("s"))).select("doc_id", "s.start", "s.stop")
-    open_ = several.where("doc_id = least").select("doc_id", F.col("first").alias("start"), (F.col("last") + 1).alias("stop"))
+    bodies = written(several.groupBy("anchor", "body").agg(F.min("id").alias("least")), "least")
+    several = written(several.drop("least").join(bodies, ["anchor", "body"]).select("id", "tk", "first", "last", "least"), "bodies")
+    discard(bodies)
+    found = found.unionByName(several.where("id > least").select("id", "tk", whole.alias("s"))).select("id", "tk", "s.start", "s.stop")
+    open_ = several.where("id = least").select("id", "tk", F.col("first").alias("start"), (F.col("last") + 1).alias("stop"))
     windows = written(_window_table(docs, spans_by_doc(open_), length), "windows")
     release(spark)
-    shared = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
-    single = windows.join(shared, "window").where("doc_id > least").select("doc_id", "start", (F.col("start") + length).alias("stop"))
+    shared = written(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least"), "shared")
+    single = windows.join(shared, "window").where("id > least").select("id", "tk", "start", (F.col("start") + length).alias("stop"))
     return found.unionByName(single)
 
 
-def longest_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
-    """(doc_id, start, length): starts of windows that occur in two documents, with the largest of `length`, 2 * `length`, ... words that survives there."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    level = _repeated_cells(docs, length).select("doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    out, size = None, length
-    while level.head(1):
-        ranges = level.select("doc_id", "start", (F.col("stop") - size + 1).alias("stop"))
-        windows = written(_window_table(docs, spans_by_doc(ranges), size), "level")
-        again = windows.groupBy("window").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("window")
-        here = written(windows.join(again, "window").select("doc_id", "start", F.lit(size).alias("length")), "survivors")
-        out = here if out is None else out.unionByName(here)
-        double = here.select("doc_id", "start").join(here.select("doc_id", (F.col("start") - size).alias("start")), ["doc_id", "start"])
-        level = written(double.select("doc_id", "start", (F.col("start") + 2 * size).alias("stop")), "double")
-        size *= 2
-    if out is None:
-        return level.select("doc_id", "start", F.lit(length).alias("length"))
-    return out.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
-
-
 def deduplicate(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of each row of `docs(doc_id, text)`: kept words joined by one space.
 
     Of each repeated window the document with the smallest doc_id keeps its words. Null or
-    empty text: no words. doc_id is an integer, not null; rows with one doc_id have one text,
-    and equal rows get equal results. Texts shorter than a window stay whole; other columns
-    are ignored; an empty table gives an empty result.
+    empty text: no words. A null doc_id counts as smaller than all others. Rows that share a
+    doc_id lose nothing to each other, whatever their texts, as neither is smaller; equal rows
+    get equal results. Texts shorter than a window stay whole; other columns are ignored; an
+    empty table gives an empty result. Windows are compared by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = written(spans_by_doc(repeated_spans(docs, length)), "spans")
+    keyed = with_row_keys(docs)
+    spans = written(spans_by_doc(repeated_spans(keyed.select("id", "tk", "text"), length)), "spans")
     release(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
-            n_words, n_removed, texts = [], [], []
-            for text, spans_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            row, start, stop = merged(*flat_spans(batch.column(2)))
+            removed = np.bincount(row, weights=stop - start, minlength=batch.num_rows).astype(np.int64)
+            cuts, n_words, texts = np.searchsorted(row, np.arange(batch.num_rows + 1)), [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                kept, end, removed = [], 0, 0
-                for a, b in merged([(s["start"], s["stop"]) for s in spans_ or ()]):
-                    kept += words[end:a]
-                    end, removed = b, removed + b - a
                 n_words.append(len(words))
-                n_removed.append(removed)
-                texts.append(b" ".join(kept + words[end:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+                kept, end = [], 0
+                for k in range(cuts[i], cuts[i + 1]):
+                    kept += words[end : start[k]]
+                    end = int(stop[k])
+                texts.append(b" ".join(kept + words[end:] if end else words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return keyed.join(spans, ["id", "tk"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
 
 def oracle(length: int = WORDS) -> str:

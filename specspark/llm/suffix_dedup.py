@@ -7,27 +7,57 @@ show how far an occurrence extends to the left together with another, and where
 differ. An interval with a left extension that reaches the wanted length is a maximal repeat,
 given with all its occurrences.
 
-Cells (see `repeats`) whose whole text occurs again need no suffix array: all their bytes
-repeat, and one copy stands for all. So a group holds only texts that differ. A group of more
-than GROUP of those is not gathered: its windows are compared by hash, which is exact as well.
+Cells (see `repeats`) with the same anchor and the same bytes are one weighted suffix: it is
+sorted once, stands in the tree as two equal suffixes if it has two members or more, and what
+the tree finds for it holds for all its members. An anchor with one such suffix is a tree of one
+interval, for which no bytes have to be fetched. An anchor with more than GROUP different
+suffixes is not gathered in one task: there the intervals of the wanted lengths, which are
+classes of equal windows, are told by hash; that gives the same bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, signed, text_bytes, text_steps, written
-from .repeats import Stretches, cell_table, merged, spans_by_doc
+from .common import discard, mix64, release, signed, text_bytes, text_steps, with_row_keys, written
+from .repeats import Stretches, cells, flat_spans, merged, row_starts, spans_by_doc
 
-BYTES, ANCHOR, GROUP = 400, 64, 20_000
+#: Bytes of a string that is removed where it repeats; bytes from which a repeat is reported, about fifty short words.
+BYTES, REPORTED = 400, 280
+ANCHOR, GROUP = 64, 20_000
 
 
-def _units(column):
-    raw, offsets = text_bytes(column)
-    return raw.astype(np.uint64), offsets
+def _cell_table(docs: DataFrame, length: int, shortest: int, part: int) -> DataFrame:
+    """(anchor, body, id, tk, first, at, stop) of each cell of `docs(id, tk, text)`: its bytes and the place of its anchor.
+
+    Anchors are those of windows of `shortest` bytes. The anchor of a window of `length` bytes is
+    one of them, and its cell covers all windows of either length that have it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for step in text_steps(batch):
+                raw, offsets = text_bytes(step.column(2))
+                units = raw.astype(np.uint64)
+                s, rows = Stretches(units), row_starts(offsets, len(units))
+                grams = s.grams(part)
+                first, last, at = cells(grams, rows, shortest, part)
+                stop = last + shortest
+                if length > shortest and len(at):
+                    first_, last_, at_ = cells(grams, rows, length, part)
+                    k = np.searchsorted(at, at_)
+                    first[k], stop[k] = np.minimum(first[k], first_), np.maximum(stop[k], last_ + length)
+                row = np.searchsorted(offsets, first, side="right") - 1
+                base, at_row = offsets[row], pa.array(row)
+                body = mix64(s(first, stop) + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                places = [pa.array((x - base).astype(np.int32)) for x in (first, at, stop)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[at])), pa.array(signed(body)), step.column(0).take(at_row), step.column(1).take(at_row), *places], names=["anchor", "body", "id", "tk", "first", "at", "stop"])
+
+    return docs.select("id", "tk", "text").mapInArrow(run, "anchor long, body long, id long, tk int, first int, at int, stop int")
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -87,124 +117,159 @@ def maximal_repeats(before: list[bytes], after: list[bytes], length: int):
                 yield member[a:b], -reach[a:b], prefix
 
 
-def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc_id, at, before, after): bytes of each chosen cell up to and from its anchor."""
+_SUFFIX = "anchor long, body long, n long, to_left int, to_right int, before binary, after binary"
+_SPAN = "anchor long, body long, repeat int, start int, stop int"
+
+
+def _with_bytes(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Weighted suffixes with the bytes up to and from their anchors, taken from one member of each."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for d, text, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                rows += [(c["anchor"], d, c["at"], raw[c["first"] : c["at"]], raw[c["at"] : c["last"] + length]) for c in cells]
+                rows += [(c["anchor"], c["body"], c["n"], c["at"] - c["first"], c["stop"] - c["at"], raw[c["first"] : c["at"]], raw[c["at"] : c["stop"]]) for c in own]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "doc_id", "at", "before", "after"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "body", "n", "to_left", "to_right", "before", "after"])
 
-    by_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "at")).alias("cells"))
-    return docs.join(by_doc, "doc_id").select("doc_id", "text", "cells").mapInArrow(run, "anchor long, doc_id long, at int, before binary, after binary")
+    by_text = suffixes.groupBy("id", "tk").agg(F.collect_list(F.struct("anchor", "body", "n", "first", "at", "stop")).alias("own"))
+    return docs.dropDuplicates(["id", "tk"]).join(by_text, ["id", "tk"]).select("text", "own").mapInArrow(run, _SUFFIX)
 
 
-_SPAN = "anchor long, repeat int, doc_id long, start int, stop int"
+def _tree(shortest: int):
+    """Spans, relative to the anchor, of the maximal repeats of each anchor; its suffixes come one after the other."""
 
-
-def _tree_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Occurrences of the maximal repeats of each anchor."""
+    def batch_of(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "body", "repeat", "start", "stop"])
 
     def solve(anchor, rows, out):
-        for k, (members, starts, stop) in enumerate(maximal_repeats([r[2] for r in rows], [r[3] for r in rows], length)):
-            out += [(anchor, k, rows[i][0], rows[i][1] + int(s), rows[i][1] + stop) for i, s in zip(members.tolist(), starts, strict=True)]
-
-    def batch_of(rows):
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "repeat", "doc_id", "start", "stop"])
+        twice = [i for i, r in enumerate(rows) for _ in range(min(r[1], 2))]
+        found = [{} for _ in rows]  # repeat by start and stop
+        for k, (members, starts, stop) in enumerate(maximal_repeats([rows[i][4] for i in twice], [rows[i][5] for i in twice], shortest)):
+            for m, s in zip(members.tolist(), starts.tolist(), strict=True):
+                found[twice[m]].setdefault((s, -stop), k)
+        for row, own in zip(rows, found, strict=True):
+            reach = None
+            for (s, stop), k in sorted(own.items()):  # an occurrence inside a longer one is left out
+                if reach is None or -stop > reach:
+                    out.append((anchor, row[0], k, s, -stop))
+                    reach = -stop
 
     def run(batches):
         anchor, rows, out = None, [], []
         for batch in batches:
-            for a, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            single = batch.filter(pc.is_null(batch.column("after")))
+            if single.num_rows:  # one interval: the suffix and its equals
+                zero = pa.array(np.zeros(single.num_rows, np.int32))
+                yield pa.RecordBatch.from_arrays([single.column(0), single.column(1), zero, pc.negate(single.column(3)), single.column(4)], names=["anchor", "body", "repeat", "start", "stop"])
+            several = batch.filter(pc.is_valid(batch.column("after")))
+            for a, *row in zip(*(c.to_pylist() for c in several.columns), strict=True):
                 if a != anchor:
-                    if len(rows) > 1:
+                    if rows:
                         solve(anchor, rows, out)
                     if len(out) > 20_000:
                         yield batch_of(out)
                         out = []
                     anchor, rows = a, []
                 rows.append(row)
-        if len(rows) > 1:
+        if rows:
             solve(anchor, rows, out)
         if out:
             yield batch_of(out)
 
-    parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return contexts.repartition(parts, "anchor").sortWithinPartitions("anchor").select("anchor", "doc_id", "at", "before", "after").mapInArrow(run, _SPAN)
+    return run
 
 
-def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same by hashes of the single windows, for anchors with too many different texts."""
+def _window_spans(suffixes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """The same by hashes of single windows, for anchors with too many different suffixes."""
+    out = suffixes.where("n > 1").select("anchor", "body", F.lit(-1).alias("repeat"), (-F.col("to_left")).alias("start"), F.col("to_right").alias("stop"))
+    for length in sorted(set(lengths)):
 
-    def run(batches):
-        for batch in batches:
-            for d, at, before, after in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                h = Stretches(np.frombuffer(before + after, np.uint8).astype(np.uint64)).grams(length)
-                start = at - len(before) + np.arange(len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), d)), pa.array(start.astype(np.int32))], names=["window", "doc_id", "start"])
+        def run(batches, length=length):
+            for batch in batches:
+                for a, b, before, after in zip(*(batch.column(k).to_pylist() for k in ("anchor", "body", "before", "after")), strict=True):
+                    h = Stretches(np.frombuffer(before + after, np.uint8).astype(np.uint64)).grams(length)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), a)), pa.array(np.full(len(h), b)), pa.array((np.arange(len(h)) - len(before)).astype(np.int32))], names=["window", "anchor", "body", "start"])
 
-    windows = written(contexts.select("anchor", "doc_id", "at", "before", "after").mapInArrow(run, "window long, doc_id long, start int"), "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return windows.join(again, "window").select(F.col("window").alias("anchor"), F.lit(-1).alias("repeat"), "doc_id", "start", (F.col("start") + length).alias("stop"))
+        windows = written(suffixes.mapInArrow(run, "window long, anchor long, body long, start int"), "windows")
+        # equal windows have the same anchor at the same offset; a place lies in one suffix of an anchor at one offset
+        again = written(windows.groupBy("anchor", "start", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+        out = out.unionByName(windows.join(again, ["anchor", "start", "window"]).select("anchor", "body", F.lit(-1).alias("repeat"), "start", (F.col("start") + length).alias("stop")))
+    return out
 
 
-def repeated_spans(docs: DataFrame, length: int = BYTES, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """(anchor, repeat, doc_id, start, stop), in bytes: occurrences of repeats of at least `length` bytes.
+def repeated_spans(docs: DataFrame, length: int = BYTES, anchor: int = ANCHOR, group: int = GROUP, shortest: int | None = None) -> DataFrame:
+    """(anchor, repeat, id, tk, start, stop), in bytes: occurrences of repeats of at least `shortest` (default: `length`) bytes in `docs(id, tk, text)`.
 
-    The occurrences of one repeat share (anchor, repeat); repeat -1 is a single window, -2 a cell.
+    The occurrences of one repeat share (anchor, repeat); repeat -1 is a window of a large group.
+    Repeats of up to `length` bytes are found whole; longer ones come in pieces of that length
+    or more.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cells = written(cell_table(docs, _units, length, anchor), "cells")
-    again = cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("n > 1")
-    level = written(cells.join(again, "anchor").select("anchor", "body", "doc_id", "first", "last", "at", (F.col("b0") == F.col("b1")).alias("one")), "repeated")
+    spark, shortest = docs.sparkSession, shortest or length
+    table = written(_cell_table(docs, length, shortest, anchor), "cells")
+    again = written(table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
+    level = written(table.join(again, "anchor"), "repeated")
+    discard(table, again)
+    release(spark)
+    member = F.min(F.struct("id", "tk", "first", "at", "stop")).alias("m")
+    suffixes = written(level.groupBy("anchor", "body").agg(F.count("*").alias("n"), member), "suffixes")
+    sizes = written(suffixes.groupBy("anchor").agg(F.count("*").alias("texts")), "sizes")
+    suffixes = written(suffixes.join(sizes, "anchor").select("anchor", "body", "n", "texts", "m.*"), "weighted")
+    alone = suffixes.where("texts = 1").select("anchor", "body", "n", (F.col("at") - F.col("first")).alias("to_left"), (F.col("stop") - F.col("at")).alias("to_right"), F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
+    several = written(_with_bytes(docs, suffixes.where("texts > 1").drop("texts")).join(sizes, "anchor"), "bytes")
     release(spark)
-    whole = [F.col("body").alias("anchor"), F.lit(-2).alias("repeat"), "doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("stop")]
-    found = level.where("one").select(*whole)
-    several = level.where("not one")
-    bodies = written(several.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last", "at")).alias("cell")), "bodies")
-    found = found.unionByName(several.join(bodies.where("n > 1").select("anchor", "body"), ["anchor", "body"]).select(*whole))
-    sizes = bodies.groupBy("anchor").agg(F.count("*").alias("texts"))
-    contexts = written(_contexts(docs, bodies.select("anchor", "cell.*"), length).join(sizes, "anchor"), "contexts")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    columns = alone.columns
+    gathered = several.where(F.col("texts") <= group).select(*columns).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    found = alone.mapInArrow(_tree(shortest), _SPAN).unionByName(gathered.mapInArrow(_tree(shortest), _SPAN))
+    large = several.where(F.col("texts") > group)
+    if large.head(1):
+        found = found.unionByName(_window_spans(large.select(*columns), (length, shortest)))
+    found = written(found, "found")
+    discard(several)
     release(spark)
-    found = found.unionByName(_tree_spans(contexts.where(F.col("texts") <= group), length))
-    large = contexts.where(F.col("texts") > group)
-    return found.unionByName(_window_spans(large, length)) if large.head(1) else found
+    return level.select("anchor", "body", "id", "tk", "at").join(found, ["anchor", "body"]).select("anchor", "repeat", "id", "tk", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
 
 
-def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row of `docs(doc_id, text)`.
+def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP, reported: int = REPORTED) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated, kept (binary) of each row of `docs(doc_id, text)`.
 
     Every byte of a string of `length` bytes that also starts elsewhere is removed, in all its
-    occurrences. Null counts as the empty text. doc_id is an integer, not null, and distinct:
-    rows with one doc_id are read as one place. Shorter texts stay whole; other columns are
-    ignored; an empty table gives an empty result.
+    occurrences; n_repeated counts the bytes of strings of `reported` bytes (at most `length`)
+    that also start elsewhere, removed or not. Null counts as the empty text. Every row is a text
+    of its own, with or without a doc_id of its own: equal rows are two places, so what reaches
+    the length goes from both, and rows that share a doc_id but not a text are told apart (by
+    the id and 32 bits of the text's hash). Shorter texts stay whole; other columns are ignored;
+    an empty table gives an empty result. Cells are compared by 64-bit hashes, differing ones by
+    their bytes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = written(spans_by_doc(repeated_spans(docs, length, group=group).select("doc_id", "start", "stop")), "spans")
+    keyed = with_row_keys(docs)
+    spans = written(spans_by_doc(repeated_spans(keyed.select("id", "tk", "text"), length, group=group, shortest=min(reported, length))), "spans")
     release(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
-            sizes, removed, runs, kept = [], [], [], []
-            for text, spans_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n = batch.num_rows
+            row, start, stop = flat_spans(batch.column(2))
+            at, a, b = merged(row, start, stop)
+            repeated = np.bincount(at, weights=b - a, minlength=n).astype(np.int64)
+            long = stop - start >= length
+            at, a, b = merged(row[long], start[long], stop[long])
+            removed, runs = np.bincount(at, weights=b - a, minlength=n).astype(np.int64), np.bincount(at, minlength=n)
+            cuts, sizes, kept = np.searchsorted(at, np.arange(n + 1)), [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 raw, end, parts = (text or "").encode("utf-8", "surrogatepass"), 0, []
-                gone = merged([(s["start"], s["stop"]) for s in spans_ or ()])
-                for a, b in gone:
-                    parts.append(raw[end:a])
-                    end = b
-                kept.append(b"".join(parts) + raw[end:])
+                for k in range(cuts[i], cuts[i + 1]):
+                    parts.append(raw[end : a[k]])
+                    end = int(b[k])
+                kept.append(b"".join(parts) + raw[end:] if parts else raw)
                 sizes.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
-                runs.append(len(gone))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs, repeated)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"]
             )
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    return keyed.join(spans, ["id", "tk"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
