@@ -2,8 +2,11 @@
 
 Each source's documents are put into a shuffled order that depends on doc_id alone, so
 reruns agree. A document's virtual finish time is the words its source has sent up to and
-including it, divided by the source's target. All sources are then merged in order of
-virtual finish time and cut where the total budget is spent.
+including it, divided by the source's target; half of the document is taken off, so that a cut
+falls on the nearer side of the document that it meets. All sources are then merged in order
+of virtual time and cut where the sources' targets (time 1) or the total budget are reached: a
+source misses its target by half of the document at the edge at most, and by its share of the
+words that the halves of all sources together would have been over the budget.
 
 Nothing is gathered by source: the running sums come from blocks of the shuffled order
 (sums of blocks first, then the order within each block), so a source with a third of all
@@ -22,7 +25,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 #: Rows that a block of the shuffled order holds on average.
 BLOCK_ROWS = 4096
-_MIN_LONG = -(1 << 63)
+#: Ranges of virtual time that one round counts.
+RANGES = 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -54,18 +58,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 17, columns: tuple[str, ...] = ()) -> DataFrame:
     """The mix of `docs(doc_id, text, source)`: one row per row of `docs`.
 
-    Columns: doc_id, source, size (words), source_size, target, copies, taken (= copies * size).
+    Columns: doc_id, source, size (words), source_size, target, copies, taken (= copies * size),
+    then the `columns` of `docs`, which should be short: they go through every step.
 
     Null text: size 0, never taken. Null source: a source of its own, ordered last. Null
     doc_id: shuffled as any other value. Rows that repeat a doc_id are rows of their own.
     Ties of the virtual time go by source order, then the shuffled order. An empty table
-    gives an empty result. Other columns are ignored.
+    gives an empty result. All other columns are ignored.
     """
     sizes = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")),
         "sizes",
     )
     targets = written(source_targets(sizes, weights, max_repeat), "targets")
@@ -89,20 +94,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
         "queue",
     )
     order = ["finish", "rank", "copy", "block", "line"]
-    finish = (F.col("copy") * F.col("source_size") + F.col("sent")) / F.col("target")
+    time = lambda copy: (copy * F.col("source_size") + F.col("sent") - F.col("size") / 2) / F.col("target")
     sent = (
         queue.where("size > 0 and target > 0")
         .select("rank", "block", "line", "size", "sent", "source_size", "target", "total", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("copy"))
-        .withColumn("finish", finish)
+        .withColumn("finish", time(F.col("copy")))
+        .where("finish <= 1")
     )
-    last = _last_within_budget(sent, sizes.count() * max_repeat, order)
+    last = _last_within_budget(sent, order)
     if last is None:
         copies = F.lit(0)
     else:
         copies = sum(
             (
                 F.when(
-                    F.struct((F.lit(c) * F.col("source_size") + F.col("sent")) / F.col("target"), F.col("rank"), F.lit(c), F.col("block"), F.col("line"))
+                    F.struct(time(F.lit(c)), F.col("rank"), F.lit(c), F.col("block"), F.col("line"))
                     <= F.struct(*[F.lit(last[x]).cast(kind) for x, kind in zip(order, ("double", "int", "int", "long", "int"), strict=True)]),
                     1,
                 ).otherwise(0)
@@ -112,41 +118,42 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
         )
         copies = F.when((F.col("size") > 0) & (F.col("target") > 0), copies).otherwise(0)
     return queue.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *columns
     )
 
 
-def _last_within_budget(sent: DataFrame, rows: int, order: list[str]):
+def _last_within_budget(sent: DataFrame, order: list[str]):
     """The last row of `sent`, in this order, up to which the sizes stay within the budget.
 
-    Virtual times are counted in ranges first (sums per range, a running sum over the
-    ranges); only the range in which the budget ends is sorted row by row.
+    Virtual times, 0 to 1, are counted in RANGES ranges; the range in which the budget ends is
+    counted again in as many, until it holds so few rows that they can be sorted.
     """
-    ranges = max(1, rows // BLOCK_ROWS)
-    by_range = sent.withColumn("range", F.floor(F.col("finish") * ranges))
-    running = Window.orderBy("range")
-    ends = (
-        by_range.groupBy("range")
-        .agg(F.sum("size").alias("words"), F.max("total").alias("total"))
-        .withColumn("upto", F.sum("words").over(running))
-        .where(F.col("upto") - F.col("words") < F.col("total"))
-        .orderBy(F.desc("range"))
-        .head(1)
-    )
-    if not ends:
+    lo, hi, before = 0.0, 1.0, 0
+    total = sent.select("total").first()
+    if total is None:
         return None
-    edge = ends[0]
-    if edge["upto"] <= edge["total"]:
-        return by_range.where(F.col("range") == edge["range"]).orderBy(*[F.desc(c) for c in order]).select(*order).first()
-    before = edge["upto"] - edge["words"]
-    inside = (
-        by_range.where(F.col("range") == edge["range"])
-        .withColumn("upto", F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before))
-        .where(F.col("upto") <= edge["total"])
-        .orderBy(*[F.desc(c) for c in order])
-        .select(*order)
-        .head(1)
-    )
-    if inside:
-        return inside[0]
-    return by_range.where(F.col("range") < edge["range"]).orderBy(*[F.desc(c) for c in order]).select(*order).first()
+    while True:
+        within = sent.where((F.col("finish") >= lo) & (F.col("finish") <= hi))
+        place = F.least(F.lit(RANGES - 1), F.floor((F.col("finish") - lo) / (hi - lo) * RANGES))
+        counted = sorted(within.groupBy(place.alias("k")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).collect())
+        upto, edge = before, None
+        for edge in counted:
+            if upto + edge["words"] > total[0]:
+                break
+            upto += edge["words"]
+        else:  # everything is within the budget
+            return sent.where(F.col("finish") == edge["hi"]).orderBy(*[F.desc(c) for c in order]).select(*order).first() if edge else None
+        if edge["n"] <= BLOCK_ROWS or edge["lo"] == edge["hi"]:
+            break
+        lo, hi, before = edge["lo"], edge["hi"], upto
+    # every row before the range is within the budget, and so are some of the range itself
+    rows = sent.where((F.col("finish") >= edge["lo"]) & (F.col("finish") <= edge["hi"])).orderBy(*order).select("size", *order).collect()
+    last = None
+    for r in rows:  # at most BLOCK_ROWS, or the few sources that share one virtual time
+        upto += r["size"]
+        if upto > total[0]:
+            break
+        last = r
+    if last is not None:
+        return last
+    return sent.where(F.col("finish") < edge["lo"]).orderBy(*[F.desc(c) for c in order]).select(*order).first()
