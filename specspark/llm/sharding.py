@@ -4,7 +4,9 @@ Rows are ordered by (hash of the text, doc_id). Splitters between shards are fou
 counting the exact bytes below many candidate boundaries at once and refining the candidates
 around each wanted share until the count is within the tolerance; then every row gets its
 shard from the splitters and all rows move once. Equal texts share a hash, so they stay in
-one shard unless their group is too large for an even split; only then doc_id splits it.
+one shard unless their group has more than GROUP_SHARE of a shard's bytes and a boundary falls
+into it; only then doc_id splits it. So a shard is off its share by at most half of GROUP_SHARE
+at either end, or by half a document.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ SHARDS = 16
 #: Candidate boundaries per splitter and round; tolerance as a share of one shard's bytes.
 PROBES = 128
 TOLERANCE = 0.001
+#: Groups of equal texts with up to this share of one shard's bytes stay whole.
+GROUP_SHARE = 1 / 8
 #: Rows per block when rows of a shard are numbered.
 BLOCK_ROWS = 4096
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -94,6 +98,8 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     for key, those in inside.items():
         base = found[those[0]][3]
         group = rows.where(F.col("key") == F.lit(key))
+        if (group.agg(F.sum("size")).first()[0] or 0) <= GROUP_SHARE * total / shards:
+            continue
         for j, (p, n, *_) in _refine(group, "id", {j: wanted[j] - base for j in those}, allowed).items():
             if abs(base + n - wanted[j]) < abs(found[j][1] - wanted[j]):
                 out[j] = (key, p)
@@ -105,7 +111,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, c
 
     Columns: doc_id, size (UTF-8 bytes + 1), text_crc32, shard (0..shards-1), slot (0.. without
     gaps within the shard). Null text counts as empty; null doc_id orders first. Repeated rows
-    are rows of their own and get slots of their own. An empty table gives an empty result; a
+    are rows of their own and get slots of their own; slots follow blocks of ids, then id, key and
+    size, and rows equal in all of these may change places. An empty table gives an empty result; a
     text larger than a shard makes its shard larger. `columns` of `docs` come along, all others
     are ignored.
     """
