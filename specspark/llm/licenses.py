@@ -12,22 +12,53 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-# Spellings that count as the same (left becomes right).
+# Whole words that count as the same (left becomes right).
 SPELLINGS = (
     ("acknowledgment", "acknowledgement"),
+    ("acknowledgments", "acknowledgements"),
     ("analog", "analogue"),
+    ("analogs", "analogues"),
+    ("analyze", "analyse"),
+    ("artifact", "artefact"),
+    ("artifacts", "artefacts"),
     ("authorization", "authorisation"),
+    ("authorizations", "authorisations"),
+    ("authorize", "authorise"),
+    ("authorized", "authorised"),
+    ("authorizing", "authorising"),
     ("behavior", "behaviour"),
+    ("catalog", "catalogue"),
     ("center", "centre"),
+    ("centered", "centred"),
+    ("centers", "centres"),
     ("copyright holder", "copyright owner"),
+    ("copyright holders", "copyright owners"),
+    ("defense", "defence"),
+    ("favor", "favour"),
     ("fulfill", "fulfil"),
+    ("fulfills", "fulfils"),
+    ("fulfillment", "fulfilment"),
     ("initialize", "initialise"),
+    ("judgment", "judgement"),
+    ("labeled", "labelled"),
+    ("labor", "labour"),
     ("licence", "license"),
-    ("merchantability", "merchantability"),
-    ("non commercial", "noncommercial"),
+    ("licenced", "licensed"),
+    ("licences", "licenses"),
+    ("modeled", "modelled"),
+    ("noncommercial", "non commercial"),
+    ("organization", "organisation"),
+    ("organizations", "organisations"),
+    ("organize", "organise"),
     ("per cent", "percent"),
-    ("sub license", "sublicense"),
+    ("practice", "practise"),
+    ("program", "programme"),
+    ("programs", "programmes"),
+    ("recognize", "recognise"),
+    ("sublicense", "sub license"),
+    ("sublicence", "sub license"),
     ("unauthorized", "unauthorised"),
+    ("utilization", "utilisation"),
     ("while", "whilst"),
     ("wilful", "willful"),
 )
@@ -54,23 +85,24 @@ KNOWN = (
     ("MIT", f"MIT License\n\n{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_WARRANTY}"),
     ("MIT", "Released under the MIT License."),
     ("MIT-0", f"{_MIT_GRANT}. {_MIT_WARRANTY}"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 # Digests of the canonical form of complete licences, whose texts are not kept here.
 COMPLETE = (
-    ("Apache-2.0", "7f0f1086750ea5cae71a90724a09654602afb135180095b5dc7d38219248384d"),
-    ("Artistic-1.0-Perl", "d204941775ec7bcd689de0a18b9e348b6828c2e6004b77bab8baf847cd70cee5"),
+    ("Apache-2.0", "6a2b385728fc3ce16ad82373ee2a285c95bdda612e21b12737a0a8f1635a882c"),
+    ("Artistic-1.0-Perl", "a75491f92d778a49986448552ba445f84eaf73e7420e7d7a2e2b775abce055bb"),
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", "79a2c8508573322306e5acb0551c61e59c9434e1c78e030a19599d4432194192"),
-    ("GFDL-1.3", "b8e7d7d0a94d6992d3a3f0e056789546c7a95a56b8b702cf11ddc692f5efa459"),
-    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
-    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
-    ("GPL-3.0", "95eb00db52703d7f8a507729e994f54664c80da1840bfcc11d8177dd1ec9301a"),
-    ("LGPL-2.0", "28765b3cfa0dcc1b9c2aaa134da3a3ef3cc780cc40a03b06e9093ae363ba1801"),
-    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
-    ("LGPL-3.0", "a3466d4f60d6134443e1c2d5761e472d76d12119cf92985b28984b4d0d8c5ac6"),
-    ("MPL-1.1", "ec50af2b690eb92871b322c5583363a9966efc8736342d648aeb07bc0930249f"),
-    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("GFDL-1.2", "8efefefd57cbdf18792ea07015a7d752495ec849a5f73fb0282b3539870adbc6"),
+    ("GFDL-1.3", "01956c72e438963c9b3c93274615d7137119e5a7b3fc52335952662c93c7f4c8"),
+    ("GPL-1.0", "75861864828ddf22451f95a69662530fe0da10b6c740275fa62ae786b88f3879"),
+    ("GPL-2.0", "9c9e5e5d8cbf4b874a65be305d9ed24405b10646220d3702d3d0073bec35ae9a"),
+    ("GPL-3.0", "a82aa8fc19feee755f6712318be778b15404a721db5c17293e3243823adcd3a3"),
+    ("LGPL-2.0", "986434b9c9969d8bb579036700a6e4c0c549d80770fc06a906c2b12564e6a00d"),
+    ("LGPL-2.1", "8f1bd503c397b33952151c784d2fea3540c1121a2a6622ffb12ccd45557b92a6"),
+    ("LGPL-3.0", "115a35581f94838e88c3d19d0e554a67e6ae8e24eecba6fb65a7930a7c55fd85"),
+    ("MPL-1.1", "af7037174ac592ca60ccb52d0953977740bfdaefc373daae18a413ee42787279"),
+    ("MPL-2.0", "f9bf8fe494af7d2ad5844019173c3900fc0b1452cebce7e24057a41ee841c86c"),
 )
 
 
@@ -79,8 +111,8 @@ def canonical(text: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " "), NOT_WORD, " "))
     spelled = bare
     for left, right in SPELLINGS:
-        spelled = F.regexp_replace(spelled, rf"\b{left}", right)
-    return F.when(bare.rlike("|".join(rf"\b{left}" for left, _ in SPELLINGS)), spelled).otherwise(bare)
+        spelled = F.regexp_replace(spelled, rf"\b{left}\b", right)
+    return F.when(bare.rlike("|".join(rf"\b{left}\b" for left, _ in SPELLINGS)), spelled).otherwise(bare)
 
 
 def digest(text: Column) -> Column:
@@ -111,10 +143,10 @@ def oracle() -> str:
     body = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     body = f"trim(regexp_replace(regexp_replace({body}, '{COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g'))"
     for left, right in SPELLINGS:
-        body = rf"regexp_replace({body}, '\b{left}', '{right}', 'g')"
-    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
+        body = rf"regexp_replace({body}, '\b{left}\b', '{right}', 'g')"
+    values, complete = (", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in rows) for rows in (KNOWN, COMPLETE))
     return f"""
-with known as (select sha256({body}) as digest, min(license_id) as license_id from (values {values}) v(license_id, text) group by 1),
+with known as (select digest, min(license_id) as license_id from (select sha256({body}) as digest, license_id from (values {values}) v(license_id, text) union all select digest, license_id from (values {complete}) c(license_id, digest)) group by 1),
 docs as (select doc_id, {body} as body from documents)
 select d.doc_id, case when body <> '' then sha256(body) end as digest, k.license_id
 from docs d left join known k on k.digest = case when body <> '' then sha256(body) end"""
