@@ -14,14 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNDETERMINED = "und"
 #: The sample of each language: at most SLOTS labelled texts, at most PIECE characters from the middle of each.
 SLOTS, PIECE = 256, 448
 LEVEL = 6
 #: A text is encoded in pieces of this many bytes, each against the dictionary, so that all of a long text counts.
 CHUNK = 4096
-#: A text is rejected if the best encoding is not smaller by this many bytes.
-MIN_MARGIN_BYTES = 2
+#: A text is rejected if the best encoding is not smaller by this many bytes, and by this share of the encoded text.
+MIN_MARGIN_BYTES, MIN_MARGIN_SHARE = 2, 0.001
+#: Languages with fewer sample texts, or beyond the MAX_LANGUAGES with most of them, are not learned.
+MIN_TEXTS, MAX_LANGUAGES = 3, 256
 
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -36,7 +40,9 @@ def learn(docs: DataFrame, trained_on: Column) -> dict[str, bytes]:
     """Dictionary of each language, from rows of `docs(doc_id, text, lang)` where `trained_on` holds.
 
     A row falls into one of SLOTS slots of its language by its doc_id; each slot keeps the row
-    with the smallest hash, so the sample is bounded and does not depend on how rows lie.
+    with the smallest hash, so the sample is bounded and does not depend on how rows lie. Rows
+    where `trained_on` is null, as where doc_id is, are not learned from. Labels with fewer than
+    MIN_TEXTS sample texts are not learned.
     """
     middle = F.greatest(F.lit(1), (F.length("text") - F.lit(PIECE)) / 2).cast("int")
     picked = (
@@ -44,8 +50,10 @@ def learn(docs: DataFrame, trained_on: Column) -> dict[str, bytes]:
         .select("lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SLOTS)).alias("slot"), F.xxhash64(F.lit(2), "doc_id", "text").alias("h"), F.substring(F.col("text"), middle, F.lit(PIECE)).alias("piece"))
         .groupBy("lang", "slot")
         .agg(F.min_by("piece", F.struct("h", "piece")).alias("piece"))
-        .collect()
     )
+    picked = written(picked, "pieces")
+    enough = picked.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    picked = picked.join(enough.select("lang"), "lang", "left_semi").collect()  # at most MAX_LANGUAGES * SLOTS short rows
     pieces: dict[str, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["slot"])):
         pieces.setdefault(r["lang"], []).append(plain(r["piece"]))
@@ -86,7 +94,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                 rest = [s for k, s in enumerate(sizes) if k != best]
                 margin = min(rest) - sizes[best]
                 score = 1.0 / (1.0 + sum(2.0 ** -min(500, s - sizes[best]) for s in rest))
-                rows.append((names[best], score, margin, margin >= MIN_MARGIN_BYTES))
+                rows.append((names[best], score, margin, margin >= max(MIN_MARGIN_BYTES, MIN_MARGIN_SHARE * len(body))))
             yield pd.DataFrame(rows, columns=list(added))
 
     kept = [F.col(c) for c in docs.columns if c not in added]

@@ -332,6 +332,10 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
 
 
 def train_and_score(docs: DataFrame, trained_on: Column) -> DataFrame:
-    """doc_id, held_out (not trained on), n_tokens, n_known, train_tokens, base_score, score, perplexity of each row."""
+    """doc_id, held_out (not trained on), n_tokens, n_known, train_tokens, base_score, score, perplexity of each row.
+
+    Rows where `trained_on` is null, as where doc_id is, are scored but not trained on; their
+    held_out is null.
+    """
     model = train(docs.where(trained_on).select("text"))
     return score(docs, model, ["doc_id", (~trained_on).alias("held_out")]).withColumn("train_tokens", F.lit(model.total).cast("long"))
