@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures in an LSH forest, links confirmed on full sets.
 
-Documents with equal shingle sets form a class, and its smallest doc_id goes on alone. A
-signature has one byte for each of SIGNATURE minimum hashes. Each of TREES orders sorts the
+Documents with equal shingle sets form a class, named by the hash of its set, and one of its
+texts goes on alone. A signature has one byte for each of SIGNATURE minimum hashes. Each of TREES orders sorts the
 signatures by bytes of its own choice. Documents that share the first BASE_DEPTH bytes of an
 order are compared; where more than REGION documents share them the region is split by further
 bytes (adaptive depth), and there every document is also compared with its neighbours in the
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, release, signed, text_steps, window_hashes, written
+from .common import Words, mix64, release, signed, text_steps, window_hashes, with_row_keys, written
 from .components import components
 
 SIGNATURE, TREES, BASE_DEPTH, DEPTH = 128, 16, 4, 16
@@ -104,13 +104,13 @@ def _same_pairs_of_bits(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of each row of `docs(doc_id, text)`; empty sets have null keys."""
+    """(doc_id, id, tk, n_shingles, set_key, signature) of each row of `docs(doc_id, id, tk, text)`; empty sets have null keys."""
 
     def run(batches):
         for batch in batches:
             for step in text_steps(batch):
                 n_rows = step.num_rows
-                value, row = shingle_sets(step.column(1), size)
+                value, row = shingle_sets(step.column(3), size)
                 n = np.bincount(row, minlength=n_rows)
                 full = np.flatnonzero(n)
                 keys, sketches = [None] * n_rows, [None] * n_rows
@@ -119,9 +119,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     key = signed(mix64(np.add.reduceat(mix64(value), starts) + np.bitwise_xor.reduceat(value, starts)))
                     for i, k, s in zip(full.tolist(), key.tolist(), _signatures(value, starts), strict=True):
                         keys[i], sketches[i] = k, s.tobytes()
-                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+                yield pa.RecordBatch.from_arrays([*step.columns[:3], pa.array(n), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "id", "tk", "n_shingles", "set_key", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key long, signature binary")
+    return docs.select("doc_id", "id", "tk", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, id long, tk int, n_shingles long, set_key long, signature binary")
 
 
 def _trees(batches):
@@ -377,7 +377,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(v, shingles, wide) of the texts named by `wanted(v, wide)`."""
+    """(v, shingles, wide) of the texts of `docs(id, tk, text)` named by `wanted(v, id, tk, wide)`."""
 
     def run(batches):
         for batch in batches:
@@ -387,7 +387,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 shingles = pa.array([value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([step.column(0), shingles, step.column(2)], names=["v", "shingles", "wide"])
 
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(wanted.hint("merge"), "v").select("v", "text", "wide")
+    texts = docs.select("id", "tk", "text").join(wanted.hint("merge"), ["id", "tk"]).select("v", "text", "wide")
     return texts.mapInArrow(run, "v long, shingles binary, wide boolean")
 
 
@@ -409,14 +409,14 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(v, c) for the representatives that have a confirmed link; None without any candidate."""
+    """(v, c) for the classes of `reps(v, id, tk, signature)` that have a confirmed link; None without any candidate."""
     spark = docs.sparkSession
     rows = written(forest(reps), "labels")
     pairs = written(candidates(rows, int(np.ceil((percent / 100 - MARGIN) * SIGNATURE))), "candidates")
     release(spark)
     degree = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree")), "degree")
     wide = rows.where("wide").select("v", "wide").unionByName(degree.select("v", F.lit(False).alias("wide"))).groupBy("v").agg(F.max("wide").alias("wide"))
-    sets = written(_sets(docs, wide, size).dropDuplicates(["v"]), "sets")
+    sets = written(_sets(docs, wide.join(reps.select("v", "id", "tk"), "v"), size).dropDuplicates(["v"]), "sets")
     release(spark)
     of = lambda table, column, name: table.select(F.col("v").alias(name), F.col(column).alias(f"{column}_{name}"))
     left = written(pairs.join(of(degree, "degree", "a"), "a").join(of(degree, "degree", "b"), "b"), "pairs")
@@ -450,10 +450,11 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         return found
     sketched = written(sketches(sets.where("wide")), "sketches")
 
-    def in_parts(table, *names):
-        for name in names:
-            table = table.withColumn(f"part_{name}", F.col(name)) if found is None else table.join(of(found, "c", name), name, "left").withColumn(f"part_{name}", F.coalesce(f"c_{name}", name)).drop(f"c_{name}")
-        return table
+    def with_part(table, name):
+        """`table` and `part_<name>`: the component of each, which has one row for every value of `name`."""
+        if found is None:
+            return table.withColumn(f"part_{name}", F.col(name))
+        return table.join(of(found, "c", name), name, "left").withColumn(f"part_{name}", F.coalesce(f"c_{name}", name)).drop(f"c_{name}")
 
     def linked(chosen):
         new = written(confirm(chosen, sets, percent), "links")
@@ -462,16 +463,20 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         all_links = new if links is None else links.unionByName(new)
         return all_links, components(all_links)
 
-    first = alike(in_parts(originals(split), "v", "u").where("part_v <> part_u").select("v", "u"), sketched, least)
+    # components are looked up once for a row or an original, not once for each of their pairs
+    pairs_of = with_part(originals(split).groupBy("v").agg(F.collect_list("u").alias("us")), "v").select("v", "part_v", F.explode("us").alias("u"))
+    heads = with_part(pairs_of.select("u").distinct(), "u")
+    first = alike(pairs_of.join(heads, "u").where("part_v <> part_u").select("v", "u"), sketched, least)
     best = first.groupBy("v").agg(F.max(F.struct("same", "u")).alias("r")).select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
     chosen = written(best.join(pairs, ["a", "b"], "left_anti"), "chosen")
     links, found = linked(chosen)
     tried = pairs.select("a", "b").unionByName(chosen)
     release(spark)
     place = F.shiftleft(F.col("tree").cast("long"), 8 * BASE_DEPTH) + F.conv(F.hex(F.substring("label", 1, BASE_DEPTH)), 16, 10).cast("long")
-    members = written(split.select(place.alias("place"), "v"), "members")
+    members = written(split.groupBy("v").agg(F.collect_set(place).alias("places")), "members")
     for tries in BLOCK_ROUNDS:
-        search = written(blocks_apart(in_parts(members, "v").withColumnRenamed("part_v", "part"), sketched, least, tries), "apart")
+        placed = with_part(members, "v").select(F.explode("places").alias("place"), "v", F.col("part_v").alias("part"))
+        search = written(blocks_apart(written(placed, "placed"), sketched, least, tries), "apart")
         rest = written(search.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
         release(spark)
         if rest.head(1):
@@ -480,30 +485,47 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         again = search.where("a is null").select("place").distinct()
         if not again.head(1):
             break
-        members = written(members.join(again, "place", "left_semi"), "members")
+        left_out = members.select("v", F.explode("places").alias("place")).join(again, "place", "left_semi")
+        members = written(left_out.groupBy("v").agg(F.collect_set("place").alias("places")), "members")
     return found
 
 
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, id, tk, n_shingles, group, component_id of each row of `docs(doc_id, text)`.
+
+    (id, tk) is the row's key (see `with_row_keys`); rows that can be reached from each other
+    share `group`, which is null for texts without words; component_id is the smallest doc_id
+    of the group that is not null.
+    """
+    keyed = with_row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    signed_docs = written(signatures(keyed, size), "signatures")
+    full = signed_docs.where("set_key is not null")
+    classes = written(full.groupBy("set_key").agg(F.min(F.struct("id", "tk")).alias("r"), F.min("doc_id").alias("least")), "classes")
+    reps = full.join(classes, "set_key").where("id = r.id and tk = r.tk").select(F.col("set_key").alias("v"), "id", "tk", "signature").dropDuplicates(["v"])
+    reps = written(reps, "reps")
+    release(docs.sparkSession)
+    found = link_components(keyed, reps, size, percent)
+    if found is not None:
+        classes = classes.join(found.withColumnRenamed("v", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("c", "set_key").alias("group"))
+        classes = written(classes, "groups")
+        least = written(classes.groupBy("group").agg(F.min("least").alias("component_id")), "least")
+        classes = classes.join(least, "group").select("set_key", "group", "component_id")
+    else:
+        classes = classes.select("set_key", F.col("set_key").alias("group"), F.col("least").alias("component_id"))
+    joined = signed_docs.select("doc_id", "id", "tk", "n_shingles", "set_key").join(classes, "set_key", "left")
+    alone = F.col("set_key").isNull()
+    return joined.select("doc_id", "id", "tk", "n_shingles", "group", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of `docs(doc_id, text)`.
 
     Shingles are `size` words of the text with A-Z in lower case; documents are linked if
     100 * intersection >= percent * union; component_id is the smallest doc_id reachable.
-    kept: doc_id = component_id. Null or wordless text: no shingles, linked with nothing. Rows
-    that repeat a doc_id get the same component if their sets are equal, and both are kept or
-    not; give distinct doc_ids to keep one. doc_id is an integer, not null. Other columns are
-    ignored; an empty table gives an empty result.
+    kept: doc_id = component_id, or both are null. Null or wordless text: no shingles, linked
+    with nothing. Rows are told apart by their texts, so rows that share a doc_id may be in
+    different components; in one component they are kept or not together. A null doc_id is never
+    the smallest: such rows are linked like all others, and kept if they reach no row with a
+    doc_id. doc_id is an integer. Other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed_docs = written(signatures(docs, size), "signatures")
-    classes = written(signed_docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("v")), "classes")
-    reps = written(signed_docs.where("set_key is not null").join(classes, ["set_key"]).where("doc_id = v").select("v", "signature").dropDuplicates(["v"]), "reps")
-    release(docs.sparkSession)
-    found = link_components(docs, reps, size, percent)
-    if found is not None:
-        classes = classes.join(found, "v", "left").select("set_key", F.coalesce("c", "v").alias("component"))
-    else:
-        classes = classes.select("set_key", F.col("v").alias("component"))
-    joined = signed_docs.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    joined = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
