@@ -107,6 +107,11 @@ def mean_spectrum(df: DataFrame, column: str = "intensity") -> np.ndarray:
 STEPS = ("emsc", "normalize", "snv", "second_derivative", "baseline")
 
 
+def baseline_between(steps: list[str]) -> list[str]:
+    """The chain that subtracts the baseline first and again before every further step."""
+    return [x for step in steps for x in ("baseline", step)] or ["baseline"]
+
+
 def preprocess_chain(df: DataFrame, steps: list[str], column: str = "intensity", fit_on: Column | None = None, baseline_window: int = 51) -> DataFrame:
     """`df` with `column` replaced by the result of the steps in order.
 

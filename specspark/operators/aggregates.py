@@ -54,10 +54,32 @@ def head_baseline(spectra: DataFrame, points: int = 200) -> DataFrame:
     return spectra.select("spectrum_id", "sample_id", "map_no", (F.aggregate(head, F.lit(0.0), lambda a, v: a + v) / F.size(head)).alias("baseline"))
 
 
+def quantiles(df: DataFrame, keys: tuple[str, ...], value: str, shares: dict[str, float], blocks: int = 64) -> DataFrame:
+    """(keys, one column a share): exact quantiles with linear interpolation.
+
+    Equal values are counted together; ranks come from the counts of blocks of the value range
+    and the order within a block, so the values of one key are spread over many tasks.
+    """
+    keys = list(keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ends = counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    placed = counted.join(ends, keys).withColumn("block", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks)).otherwise(0))
+    sums = placed.groupBy(*keys, "block").agg(F.sum("c").alias("s"))
+    sums = sums.select(*keys, "block", (F.sum("s").over(Window.partitionBy(*keys).orderBy("block")) - F.col("s")).alias("before"))
+    inside = Window.partitionBy(*keys, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(sums, [*keys, "block"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    at = {name: (F.col("n") - 1) * p for name, p in shares.items()}
+    picks = []
+    for name, place in at.items():
+        for tag, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
+            picks.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{name}_{tag}"))
+    found = ranked.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
+    return found.select(*keys, *[(F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (place - F.floor(place))).alias(name) for name, place in at.items()])
+
+
 def box_summary(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Minimum, quartiles (linear) and maximum."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(*keys).agg(q.alias("q")).select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    return quantiles(df, keys, value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -74,11 +96,11 @@ def density_grid(df: DataFrame, key: str, value: str, points: int = 20) -> DataF
     """(key, k, at, density): Gaussian kernel density on an even grid; bandwidth n^(-1/5) times the sample deviation."""
     stats = df.groupBy(key).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi")).where("s > 0")
     stats = stats.withColumn("h", F.pow("n", F.lit(-0.2)) * F.col("s"))
-    rows = df.join(stats, key).select(key, "n", "h", "lo", "hi", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (points - 1)
-    rows = rows.withColumn("at", at).withColumn("u", (F.col("at") - F.col("v")) / F.col("h"))
-    kernel = F.exp(-F.col("u") * F.col("u") / 2) / F.lit(2.5066282746310002)
-    return rows.groupBy(key, "k").agg(F.first("at").alias("at"), (F.sum(kernel) / F.first(F.col("n") * F.col("h"))).alias("density"))
+    at = [F.col("lo") + (F.col("hi") - F.col("lo")) * k / (points - 1) for k in range(points)]
+    kernel = lambda k: F.exp(-F.pow((at[k] - F.col(value)) / F.col("h"), 2) / 2) / F.lit(2.5066282746310002)
+    sums = df.join(stats, key).where(F.col(value).isNotNull()).groupBy(key).agg(*[F.sum(kernel(k)).alias(f"d{k}") for k in range(points)])
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), at[k].alias("at"), (F.col(f"d{k}") / (F.col("n") * F.col("h"))).alias("density")) for k in range(points)])
+    return sums.join(stats, key).select(key, F.explode(grid).alias("g")).select(key, "g.*")
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -52,6 +52,30 @@ def pairwise_distance(samples: DataFrame, x: str = "x", y: str = "y") -> DataFra
     return got.withColumn("d", F.col("dx") + F.col("dy"))
 
 
+def farthest(samples: DataFrame, wx: float = 1.0, wy: float = 1.0) -> DataFrame:
+    """(sample_id, dx, dy, d): the largest distances of each of `samples(sample_id, x, y)` to another; d = wx * dx + wy * dy.
+
+    A pair of blocks gives one row a sample, so nothing grows with the number of pairs.
+    """
+    dealt, n = _blocks(samples.select("sample_id", "x", "y"), "sample_id")
+    pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "sample_id", "x", "y")
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf.block == k] for k in key)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"sample_id": [], "dx": [], "dy": [], "d": []})
+        lx, rx = np.stack(left.x.to_list()), np.stack(right.x.to_list())
+        centre = lx.mean(axis=0)
+        dx = _distance(lx - centre, rx - centre)
+        dy = np.abs(left.y.to_numpy()[:, None] - right.y.to_numpy()[None, :])
+        d = wx * dx + wy * dy
+        sides = [pd.DataFrame({"sample_id": part.sample_id.to_numpy(), "dx": dx.max(axis=k), "dy": dy.max(axis=k), "d": d.max(axis=k)}) for part, k in ((left, 1), (right, 0))]
+        return sides[0] if key[0] == key[1] else pd.concat(sides)
+
+    got = pairs.groupBy("p", "q").applyInPandas(solve, "sample_id string, dx double, dy double, d double")
+    return got.groupBy("sample_id").agg(*[F.max(c).alias(c) for c in ("dx", "dy", "d")])
+
+
 def nearest_neighbours(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, y, d, r): the k nearest rows of `train(id, x, y)` to each row of `test(id, x)`, ties by id."""
     left, n = _blocks(test.select(F.col("id"), "x"), "id")

@@ -3,83 +3,96 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many samples the greedy pass runs over one matrix in one task; beyond, step by step in Spark.
-MATRIX_SAMPLES = 5000
+from .shared import numbered, settled
 
+#: Rows from which one round picks; each is compared with the picks of its round on the driver.
+CANDIDATES = 64
 
-def _greedy(x: np.ndarray, y: np.ndarray, n_train: int) -> list[int]:
-    """Row numbers in the order they are picked: the row of the largest distance, then always the row farthest from all picked."""
-    centred = x - x.mean(axis=0)
-    to = lambda i: np.sqrt(((centred - centred[i]) ** 2).sum(1)) + np.abs(y - y[i])
-    first = max(range(len(y)), key=lambda i: (round(float(to(i).max()), 9), -i))
-    picked, least = [first], to(first)
-    least[first] = -1
-    while len(picked) < n_train:
-        k = int(np.argmax(np.round(least, 9)))
-        picked.append(k)
-        least = np.minimum(least, to(k))
-        least[picked] = -1
-    return picked
 
+def _key(row) -> tuple:
+    return (-round(row["least"], 9), row["sample_id"])
 
-def spxy_split(samples: DataFrame, ratio: float = 0.8) -> DataFrame:
+
+def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) -> DataFrame:
     """(sample_id, part, pick): `samples(sample_id, x array, y)` split by max-min distance in x plus y.
 
     int(ratio * n) samples are train, in the order of `pick`; the rest is validation with null
-    pick. Ties go to the smaller sample_id.
+    pick. Ties go to the smaller sample_id. `scaled` divides both distances by their largest.
+
+    The first pick is the sample of the largest distance. From then on each sample keeps its
+    least distance to the picks. Least distances only fall, so the CANDIDATES samples with the
+    largest ones hold the next picks as long as their own stay above those of all others: each
+    round brings these few rows to the driver, picks as many as that proves, and lowers the
+    least distances of all samples by the round's picks. No task or driver holds all samples.
     """
-    n = samples.count()
-    n_train = int(ratio * n)
-    if n <= MATRIX_SAMPLES:
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("sample_id").reset_index(drop=True)
-            order = _greedy(np.stack(pdf.x.to_list()), pdf.y.to_numpy(), n_train)
-            pick = pd.Series(pd.array([None] * len(pdf), dtype="Int64"))
-            for k, i in enumerate(order):
-                pick[i] = k
-            return pd.DataFrame({"sample_id": pdf.sample_id, "part": np.where(pick.isna(), "validation", "train"), "pick": pick})
-
-        return samples.select("sample_id", "x", "y", F.lit(0).alias("all")).groupBy("all").applyInPandas(solve, "sample_id string, part string, pick long")
-    return _spxy_steps(samples, n_train)
-
-
-def _spxy_steps(samples: DataFrame, n_train: int) -> DataFrame:
-    """The same one pick at a time: each step compares all samples with the last pick only."""
-    from .distances import pairwise_distance
-
-    far = pairwise_distance(samples)
-    ends = far.select(F.col("a").alias("sample_id"), "d").unionByName(far.select(F.col("b").alias("sample_id"), "d"))
-    last = ends.groupBy("sample_id").agg(F.round(F.max("d"), 9).alias("d")).orderBy(F.desc("d"), "sample_id").first()["sample_id"]
-    state = samples.select("sample_id", "x", "y").withColumn("least", F.lit(float("inf")))
-    picked = [last]
-    for step in range(1, n_train):
-        row = samples.where(F.col("sample_id") == last).select("x", "y").first()
-        d = F.sqrt(F.aggregate(F.zip_with("x", F.lit(np.array(row["x"])), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)) + F.abs(F.col("y") - row["y"])
-        state = state.withColumn("least", F.least("least", d))
-        if step % 20 == 0:
-            state = state.checkpoint()
-        last = state.where(~F.col("sample_id").isin(picked)).orderBy(F.desc(F.round("least", 9)), "sample_id").first()["sample_id"]
-        picked.append(last)
-    order = F.array_position(F.lit(np.array(picked)), F.col("sample_id"))
-    return samples.select("sample_id", F.when(order > 0, "train").otherwise("validation").alias("part"), F.when(order > 0, order - 1).alias("pick"))
+    from .distances import farthest
+
+    n_train = int(ratio * samples.count())
+    one = samples.select("sample_id", "x", F.col("y").cast("double").alias("y"))
+    far = settled(farthest(one), "farthest")
+    wx, wy = 1.0, 1.0
+    if scaled:
+        top = far.agg(F.max("dx").alias("dx"), F.max("dy").alias("dy")).first()
+        wx, wy = 1.0 / (top["dx"] or 1.0), 1.0 / (top["dy"] or 1.0)
+        far = settled(farthest(one, wx, wy), "farthest")
+    state = settled(one.join(far.select("sample_id", F.col("d").alias("least")), "sample_id").withColumn("pick", F.lit(None).cast("long")), "state")
+
+    def to(x: np.ndarray, y: float, row) -> float:
+        return wx * float(np.sqrt(((np.array(row["x"]) - x) ** 2).sum())) + wy * abs(row["y"] - y)
+
+    picked, first = 0, True
+    while picked < n_train:
+        top = state.where("pick is null").orderBy(F.desc(F.round("least", 9)), "sample_id").limit(CANDIDATES + 1).collect()
+        pool = [{"sample_id": r["sample_id"], "x": r["x"], "y": r["y"], "least": r["least"]} for r in top]
+        rest = _key(pool.pop()) if len(pool) > CANDIDATES else (float("inf"), "")
+        new = []
+        while pool and picked + len(new) < n_train:
+            best = min(pool, key=_key)
+            if new and _key(best) > rest:
+                break
+            new.append(best)
+            pool.remove(best)
+            if first:  # the largest distance chose it; now distances to the picks count
+                break
+            for r in pool:
+                r["least"] = min(r["least"], to(np.array(best["x"]), best["y"], r))
+        least = F.when(F.lit(first), F.lit(float("inf"))).otherwise(F.col("least"))
+        for r in new:
+            d = F.sqrt(F.aggregate(F.zip_with("x", F.lit(np.array(r["x"])), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)) * wx + F.abs(F.col("y") - r["y"]) * wy
+            least = F.least(least, d)
+        number = F.lit(None).cast("long")
+        for k, r in enumerate(new):
+            number = F.when(F.col("sample_id") == r["sample_id"], F.lit(picked + k)).otherwise(number)
+        state = settled(state.select("sample_id", "x", "y", least.alias("least"), F.coalesce("pick", number).alias("pick")), "state")
+        picked, first = picked + len(new), False
+    return state.select("sample_id", F.when(F.col("pick").isNotNull(), "train").otherwise("validation").alias("part"), "pick")
 
 
 def group_folds(spectra: DataFrame, folds: int = 5) -> DataFrame:
     """(sample_id, fold): all spectra of a sample are in one fold; samples go round in order of their id."""
-    ids = spectra.select("sample_id").distinct()
-    return ids.withColumn("fold", ((F.row_number().over(Window.orderBy("sample_id")) - 1) % folds).cast("int"))
-
-
-def mc_splits(units: DataFrame, key: str, iterations: int, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """(iter, key, part): in each iteration the ceil(share * n) units with the smallest md5 of key and seed are test."""
-    n = units.count()
-    n_test = -int(-test_share * n // 1)
-    drawn = units.select(key).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    drawn = drawn.withColumn("h", F.md5(F.concat(F.col(key).cast("string"), F.lit("_"), (F.col("iter") + seed).cast("string"))))
-    r = F.row_number().over(Window.partitionBy("iter").orderBy("h", key))
-    return drawn.select("iter", key, F.when(r <= n_test, "test").otherwise("train").alias("part"))
+    return numbered(spectra.select("sample_id").distinct(), "sample_id").select("sample_id", (F.col("position") % folds).cast("int").alias("fold"))
+
+
+def mc_splits(units: DataFrame, key: str, iterations: int, test_share: float = 0.2, seed: int = 42, cases: tuple[str, ...] = ()) -> DataFrame:
+    """(cases, iter, key, part): in each iteration the ceil(share * n) units with the smallest md5 of key and seed are test.
+
+    `cases` are columns of `units` that are drawn by themselves. Hashes are counted by their
+    first digits, so only the units of one range of hashes meet in a task.
+    """
+    sizes = units.groupBy(*cases).agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    digits = 1
+    while 16**digits * 256 < largest:
+        digits += 1
+    drawn = units.select(*cases, key).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    drawn = drawn.withColumn("h", F.md5(F.concat(F.col(key).cast("string"), F.lit("_"), (F.col("iter") + seed).cast("string")))).withColumn("range", F.substring("h", 1, digits))
+    by = [*cases, "iter"]
+    ranges = drawn.groupBy(*by, "range").agg(F.count("*").alias("in_range"))
+    ranges = ranges.withColumn("before", F.sum("in_range").over(Window.partitionBy(*by).orderBy("range")) - F.col("in_range")).drop("in_range")
+    placed = drawn.join(ranges, [*by, "range"])
+    placed = placed.join(sizes, list(cases)) if cases else placed.join(F.broadcast(sizes))
+    r = F.col("before") + F.row_number().over(Window.partitionBy(*by, "range").orderBy("h", key))
+    return placed.select(*by, key, F.when(r <= F.ceil(F.lit(test_share) * F.col("n")), "test").otherwise("train").alias("part"))

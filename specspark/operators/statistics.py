@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from specspark.functions.tails import f_p, ks_p, studentised_range_critical, t_p
 
-from .aggregates import moments
-
-
-def _iqr(value: str):
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return q[1] - q[0]
+from .aggregates import moments, quantiles
 
 
 def shift_summary(df: DataFrame, keys=("metric", "set"), value: str = "value") -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), _iqr(value).alias("iqr"))
+    known = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    q = quantiles(df, tuple(keys), value, {"q1": 0.25, "q3": 0.75})
+    return known.join(q, list(keys)).select(*keys, "n", "mean", "std", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def shift_shape(df: DataFrame, keys=("metric", "set"), value: str = "value") -> DataFrame:
@@ -146,5 +143,6 @@ def domain_shift_report(df: DataFrame) -> DataFrame:
     """One row a metric of `df(metric, set, value)`: both summaries and the two-sample statistics; metrics without training values are skipped."""
     s = shift_summary(df).join(shift_shape(df), ["metric", "set"])
     side = lambda name, tag: s.where(F.col("set") == name).select("metric", *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "mean", "std", "iqr", "skewness", "kurtosis")])
-    tests = ks_two_sample(df).select("metric", F.col("d").alias("ks")).join(welch_t(df), "metric").join(cohen_d(df), "metric")
+    ks = with_ks_p(ks_two_sample(df)).select("metric", F.col("d").alias("ks"), F.col("p").alias("ks_p"))
+    tests = ks.join(with_t_p(welch_t(df)).withColumnRenamed("p", "t_p"), "metric").join(cohen_d(df), "metric")
     return side("Train", "train").join(side("Test", "test"), "metric", "left").join(tests, "metric", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from specspark.functions import spectral
 from specspark.operators import aggregates as agg
 from specspark.operators import distances, metadata, models, ranking, splits, statistics
+from specspark.operators.shared import settled
 from specspark.plans import fixtures as fx
 from specspark.plans import tables
 from specspark.plans.fixtures import r6
@@ -80,6 +81,92 @@ def snv_pls_metrics(spark, sf_dir):
     return both.select("level", "n", r6("rmse").alias("rmse"), r6("r2").alias("r2"))
 
 
+# ---- the same fits in SQL -------------------------------------------------------------------
+
+
+def pls_sql(p: str, components: int) -> str:
+    """Partial least squares by deflation for each (c, k), as common table expressions.
+
+    From {p}x0(c, k, s, idx, x, train) and {p}y0(c, k, s, y, train), centred by the training
+    rows, to {p}pred(c, k, s, v): the predictions of all rows, less the training mean.
+    """
+    out = []
+    for a in range(1, components + 1):
+        x, y, w, t, tt, q, load = (f"{p}{n}" for n in (f"x{a - 1}", f"y{a - 1}", f"w{a}", f"t{a}", f"tt{a}", f"q{a}", f"p{a}"))
+        out += [
+            f"{w} as (select c, k, idx, cov / sqrt(sum(cov * cov) over (partition by c, k)) as w from (select {x}.c, {x}.k, idx, sum(x * y) as cov from {x} join {y} on {x}.c = {y}.c and {x}.k = {y}.k and {x}.s = {y}.s where {x}.train group by 1, 2, 3))",
+            f"{t} as materialized (select {x}.c, {x}.k, {x}.s, any_value(train) as train, sum(x * w) as t from {x} join {w} on {x}.c = {w}.c and {x}.k = {w}.k and {x}.idx = {w}.idx group by 1, 2, 3)",
+            f"{tt} as (select c, k, sum(t * t) as tt from {t} where train group by 1, 2)",
+            f"{q} as (select {t}.c, {t}.k, sum(t * y) / any_value(tt) as q from {t} join {y} on {t}.c = {y}.c and {t}.k = {y}.k and {t}.s = {y}.s join {tt} on {t}.c = {tt}.c and {t}.k = {tt}.k where {t}.train group by 1, 2)",
+        ]
+        if a < components:
+            out += [
+                f"{load} as (select {x}.c, {x}.k, idx, sum(x * t) / any_value(tt) as p from {x} join {t} on {x}.c = {t}.c and {x}.k = {t}.k and {x}.s = {t}.s join {tt} on {x}.c = {tt}.c and {x}.k = {tt}.k where {x}.train group by 1, 2, 3)",
+                f"{p}x{a} as materialized (select {x}.c, {x}.k, {x}.s, {x}.idx, x - t * p as x, {x}.train from {x} join {t} on {x}.c = {t}.c and {x}.k = {t}.k and {x}.s = {t}.s join {load} on {x}.c = {load}.c and {x}.k = {load}.k and {x}.idx = {load}.idx)",
+                f"{p}y{a} as (select {y}.c, {y}.k, {y}.s, y - t * q as y, {y}.train from {y} join {t} on {y}.c = {t}.c and {y}.k = {t}.k and {y}.s = {t}.s join {q} on {y}.c = {q}.c and {y}.k = {q}.k)",
+            ]
+    parts = " union all ".join(f"select {p}t{a}.c, {p}t{a}.k, s, t * q as v from {p}t{a} join {p}q{a} on {p}t{a}.c = {p}q{a}.c and {p}t{a}.k = {p}q{a}.k" for a in range(1, components + 1))
+    return ", ".join([*out, f"{p}pred as (select c, k, s, sum(v) as v from ({parts}) group by 1, 2, 3)"])
+
+
+_FOLDS = """meta as (select sample_id, set, case when type = 'Control' then 0 else "target_SI" end as y from samples where type in ('DM1', 'Control')),
+folds as (select sample_id, (row_number() over (order by sample_id) - 1) % 5 as fold from (select distinct sample_id from spectra join meta using (sample_id) where set = 'Train' and y is not null)),
+ly as (select spectrum_id as s, sample_id, y, fold from spectra join meta using (sample_id) join folds using (sample_id)),
+lx as (select l.spectrum_id as s, idx, x, fold from spectra_long l join folds using (sample_id)), ks as (select unnest(range(0, 5)) as k),
+mx as (select k, idx, avg(x) as xm from lx, ks where fold <> k group by 1, 2), my as (select k, avg(y) as ym from ly, ks where fold <> k group by 1),
+bounds as (select i, cast(i * 64 // 10 as int) as s0, cast((i + 1) * 64 // 10 as int) as e0 from (select unnest(range(0, 10)) as i)),
+singles as (select s0 || '-' || e0 as c, i as o, s0, e0, -1 as s1, -1 as e1 from bounds),
+combos as (select * from singles union all select a.s0 || '-' || a.e0 || ';' || b.s0 || '-' || b.e0, 100 + a.i * 100 + b.i, a.s0, a.e0, b.s0, b.e0 from bounds a join bounds b on a.i < b.i)"""
+
+
+def _fold_sql(candidates: str) -> str:
+    return f"""{_FOLDS}, cand as (select c, o, idx from {candidates}, (select unnest(range(0, 64)) as idx) where (idx >= s0 and idx < e0) or (idx >= s1 and idx < e1)),
+fx0 as materialized (select c, mx.k, s, lx.idx, x - xm as x, fold <> mx.k as train from lx join mx using (idx) join cand using (idx)),
+fy0 as (select c, k, s, y - ym as y, fold <> k as train from ly, my, (select distinct c from cand)), {pls_sql('f', 2)},
+held as (select p.c, p.k, ly.sample_id, y, ym + v as pred from fpred p join ly on ly.s = p.s and ly.fold = p.k join my on my.k = p.k),
+held_means as (select c, k, sample_id, avg(y) as y, avg(pred) as pred from held group by 1, 2, 3),
+log as (select h.c as candidate, cast(2 as int) as n_components, cast(h.k as int) as fold, r2_spectrum, r2_sample, rmse_sample from (select c, k, 1 - sum((y - pred) ** 2) / (var_pop(y) * count(*)) as r2_spectrum from held group by 1, 2) h
+  join (select c, k, 1 - sum((y - pred) ** 2) / (var_pop(y) * count(*)) as r2_sample, sqrt(avg((y - pred) ** 2)) as rmse_sample from held_means group by 1, 2) m on m.c = h.c and m.k = h.k),
+scores as (select candidate, n_components, avg(r2_spectrum) as r2_spectrum, avg(r2_sample) as r2_sample, avg(rmse_sample) as rmse_sample from log group by 1, 2)"""
+
+
+_SCORE_COLUMNS = ", ".join(f"{R(c)} as {c}" for c in ("r2_spectrum", "r2_sample", "rmse_sample"))
+_REFIT = f"""best as (select candidate from scores join combos on combos.c = scores.candidate order by r2_sample desc, o limit 1),
+points as (select idx from cand where c = (select candidate from best)), ry as (select spectrum_id as s, sample_id, y, set = 'Train' as train from spectra join meta using (sample_id) where y is not null),
+rm as (select l.idx, avg(l.x) as xm from spectra_long l join ry on ry.s = l.spectrum_id where train group by 1), rym as (select avg(y) as ym from ry where train),
+rx0 as materialized (select 0 as c, 0 as k, ry.s, l.idx, l.x - xm as x, train from spectra_long l join ry on ry.s = l.spectrum_id join rm using (idx) join points using (idx)), ry0 as (select 0 as c, 0 as k, s, y - ym as y, train from ry, rym), {pls_sql('r', 2)}"""
+
+
+def axes_sql(rows: str, components: int, doublings: int = 15) -> str:
+    """Principal axes of the table {rows}(s, idx, x): common table expressions up to axes(j, idx, v, share) and centre(idx, m).
+
+    The covariance matrix is squared again and again, so that its first axis is all that is
+    left of it; then that axis is taken out of the matrix.
+    """
+    out = [
+        f"centre as (select idx, avg(x) as m from {rows} group by 1), cn as (select s, {rows}.idx, x - m as x from {rows} join centre using (idx))",
+        "cov1 as materialized (select a.idx as i, b.idx as j, sum(a.x * b.x) / (count(*) - 1) as v from cn a join cn b on a.s = b.s group by 1, 2), total as (select sum(v) as v from cov1 where i = j)",
+    ]
+    for n in range(1, components + 1):
+        last = f"cov{n}"
+        for d in range(doublings):
+            out.append(f"sq{n}_{d} as materialized (select i, j, v / max(abs(v)) over () as v from (select a.i as i, b.j as j, sum(a.v * b.v) as v from {last} a join {last} b on a.j = b.i group by 1, 2))")
+            last = f"sq{n}_{d}"
+        out.append(f"one{n} as (select i as idx, v / sqrt(sum(v * v) over ()) as v from {last} where j = (select i from {last} where i = j order by v desc limit 1))")
+        out.append(f"axis{n} as materialized (select idx, v * sign((select v from one{n} order by abs(v) desc limit 1)) as v from one{n})")
+        out.append(f"value{n} as (select sum(c.v * a.v * b.v) as v from cov{n} c join axis{n} a on a.idx = c.i join axis{n} b on b.idx = c.j)")
+        if n < components:
+            out.append(f"cov{n + 1} as materialized (select c.i, c.j, c.v - (select v from value{n}) * a.v * b.v as v from cov{n} c join axis{n} a on a.idx = c.i join axis{n} b on b.idx = c.j)")
+    out.append("axes as (" + " union all ".join(f"select {n} as j, idx, v, (select v from value{n}) / (select v from total) as share from axis{n}" for n in range(1, components + 1)) + ")")
+    return ", ".join(out)
+
+
+_SNV_ALL = "snv_all as materialized (select spectrum_id as s, sample_id, idx, (x - avg(x) over w) / stddev_pop(x) over w as x from spectra_long window w as (partition by spectrum_id))"
+_PCA = f"{_SNV_ALL}, snv_train as (select s, idx, x from snv_all join samples using (sample_id) where set = 'Train'), {axes_sql('snv_train', 3)}, pc as (select s, sample_id, " + ", ".join(f"sum((x - m) * v) filter (where j = {n}) as pc{n}" for n in (1, 2, 3)) + " from snv_all join centre using (idx) join axes using (idx) group by 1, 2)"
+_PCS = ", ".join(f"{R(f'pc{n}')} as \"PC{n}\"" for n in (1, 2, 3))
+_SMOOTH = tables._filter_sql("spectra_long", 64, 51, 3, 0)
+_PC_CORR = f"raw_all as materialized (select spectrum_id as s, idx, x from spectra_long join samples using (sample_id)), {axes_sql('raw_all', 1)}, pc as (select s, sum((x - m) * v) as pc1 from raw_all join centre using (idx) join axes using (idx) group by 1), base as (select spectrum_id as s, avg(x) as b from ({_SMOOTH}) group by 1), co as (select count(*) as n, corr(b, pc1) as r from pc join base using (s)), ct as (select n, r, r * sqrt((n - 2) / (1 - r * r)) as t, n - 2 as df from co)"
+
 # ---- interval search -----------------------------------------------------------------------
 
 
@@ -87,7 +174,7 @@ def _rounded(df):
     return df.select(*[r6(c).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
-@query()
+@query(f", {_fold_sql('singles')} select candidate, n_components, {_SCORE_COLUMNS} from scores")
 def interval_scores(spark, sf_dir):
     grams = models.FoldGrams(_train_test(spark, sf_dir)[0])
     table = models.candidate_table(spark, [[b] for b in models.bounds(grams.points, 10)], 2)
@@ -99,18 +186,18 @@ def _search(spark, sf_dir):
     return grams, models.sipls_search(grams, 2, 10, COMBINED)
 
 
-@query()
+@query(f", {_fold_sql('combos')} select candidate, n_components, fold, {_SCORE_COLUMNS}, cast(null as varchar) as error from log")
 def sipls_fold_log(spark, sf_dir):
     return _rounded(_search(spark, sf_dir)[1][2])
 
 
-@query()
+@query(f", {_fold_sql('combos')} select candidate, n_components, {_SCORE_COLUMNS} from scores")
 def sipls_search(spark, sf_dir):
     """All combinations with their mean scores."""
     return _rounded(models.mean_scores(_search(spark, sf_dir)[1][2]))
 
 
-@query()
+@query(f", {_fold_sql('combos')}, {_REFIT} select ry.s as spectrum_id, sample_id, {R('y')} as y, {R('ym + v')} as pred from rpred join ry using (s), rym where not ry.train")
 def sipls_refit(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     best, *_ = models.sipls_search(models.FoldGrams(train), 2, 10, COMBINED)
@@ -130,7 +217,7 @@ def _spxy(train):
     """Train and validation spectra by the distance split of the sample means."""
     mean = agg.as_arrays(train.select("sample_id", F.posexplode("x").alias("idx", "x")).groupBy("sample_id", "idx").agg(F.avg("x").alias("x")))
     split = splits.spxy_split(mean.join(train.select("sample_id", "y").distinct(), "sample_id"))
-    joined = train.join(split, "sample_id").persist()
+    joined = settled(train.join(split, "sample_id"), "split")
     return joined.where("part = 'train'"), joined.where("part = 'validation'")
 
 
@@ -181,7 +268,7 @@ def sipls_evaluate(spark, sf_dir):
 def sipls_multitarget(spark, sf_dir):
     """Intervals from a joint fit of the three targets, then one model each; errors of train and test samples."""
     meta = metadata.drop_missing_target(metadata.impute_controls(metadata.filter_type(fx.samples(spark, sf_dir), ("DM1", "Control"))), fx.TARGETS)
-    table = metadata.join_metadata(fx.spectra(spark, sf_dir).drop("sample_no").withColumnRenamed("intensity", "x"), meta).persist()
+    table = metadata.join_metadata(fx.spectra(spark, sf_dir).drop("sample_no").withColumnRenamed("intensity", "x"), meta)
     train = table.where("set = 'Train'")
     best, *_ = models.sipls_search(models.FoldGrams(train, targets=fx.TARGETS), 2, 10, COMBINED)
     columns, out = models.interval_columns(best), None
@@ -205,24 +292,47 @@ def split_log(spark, sf_dir):
 tables.ORACLE["split_log"] = _SPLIT_SQL.replace("select distinct d.a as sample_id", """, spl as (select distinct d.a as sample_id""", 1).replace("from d, last_", """from d, last_) select spl.sample_id, part, pick, type, round("target_SI", 6) + 0.0 as target_si from spl join samples using (sample_id)""").replace("limit 1)\n    , spl", "limit 1), spl")
 
 
+# The settings that are tried for each model.
+SETTINGS = {
+    "pls": [{"components": c} for c in (1, 2, 3, 4, 5)],
+    "forest": [{"numTrees": 20, "maxDepth": 6}, {"numTrees": 40, "maxDepth": 10}],
+    "boosted": [{"maxIter": 10, "stepSize": 0.1}, {"maxIter": 20, "stepSize": 0.05}],
+    "neighbours": [{"k": 3}, {"k": 7}],
+}
+
+
+def _fitted(kind, train, on, intervals, setting):
+    """Predictions of one model and setting on `on`."""
+    if kind == "pls":
+        columns = models.interval_columns(intervals)
+        coef, base = models.fit_pls(train, setting["components"], columns=columns)
+        return models.predict(on, coef[:, 0], base[0], columns)
+    if kind == "neighbours":
+        pick = lambda df: metadata.select_intervals(df, intervals, "x").withColumnRenamed("spectrum_id", "id")
+        return on.join(distances.knn_predict(pick(on), pick(train), setting["k"]).withColumnRenamed("id", "spectrum_id"), "spectrum_id")
+    return models.tree_regression(kind, train, on, intervals, **setting)[0]
+
+
 @query()
 def multi_model_eval(spark, sf_dir):
-    """The same intervals under each model: PLS, forest, boosted trees, nearest neighbours."""
-    train, test = (x.persist() for x in _train_test(spark, sf_dir, CHAIN))
-    best, *_ = models.sipls_search(models.FoldGrams(train), 2, 10, COMBINED)
-    columns = models.interval_columns(best)
-    coef, base = models.fit_pls(train, 2, columns=columns)
-    parts = {"pls": models.predict(test, coef[:, 0], base[0], columns)}
-    parts["forest"], _ = models.tree_regression("forest", train, test, best, numTrees=20, maxDepth=6)
-    parts["boosted"], _ = models.tree_regression("boosted", train, test, best, maxIter=10, maxDepth=3)
-    pick = lambda df: metadata.select_intervals(df, best, "x").withColumnRenamed("spectrum_id", "id")
-    near = distances.knn_predict(pick(test), pick(train), 5).withColumnRenamed("id", "spectrum_id")
-    parts["neighbours"] = test.join(near, "spectrum_id")
-    out = None
-    for name, p in parts.items():
-        m = agg.regression_metrics(agg.sample_predictions(p.select("sample_id", "y", "pred")).withColumn("pred", F.col("pred_mean"))).withColumn("model", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return _rounded(out)
+    """The same intervals under each model and setting: errors on validation samples, and, for the best setting of each model, on the blind test."""
+    train, test = _train_test(spark, sf_dir, CHAIN)
+    fit, held = (x.persist() for x in _spxy(train))
+    test = test.persist()
+    best, *_ = models.sipls_search(models.FoldGrams(fit), 2, 10, COMBINED)
+    rows = []
+    for kind, settings in SETTINGS.items():
+        scored = []
+        for k, setting in enumerate(settings):
+            m = agg.regression_metrics(agg.sample_predictions(_fitted(kind, fit, held, best, setting).select("sample_id", "y", "pred")).withColumn("pred", F.col("pred_mean"))).first()
+            scored.append((m["rmse"], k))
+            rows.append((kind, str(setting), "validation", m["n"], m["rmse"], m["r2"]))
+        setting = settings[min(scored)[1]]
+        m = agg.regression_metrics(agg.sample_predictions(_fitted(kind, fit, test, best, setting).select("sample_id", "y", "pred")).withColumn("pred", F.col("pred_mean"))).first()
+        rows.append((kind, str(setting), "blind test", m["n"], m["rmse"], m["r2"]))
+    for df in (fit, held, test):
+        df.unpersist()
+    return _rounded(spark.createDataFrame(rows, "model string, setting string, stage string, n long, rmse double, r2 double"))
 
 
 def _trees(spark, sf_dir, kind, **options):
@@ -249,26 +359,34 @@ def _pca(spark, sf_dir):
     return table, models.fit_pca(table.where("set = 'Train'"), 3)
 
 
-@query()
+tables.ORACLE["snv_pls_metrics"] = fx.SQL + f""", meta as (select sample_id, set, case when type = 'Control' then 0 else "target_SI" end as y from samples where type in ('DM1', 'Control')), {_SNV_ALL},
+ry as (select spectrum_id as s, sample_id, y, set = 'Train' as train from spectra join meta using (sample_id) where y is not null),
+rm as (select idx, avg(x) as xm from snv_all join ry using (s) where train group by 1), rym as (select avg(y) as ym from ry where train),
+rx0 as materialized (select 0 as c, 0 as k, ry.s, idx, x - xm as x, train from snv_all join ry using (s) join rm using (idx)), ry0 as (select 0 as c, 0 as k, s, y - ym as y, train from ry, rym), {pls_sql('r', 2)},
+spectrum as (select sample_id, y, ym + v as pred from rpred join ry using (s), rym where not train), sample as (select sample_id, any_value(y) as y, avg(pred) as pred from spectrum group by 1)
+select 'spectrum' as level, {tables._METRICS} from spectrum union all select 'sample', {tables._METRICS} from sample"""
+
+
+@query(f", {_PCA} select s as spectrum_id, sample_id, type, {_PCS} from pc join samples using (sample_id) where set = 'Train'")
 def pca_scores(spark, sf_dir):
     table, fitted = _pca(spark, sf_dir)
     return _rounded(models.pca_scores(table.where("set = 'Train'"), fitted).select("spectrum_id", "sample_id", "type", "PC1", "PC2", "PC3"))
 
 
-@query()
+@query(f", {_PCA} select distinct cast(j as int) as component, {R('100 * share')} as percent from axes")
 def pca_explained(spark, sf_dir):
     _, (_, _, share) = _pca(spark, sf_dir)
     return spark.createDataFrame([(k + 1, round(100 * float(v), 6)) for k, v in enumerate(share)], "component int, percent double")
 
 
-@query()
+@query(f", {_PCA} select s as spectrum_id, sample_id, set, type, {R(chr(34) + 'target_SI' + chr(34))} as target_si, {_PCS} from pc join samples using (sample_id)")
 def pca_project(spark, sf_dir):
     """Train scores and the projection of the test set, with class and target."""
     table, fitted = _pca(spark, sf_dir)
     return _rounded(models.pca_scores(table, fitted).select("spectrum_id", "sample_id", "set", "type", F.col("target_SI").alias("target_si"), "PC1", "PC2", "PC3"))
 
 
-@query()
+@query(f", {_PC_CORR} select n, {R('r')} as r, {R('t')} as t, {R(tables.tail_sql('1', 'df', 'abs(t) / sqrt(df)'))} as p from ct")
 def baseline_pc_corr(spark, sf_dir):
     """Correlation of the smoothed baseline mean with the first component."""
     raw = metadata.join_metadata(fx.spectra(spark, sf_dir).drop("sample_no"), fx.samples(spark, sf_dir)).withColumnRenamed("intensity", "x")
@@ -280,18 +398,40 @@ def baseline_pc_corr(spark, sf_dir):
 
 # ---- Monte-Carlo validation ------------------------------------------------------------------
 
+# The preprocessing chains of the two jobs, and their numbers of iterations.
+MCCV_CHAINS = ([], ["normalize"], ["snv"], ["emsc"], ["second_derivative"], ["normalize", "snv"], ["normalize", "second_derivative"], ["emsc", "second_derivative"], ["snv", "second_derivative"], ["normalize", "emsc"], ["normalize", "emsc", "second_derivative"])
+MAP_CHAINS = ([], ["emsc"], ["normalize"], ["snv"], ["second_derivative"], ["emsc", "normalize"], ["emsc", "snv"], ["emsc", "second_derivative"])
+MCCV_ITERATIONS, MAP_ITERATIONS = 500, 200
 
-def _mccv(spark, sf_dir, iterations=20):
+
+def _validated(spectra, cases, chains, unit, iterations):
+    """Predictions of all cells of chains, cases and iterations; `cases` has a column for each case, null where a spectrum is not in it."""
+    named = F.map_from_arrays(F.array(*[F.lit(c) for c in cases]), F.array(*[F.col(c).cast("double") for c in cases]))
+    table = spectra.select("spectrum_id", "sample_id", F.col("intensity").alias("x"), F.map_filter(named, lambda k, v: v.isNotNull()).alias("cases"))
+    units = table.select(unit, F.explode(F.map_keys("cases")).alias("case")).distinct()
+    draws = splits.mc_splits(units, unit, iterations, cases=("case",))
+    if models.fits_a_task(table):
+        return models.mccv_cells(table, draws, list(chains), unit)
     out = None
-    for chain, emsc in ((["snv"], False), (["normalize"], True)):
-        table = model_table(spark, sf_dir, chain)
-        draws = splits.mc_splits(table.select("sample_id").distinct(), "sample_id", iterations)
-        p = models.mccv(table, draws, "sample_id", 5, emsc).groupBy("sample_id", "iter").agg(F.first("y").alias("y"), F.avg("prediction").alias("prediction"))
-        p = p.withColumn("preprocessing", F.lit("+".join([*chain, *["emsc"] * emsc])))
-        out = p if out is None else out.unionByName(p)
+    for chain in chains:  # the table does not fit a task: one matrix an iteration, chain by chain
+        before = chain[: chain.index("emsc")] if "emsc" in chain else chain
+        rows = spectral.preprocess_chain(table, list(before), "x")
+        for case in cases:
+            own = rows.withColumn("y", F.col("cases")[case]).where("y is not null")
+            p = models.mccv(own, draws.where(F.col("case") == case), unit, 5, "emsc" in chain, chain[len(before) + 1 :])
+            p = p.select(F.lit("+".join(chain) or "none").alias("chain"), F.lit(case).alias("case"), "iter", "spectrum_id", "sample_id", "y", "prediction")
+            out = p if out is None else out.unionByName(p)
     return out
 
 
+def _mccv(spark, sf_dir, iterations=MCCV_ITERATIONS, chains=MCCV_CHAINS):
+    """(preprocessing, target, sample_id, iter, y, prediction): mean prediction of a sample in each iteration that tested it."""
+    meta = metadata.impute_controls(metadata.filter_type(fx.samples(spark, sf_dir), ("DM1", "Control")))
+    joined = metadata.join_metadata(fx.spectra(spark, sf_dir).drop("sample_no"), meta)
+    p = _validated(joined, fx.TARGETS, chains, "sample_id", iterations)
+    return p.groupBy("chain", "case", "sample_id", "iter").agg(F.first("y").alias("y"), F.avg("prediction").alias("prediction")).withColumnsRenamed({"chain": "preprocessing", "case": "target"})
+
+
 @query()
 def mccv_predictions(spark, sf_dir):
     return _rounded(_mccv(spark, sf_dir))
@@ -299,26 +439,32 @@ def mccv_predictions(spark, sf_dir):
 
 @query()
 def mccv_outliers(spark, sf_dir):
-    """Mean, deviation, error and flags by sample, with the rank of the error in its chain."""
-    s = agg.mccv_summary(_mccv(spark, sf_dir), ("preprocessing", "sample_id", "y"))
-    return _rounded(ranking.top_per_group(statistics.outlier_flags(s), ("preprocessing",), 10, F.desc("abs_error"), "sample_id"))
+    """Mean, deviation, error and flags by sample, with the rank of the error in its chain and target; a sample that no iteration tested has no rank."""
+    p = _mccv(spark, sf_dir)
+    meta = metadata.impute_controls(metadata.filter_type(fx.samples(spark, sf_dir), ("DM1", "Control")))
+    known = ranking.unpivot(meta, ("sample_id",), fx.TARGETS, "target", "y").where("y is not null")
+    chains = spark.createDataFrame([("+".join(c) or "none",) for c in MCCV_CHAINS], "preprocessing string")
+    s = ranking.grid(known, chains).join(agg.mccv_summary(p, ("preprocessing", "target", "sample_id")), ["preprocessing", "target", "sample_id"], "left")
+    s = statistics.outlier_flags(s.withColumn("n_tested", F.coalesce("n_tested", F.lit(0))))
+    ranked = ranking.top_per_group(s.where("n_tested > 0"), ("preprocessing", "target"), 10, F.desc("abs_error"), "sample_id")
+    return _rounded(ranked.unionByName(s.where("n_tested = 0").withColumn("r", F.lit(None).cast("int"))))
 
 
 @query()
 def map_comparison(spark, sf_dir):
-    """Error and R2 of repeated spectrum-wise validation for each set of maps and chain, and its three-sigma samples."""
+    """Error and R2 of repeated spectrum-wise validation for each set of maps and chain, spectra that no iteration tested, and the three-sigma samples."""
     from itertools import combinations
 
-    out = None
-    for chain in (["snv"], ["normalize"]):
-        table = model_table(spark, sf_dir, chain).persist()
-        for k in (1, 2, 3):
-            for maps in combinations((1, 2, 3), k):
-                part = table.where(F.col("map_no").isin(*maps))
-                draws = splits.mc_splits(part, "spectrum_id", 5)
-                p = models.mccv(part, draws, "spectrum_id", 5)
-                per = p.groupBy("spectrum_id", "sample_id", "y").agg(F.avg("prediction").alias("pred_mean"), F.stddev_pop("prediction").alias("pred_std"))
-                s = per.groupBy("sample_id").agg(F.first("y").alias("y"), F.avg("pred_mean").alias("pred"), F.avg("pred_std").alias("pred_std"))
-                m = agg.regression_metrics(s).withColumns({"maps": F.lit("+".join(f"Map{i}" for i in maps)), "preprocessing": F.lit("+".join(chain))})
-                out = m if out is None else out.unionByName(m)
-    return _rounded(out)
+    meta = metadata.impute_controls(metadata.filter_type(fx.samples(spark, sf_dir), ("DM1", "Control")), "si_if_null").where("target_SI is not null")
+    joined = metadata.join_metadata(fx.spectra(spark, sf_dir).drop("sample_no"), meta)
+    sets = [maps for k in (1, 2, 3) for maps in combinations((1, 2, 3), k)]
+    cases = {"Map" + "+".join(map(str, maps)): F.when(F.col("map_no").isin(*maps), F.col("target_SI")) for maps in sets}
+    p = _validated(joined.withColumns(cases), tuple(cases), MAP_CHAINS, "spectrum_id", MAP_ITERATIONS).withColumnsRenamed({"chain": "preprocessing", "case": "maps"})
+    keys = ("preprocessing", "maps")
+    per = p.groupBy(*keys, "spectrum_id", "sample_id").agg(F.first("y").alias("y"), F.avg("prediction").alias("pred"), F.stddev_pop("prediction").alias("pred_std"))
+    metrics = agg.regression_metrics(per, keys)
+    sizes = joined.select(F.explode(F.array(*[F.when(F.col("map_no").isin(*maps), F.lit(name)) for name, maps in zip(cases, sets, strict=True)])).alias("maps")).where("maps is not null").groupBy("maps").agg(F.count("*").alias("spectra"))
+    by_sample = per.groupBy(*keys, "sample_id").agg(F.avg("pred_std").alias("pred_std"))
+    odd = statistics.sigma_outliers(by_sample, "pred_std", 3, False, keys).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ",").alias("outliers"))
+    out = metrics.join(sizes, "maps").withColumn("untested", F.col("spectra") - F.col("n")).drop("spectra").join(odd, list(keys), "left")
+    return _rounded(out.withColumn("outliers", F.coalesce("outliers", F.lit(""))))

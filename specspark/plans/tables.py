@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from specspark.functions import spectral
 from specspark.functions.spectral import savgol_matrix
 from specspark.operators import aggregates as agg
 from specspark.operators import distances, metadata, ranking, splits, statistics
+from specspark.operators.shared import shared_path
 from specspark.plans import fixtures as fx
 from specspark.plans.fixtures import r6
 from specspark.sources import spectral_files as files
@@ -68,11 +71,7 @@ def wavenumber_axis(spark, sf_dir):
 @query(f'select sample_id, type, age, sex, {R(chr(34) + "target_SI" + chr(34))} as si, {R(chr(34) + "HGS_pp_avg" + chr(34))} as hgs, {R(chr(34) + "ADF_pp_avg" + chr(34))} as adf from samples')
 def scan_metadata(spark, sf_dir):
     """The metadata written as CSV into the shared folder and scanned."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-meta-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_path(spark, "metadata")
     fx.samples(spark, sf_dir).select(*files.METADATA.names).write.option("header", True).csv(path)
     return files.scan_metadata(spark, path).select("sample_id", "type", "age", "sex", r6("target_SI").alias("si"), r6("HGS_pp_avg").alias("hgs"), r6("ADF_pp_avg").alias("adf"))
 
@@ -222,6 +221,13 @@ def substring_join(spark, sf_dir):
     return metadata.substring_join(fx.spectra(spark, sf_dir).select("file_name").distinct(), fx.samples(spark, sf_dir).where("type <> 'DM2'"))
 
 
+@query("select distinct file_name from (select distinct replace(file_name, 'S_', 'copy of S_') as file_name from spectra) f where exists (select 1 from samples where type <> 'DM2' and contains(f.file_name, samples.sample_id))")
+def substring_theta_join(spark, sf_dir):
+    """Files whose name holds the id of a sample anywhere, not only at its start."""
+    names = fx.spectra(spark, sf_dir).select(F.regexp_replace("file_name", "S_", "copy of S_").alias("file_name")).distinct()
+    return metadata.substring_join(names, fx.samples(spark, sf_dir).where("type <> 'DM2'"), theta=True)
+
+
 @query("select spectrum_id, case when sample_id in (select sample_id from samples where set = 'Train') then 'train' else 'validation' end as part from spectra")
 def split_membership(spark, sf_dir):
     return metadata.split_membership(fx.spectra(spark, sf_dir), fx.samples(spark, sf_dir).where("set = 'Train'")).select("spectrum_id", "part")
@@ -361,20 +367,42 @@ def shift_shape(spark, sf_dir):
     return statistics.shift_shape(fx.scores_long(spark, sf_dir)).select("metric", "set", r6("skewness").alias("skewness"), r6("kurtosis").alias("kurtosis"))
 
 
+#: Points of Simpson's rule in the SQL of tail probabilities.
+_STEPS = 20_000
+
+
+def tail_sql(d1: str, d2: str, tangent: str) -> str:
+    """P(F > f) with d1 and d2 degrees of freedom, where tangent = sqrt(d1 * f / d2); with d1 = 1 and |t| / sqrt(df) the two-sided p of t."""
+    weight = f"case when i = 0 or i = {_STEPS} then 1 when i % 2 = 1 then 4 else 2 end"
+    area = lambda low: f"(({math.pi / 2!r}e0 - {low}) * list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: {weight} * pow(cos({low} + ({math.pi / 2!r}e0 - {low}) * i / {_STEPS}), {d2} - 1) * pow(sin({low} + ({math.pi / 2!r}e0 - {low}) * i / {_STEPS}), {d1} - 1))))"
+    return f"({area(f'atan({tangent})')} / {area('0e0')})"
+
+
+def ks_tail_sql(d: str, n: str, m: str) -> str:
+    z2 = f"({d} * {d} * {n} * {m} / ({n} + {m}))"
+    return f"case when {z2} < 0.04 then 1.0 else least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2.0 * k * k * {z2}))))) end"
+
+
 _KS = "c as (select metric, value, count(*) filter (where set = 'Train') as a, count(*) filter (where set <> 'Train') as b from scores_long group by 1, 2), f as (select metric, abs(sum(a) over w / (sum(a) over (partition by metric)) - sum(b) over w / (sum(b) over (partition by metric))) as gap from c window w as (partition by metric order by value))"
 
 
-@query(f", {_KS} select metric, (select count(*) from scores_long s where s.metric = f.metric and set = 'Train') as n_first, (select count(*) from scores_long s where s.metric = f.metric and set <> 'Train') as n_second, {R('max(gap)')} as d from f group by 1")
+@query(f", {_KS}, k as (select metric, (select count(*) from scores_long s where s.metric = f.metric and set = 'Train') as n_first, (select count(*) from scores_long s where s.metric = f.metric and set <> 'Train') as n_second, max(gap) as d from f group by 1) select metric, n_first, n_second, {R('d')} as d, {R(ks_tail_sql('d', 'n_first', 'n_second'))} as p from k")
 def ks_two_sample(spark, sf_dir):
-    return statistics.ks_two_sample(fx.scores_long(spark, sf_dir)).select("metric", "n_first", "n_second", r6("d").alias("d"))
+    k = statistics.with_ks_p(statistics.ks_two_sample(fx.scores_long(spark, sf_dir)))
+    return k.select("metric", "n_first", "n_second", r6("d").alias("d"), r6("p").alias("p"))
 
 
 _TWO = "two as (select metric, count(*) filter (where set = 'Train') as n1, avg(value) filter (where set = 'Train') as m1, var_samp(value) filter (where set = 'Train') as v1, count(*) filter (where set <> 'Train') as n2, avg(value) filter (where set <> 'Train') as m2, var_samp(value) filter (where set <> 'Train') as v2 from scores_long group by 1)"
 
 
-@query(f", {_TWO} select metric, {R('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)')} as t, {R('(v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))')} as df from two")
+_WELCH = "welch as (select metric, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) as df from two)"
+_T_P = tail_sql("1", "df", "abs(t) / sqrt(df)")
+
+
+@query(f", {_TWO}, {_WELCH} select metric, {R('t')} as t, {R('df')} as df, {R(_T_P)} as p from welch")
 def welch_t(spark, sf_dir):
-    return statistics.welch_t(fx.scores_long(spark, sf_dir)).select("metric", r6("t").alias("t"), r6("df").alias("df"))
+    w = statistics.with_t_p(statistics.welch_t(fx.scores_long(spark, sf_dir)))
+    return w.select("metric", r6("t").alias("t"), r6("df").alias("df"), r6("p").alias("p"))
 
 
 @query(f", {_TWO} select metric, {R('(m1 - m2) / sqrt((v1 + v2) / 2)')} as cohen_d from two")
@@ -385,17 +413,20 @@ def cohen_d(spark, sf_dir):
 _GROUPS = "g as (select metric, map, count(*) as n, avg(value) as mean, var_samp(value) as var from scores_long group by 1, 2), e as (select metric, sum((n - 1) * var) as ssw, sum(n) as n, count(*) as k, sum(n * mean) / sum(n) as grand from g group by 1)"
 
 
-@query(f", {_GROUPS} select e.metric, {R('sum(g.n * (g.mean - grand) ** 2) / (any_value(k) - 1) / (any_value(ssw) / (any_value(e.n) - any_value(k)))')} as f, any_value(k) - 1 as df_between, cast(any_value(e.n) - any_value(k) as bigint) as df_within from g join e using (metric) group by 1")
+@query(f", {_GROUPS}, a as (select e.metric, sum(g.n * (g.mean - grand) ** 2) / (any_value(k) - 1) / (any_value(ssw) / (any_value(e.n) - any_value(k))) as f, any_value(k) - 1 as d1, cast(any_value(e.n) - any_value(k) as bigint) as d2 from g join e using (metric) group by 1) select metric, {R('f')} as f, d1 as df_between, d2 as df_within, {R(tail_sql('d1', 'd2', 'sqrt(d1 * f / d2)'))} as p from a")
 def anova_f(spark, sf_dir):
-    return statistics.anova_f(fx.scores_long(spark, sf_dir)).select("metric", r6("f").alias("f"), "df_between", "df_within")
+    a = statistics.with_f_p(statistics.anova_f(fx.scores_long(spark, sf_dir)))
+    return a.select("metric", r6("f").alias("f"), "df_between", "df_within", r6("p").alias("p"))
 
 
 _AB = "ab as (select a.metric, a.map as a, b.map as b, a.n as n1, a.mean as m1, a.var as v1, b.n as n2, b.mean as m2, b.var as v2 from g a join g b on a.metric = b.metric and a.map < b.map)"
 
 
-@query(f", {_GROUPS}, {_AB} select metric, a, b, {R('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2))')} as t, n1 + n2 - 2 as df from ab")
+@query(f", {_GROUPS}, {_AB}, tt as (select metric, a, b, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) as t, n1 + n2 - 2 as df from ab), pp as (select *, {_T_P} as p from tt) select metric, a, b, {R('t')} as t, df, {R('p')} as p, {R('p * count(*) over (partition by metric)')} as p_bonferroni, p * count(*) over (partition by metric) < 0.05 as reject from pp")
 def pairwise_t(spark, sf_dir):
-    return statistics.pairwise_t(fx.scores_long(spark, sf_dir)).select("metric", "a", "b", r6("t").alias("t"), "df")
+    """Pooled t tests of each two maps with p, p times the number of pairs, and the decision at 5 %."""
+    t = statistics.with_bonferroni(statistics.pairwise_t(fx.scores_long(spark, sf_dir))).withColumn("reject", F.col("p_bonferroni") < 0.05)
+    return t.select("metric", "a", "b", r6("t").alias("t"), "df", r6("p").alias("p"), r6("p_bonferroni").alias("p_bonferroni"), "reject")
 
 
 @query(f", {_GROUPS}, {_AB} select ab.metric, a, b, {R('m2 - m1')} as diff, {R('abs(m2 - m1) / sqrt(ssw / (n - k) / 2 * (1 / n1 + 1 / n2))')} as q from ab join e on e.metric = ab.metric")
@@ -403,6 +434,30 @@ def tukey_hsd(spark, sf_dir):
     return statistics.tukey_hsd(fx.scores_long(spark, sf_dir)).select("metric", "a", "b", r6("diff").alias("diff"), r6("q").alias("q"))
 
 
+@query()
+def tukey_decisions(spark, sf_dir):
+    """Tukey-Kramer comparisons with the simultaneous 95 % interval and the decision; the critical value has no SQL."""
+    t = statistics.with_tukey_interval(statistics.tukey_hsd(fx.scores_long(spark, sf_dir)))
+    return t.select("metric", "a", "b", *[r6(c).alias(c) for c in ("diff", "q", "lower", "upper")], "reject")
+
+
+@query(f", {_GROUPS}, {_AB}, tt as (select metric, a, b, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) as t, n1 + n2 - 2 as df from ab), pp as (select *, {_T_P} as p from tt) select metric || ': ' || a || ' - ' || b as line, {R('t')} as t, {R('p')} as p from pp")
+def report_of_tests(spark, sf_dir):
+    """The pairwise tests written as a tab-separated text report, and the report read again."""
+    t = statistics.with_t_p(statistics.pairwise_t(fx.scores_long(spark, sf_dir)))
+    lines = t.select(F.concat("metric", F.lit(": "), "a", F.lit(" - "), "b").alias("line"), r6("t").alias("t"), r6("p").alias("p"))
+    files.write_report(lines, path := shared_path(spark, "report"), "line")
+    return spark.read.csv(path, sep="\t", header=True, schema="line string, t double, p double")
+
+
+@query(f"select type, sample_id, {R('y')} as y, {R('m')} as pred_mean, {R('s')} as pred_std from (select sample_id, any_value(y) as y, avg(pred) as m, stddev_pop(pred) as s from predictions group by 1) join samples using (sample_id)")
+def write_results(spark, sf_dir):
+    """The result table by sample through the sink, in a folder for each type, and the table read again."""
+    s = agg.sample_predictions(fx.predictions(spark, sf_dir)).join(fx.samples(spark, sf_dir).select("sample_id", "type"), "sample_id")
+    files.write_table(s.select("type", "sample_id", r6("y").alias("y"), r6("pred_mean").alias("pred_mean"), r6("pred_std").alias("pred_std")), path := shared_path(spark, "results"), ("type",))
+    return spark.read.schema("sample_id string, y double, pred_mean double, pred_std double, type string").parquet(path).select("type", "sample_id", "y", "pred_mean", "pred_std")
+
+
 _STATS = "st as (select sample_id, any_value(y) as y, avg(pred) as m, stddev_pop(pred) as s from predictions group by 1)"
 
 
@@ -428,7 +483,7 @@ def _side(tag, name):
     return f"{tag} as (select metric, count(*) as {tag}_n, " + ", ".join(f"{R(x)} as {tag}_{n}" for n, x in cols) + f" from scores_long where set = '{name}' group by 1)"
 
 
-@query(f", {_side('train', 'Train')}, {_side('test', 'Test')}, {_KS}, {_TWO}, k as (select metric, {R('max(gap)')} as ks from f group by 1) select train.*, test.* exclude (metric), k.ks, {R('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)')} as t, {R('(m1 - m2) / sqrt((v1 + v2) / 2)')} as cohen_d from train left join test using (metric) left join k using (metric) left join two using (metric)")
+@query(f", {_side('train', 'Train')}, {_side('test', 'Test')}, {_KS}, {_TWO}, {_WELCH}, k as (select metric, max(gap) as ks from f group by 1) select train.*, test.* exclude (metric), {R('k.ks')} as ks, {R(ks_tail_sql('k.ks', 'train_n', 'test_n'))} as ks_p, {R('t')} as t, {R(_T_P)} as t_p, {R('(m1 - m2) / sqrt((v1 + v2) / 2)')} as cohen_d from train left join test using (metric) left join k using (metric) left join two using (metric) left join welch using (metric)")
 def domain_shift_report(spark, sf_dir):
     d = statistics.domain_shift_report(fx.scores_long(spark, sf_dir)).drop("df")
     return d.select(*[r6(c).alias(c) if k == "double" else F.col(c) for c, k in d.dtypes])
@@ -587,6 +642,12 @@ def preprocess_chain(spark, sf_dir):
     return out
 
 
+@query(f", b1 as (select l.spectrum_id, l.sample_id, l.idx, l.x - b.x as x from spectra_long l join ({_filter_sql('spectra_long', 64, 51, 3, 0)}) b on b.spectrum_id = l.spectrum_id and b.idx = l.idx), c1 as ({_SNV.format('b1')}), b2 as (select l.spectrum_id, l.sample_id, l.idx, l.x - b.x as x from c1 l join ({_filter_sql('c1', 64, 51, 3, 0)}) b on b.spectrum_id = l.spectrum_id and b.idx = l.idx), d1 as ({_filter_sql('b2', 64, 11, 2, 2)}) select spectrum_id, idx, {R('x')} as x from d1")
+def baseline_between_steps(spark, sf_dir):
+    """The chain that takes the baseline off first and again between its steps."""
+    return long_of(spectral.preprocess_chain(fx.spectra(spark, sf_dir), spectral.baseline_between(["snv", "second_derivative"])), "spectrum_id")
+
+
 @query(_POINTS + f"({_EMSC.format('spectra_long', chr(39).join(['where sample_id in (select sample_id from samples where set = ', 'Train', ')']))})")
 def emsc_train_ref(spark, sf_dir):
     s = fx.spectra(spark, sf_dir).join(fx.samples(spark, sf_dir).select("sample_id", "set"), "sample_id", "left")

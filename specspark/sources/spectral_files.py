@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specspark.operators.shared import numbered
+
 #: Layout of a spectral file: header row and this many spectra.
 ROWS = 3
 METADATA = T.StructType(
@@ -75,9 +77,7 @@ def scan_metadata(spark: SparkSession, *paths: str) -> DataFrame:
 
 def number_rows(meta: DataFrame, order: str) -> DataFrame:
     """Legacy key: the position of a row in the order of a column, counted from 0, as text."""
-    from pyspark.sql import Window
-
-    return meta.withColumn("sample_id", (F.row_number().over(Window.orderBy(order)) - 1).cast("string"))
+    return numbered(meta.drop("sample_id"), order).withColumn("sample_id", F.col("position").cast("string")).drop("position")
 
 
 def group_files(files: DataFrame) -> DataFrame:
@@ -107,6 +107,11 @@ def combine(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def write_report(df: DataFrame, path: str, *order: str) -> None:
+    """Text sink: the rows of a result table in order, one line each, as tab-separated text with a header."""
+    df.orderBy(*order).coalesce(1).write.mode("errorifexists").option("header", True).option("sep", "\t").csv(path)
+
+
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = (), kind: str = "parquet") -> None:
     """Result sink: Parquet or CSV, partitioned by the given columns."""
     writer = df.write.mode("errorifexists")

@@ -3,9 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from specspark.functions import spectral, tails
-from specspark.operators import distances, metadata, models, ranking, splits
+from specspark.operators import aggregates as agg
+from specspark.operators import distances, metadata, models, ranking, splits, statistics
 from specspark.operators.gram import Moments, pls
 from specspark.operators.models import FoldGrams, bounds, candidate_table, mean_scores, refine_intervals, score_folds, sipls_search
+from specspark.operators.shared import numbered
 from specspark.plans import fixtures as fx
 from specspark.sources import spectral_files as files
 
@@ -122,37 +124,116 @@ def test_refinement_never_gets_worse(table):
     assert log[0]["rmse"] >= log[1]["rmse"]
 
 
-def test_mccv_with_emsc_and_without(spark, table):
-    draws = splits.mc_splits(table.select("sample_id").distinct(), "sample_id", 3)
+def direct_mccv(pdf, test, chain, components):
+    """Predictions of the test spectra from a plain fit on the others, with the steps one by one."""
+    pdf = pdf[~pdf.y.isna()]
+    x, held = np.stack(pdf.x), pdf.unit.isin(test).to_numpy()
+    for step in chain:
+        if step == "emsc":
+            r = x[~held].mean(0)
+            fits = [np.polyfit(r, v, 1) for v in x]
+            x = np.array([(v - b) / a for v, (a, b) in zip(x, fits, strict=True)])
+        elif step == "snv":
+            x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+        elif step == "normalize":
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        else:
+            x = x @ spectral.savgol_matrix(x.shape[1], 11, 2, 2).T
+    tr, y = x[~held], pdf.y[~held]
+    sx, sy = tr.std(0, ddof=1), y.std(ddof=1)
+    b, _ = plain_pls((tr - tr.mean(0)) / sx, ((y - y.mean()) / sy).to_numpy()[:, None], components)
+    return dict(zip(pdf.spectrum_id[held], ((x[held] - tr.mean(0)) / sx @ b)[:, 0] * sy + y.mean(), strict=True))
+
+
+CHAINS = [[], ["snv"], ["emsc"], ["normalize", "emsc", "second_derivative"], ["emsc", "snv"]]
+
+
+@pytest.mark.parametrize("unit", ["sample_id", "spectrum_id"])
+def test_mccv_cells_equal_direct_fits(spark, table, unit):
+    rows = table.withColumn("x", F.transform("x", lambda v, i: v + i)).withColumn("gap", F.when(F.col("spectrum_id") >= 27, F.col("y") * 2))
+    cases = rows.withColumn("cases", F.map_filter(F.create_map(F.lit("all"), F.col("y"), F.lit("some"), F.col("gap")), lambda k, v: v.isNotNull()))
+    units = cases.select(unit, F.explode(F.map_keys("cases")).alias("case")).distinct()
+    draws = splits.mc_splits(units, unit, 3, cases=("case",))
+    got = models.mccv_cells(cases, draws, CHAINS, unit, 2).toPandas()
+    pdf, parts = rows.toPandas(), draws.toPandas()
+    assert len(got.groupby(["chain", "case", "iter"])) == len(CHAINS) * 2 * 3
+    for (chain, case, it), g in got.groupby(["chain", "case", "iter"]):
+        test = set(parts[(parts.case == case) & (parts.iter == it) & (parts.part == "test")][unit])
+        own = pdf.assign(y=pdf.y if case == "all" else pdf.gap, unit=pdf[unit])
+        want = direct_mccv(own, test, [] if chain == "none" else chain.split("+"), 2)
+        assert set(g.spectrum_id) == set(want) and np.allclose(g.prediction, [want[k] for k in g.spectrum_id])
+
+
+@pytest.mark.parametrize("chain", CHAINS)
+def test_mccv_of_any_size_equals_the_cells(spark, table, chain):
+    rows = table.withColumn("x", F.transform("x", lambda v, i: v + i))
+    draws = splits.mc_splits(rows.select("sample_id").distinct(), "sample_id", 3)
     assert draws.where("part = 'test'").groupBy("iter").count().select("count").distinct().collect()[0][0] == 4
-    for emsc in (False, True):
-        p = models.mccv(table.withColumn("x", F.transform("x", lambda v, i: v + i)), draws, "sample_id", 3, emsc)
-        assert p.count() == 3 * 4 * 9 and p.where("prediction is null").count() == 0
-
-
-def test_mccv_equals_direct_fits(spark, table):
-    draws = splits.mc_splits(table.select("sample_id").distinct(), "sample_id", 2)
-    got = models.mccv(table, draws, "sample_id", 2).toPandas()
-    pdf, parts = table.toPandas(), draws.toPandas()
-    for k, g in got.groupby("iter"):
-        test = set(parts[(parts.iter == k) & (parts.part == "test")].sample_id)
-        tr = pdf[~pdf.sample_id.isin(test)]
-        x = np.stack(tr.x)
-        sx, sy = x.std(0, ddof=1), tr.y.std(ddof=1)
-        b, _ = plain_pls((x - x.mean(0)) / sx, ((tr[["y"]] - tr.y.mean()) / sy).to_numpy(), 2)
-        te = pdf.set_index("spectrum_id").loc[g.spectrum_id]
-        want = ((np.stack(te.x) - x.mean(0)) / sx @ b)[:, 0] * sy + tr.y.mean()
-        assert np.allclose(g.prediction, want)
-
-
-def test_spxy_paths_agree_and_partition(spark, monkeypatch):
+    before = chain[: chain.index("emsc")] if "emsc" in chain else chain
+    p = models.mccv(spectral.preprocess_chain(rows, before, "x"), draws, "sample_id", 3, "emsc" in chain, chain[len(before) + 1 :])
+    cells = models.mccv_cells(rows.withColumn("cases", F.create_map(F.lit("all"), F.col("y"))), draws.withColumn("case", F.lit("all")), [chain], "sample_id", 3)
+    a, b = (x.select("iter", "spectrum_id", "prediction").toPandas().sort_values(["iter", "spectrum_id"]) for x in (p, cells))
+    assert len(a) == 3 * 4 * 9 and a.spectrum_id.tolist() == b.spectrum_id.tolist() and np.allclose(a.prediction, b.prediction)
+
+
+def test_streamed_matrices_are_one_at_a_time(spark, table):
+    from specspark.operators.gram import solve_streamed
+
+    rows = table.select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"), "x", F.array("y").alias("ys")).repartition(5)
+    got = {r["k"]: r["s"] for r in solve_streamed(rows, "k", lambda k, g: {"k": k, "s": float(g.sum())}, "k int, s double", "x", "ys").collect()}
+    pdf = table.toPandas()
+    z = np.column_stack([np.ones(len(pdf)), np.stack(pdf.x), pdf.y])
+    assert len(got) == 30 and np.allclose(list(got.values()), (z.T @ z).sum())
+
+
+def brute_spxy(ids, x, y, n_train, scaled=False):
+    dx, dy = np.linalg.norm(x[:, None] - x[None], axis=-1), np.abs(y[:, None] - y[None])
+    d = dx / dx.max() + dy / dy.max() if scaled else dx + dy
+    picked = [min(range(len(ids)), key=lambda i: (-round(d[i].max(), 9), ids[i]))]
+    while len(picked) < n_train:
+        picked.append(min((i for i in range(len(ids)) if i not in picked), key=lambda i: (-round(d[i, picked].min(), 9), ids[i])))
+    return {ids[i]: (("train", picked.index(i)) if i in picked else ("validation", None)) for i in range(len(ids))}
+
+
+@pytest.mark.parametrize("candidates", [2, 5, 64])
+@pytest.mark.parametrize("scaled", [False, True])
+def test_spxy_is_the_greedy_split(spark, monkeypatch, candidates, scaled):
+    monkeypatch.setattr(splits, "CANDIDATES", candidates)
+    monkeypatch.setattr(distances, "BLOCK", 6)
     rng = np.random.default_rng(4)
-    rows = [(f"s{i:02d}", rng.normal(size=4).tolist(), float(rng.normal())) for i in range(21)]
-    df = spark.createDataFrame(rows, "sample_id string, x array<double>, y double")
-    a = {r[0]: (r[1], r[2]) for r in splits.spxy_split(df).collect()}
-    monkeypatch.setattr(splits, "MATRIX_SAMPLES", 5)
-    b = {r[0]: (r[1], r[2]) for r in splits.spxy_split(df).collect()}
-    assert a == b and sum(p == "train" for p, _ in a.values()) == 16
+    x, y = rng.normal(size=(21, 4)), rng.normal(size=21)
+    x[5], y[5] = x[6], y[6]  # a tie
+    ids = [f"s{i:02d}" for i in rng.permutation(21)]
+    df = spark.createDataFrame([(ids[i], x[i].tolist(), float(y[i])) for i in range(21)], "sample_id string, x array<double>, y double")
+    got = {r[0]: (r[1], r[2]) for r in splits.spxy_split(df, scaled=scaled).collect()}
+    assert got == brute_spxy(ids, x, y, 16, scaled)
+
+
+def test_positions_and_quantiles(spark):
+    rng = np.random.default_rng(7)
+    values = np.round(rng.normal(size=500), 2)
+    df = spark.createDataFrame([(f"k{i % 3}", float(v), i) for i, v in enumerate(values)] + [("k0", None, 999), ("one", 5.0, 1000)], "k string, v double, i long").repartition(6)
+    got = [r["position"] for r in numbered(df, "i").orderBy("i").collect()]
+    assert got == list(range(502))
+    assert numbered(df.limit(0), "i").count() == 0
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.75, "e": 1.0}
+    for r in agg.quantiles(df, ("k",), "v", shares).collect():
+        own = [5.0] if r["k"] == "one" else values[int(r["k"][1]) :: 3]
+        assert np.allclose([r[n] for n in shares], np.quantile(own, list(shares.values())))
+
+
+def test_statistics_have_p_and_decisions(spark):
+    rows = [("m", g, float(v)) for g, base in (("a", 0), ("b", 1), ("c", 8)) for v in (base - 1, base, base + 1, base + 2, base - 2)]
+    df = spark.createDataFrame(rows, "metric string, map string, value double")
+    t = {(r["a"], r["b"]): r for r in statistics.with_bonferroni(statistics.pairwise_t(df)).collect()}
+    # two groups of five with variance 2.5: t = 1 for a difference of 1, with 8 degrees of freedom
+    assert np.isclose(abs(t["a", "b"]["t"]), 1) and abs(t["a", "b"]["p"] - 0.34659351) < 1e-7 and np.isclose(t["a", "b"]["p_bonferroni"], 3 * t["a", "b"]["p"])
+    tukey = {(r["a"], r["b"]): r for r in statistics.with_tukey_interval(statistics.tukey_hsd(df)).collect()}
+    half = 3.7729 * np.sqrt(2.5 / 5)  # critical value of 3 groups and 12 degrees of freedom
+    assert not tukey["a", "b"]["reject"] and tukey["a", "c"]["reject"]
+    assert abs(tukey["a", "c"]["lower"] - (8 - half)) < 5e-3 and abs(tukey["a", "c"]["upper"] - (8 + half)) < 5e-3
+    f = statistics.with_f_p(statistics.anova_f(df)).first()
+    assert np.isclose(f["f"], 38) and (f["df_between"], f["df_within"]) == (2, 12) and f["p"] < 1e-5
 
 
 def test_pca_scores_are_centred_with_eigenvalue_variance(table):
