@@ -53,6 +53,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+#: Rows of a narrow table that are worth a task of their own.
+TASK_ROWS = 20_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, a narrow table of about `rows` rows, in as many tasks as it has TASK_ROWS, at most what it has."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `written` made, once all that reads them is written itself."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few_tasks, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     that label, so the rounds grow with the logarithm of a component's diameter. Labels are
     written after each round.
     """
-    both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct(), "edges")
-    labels = written(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c")), "labels")
+    rows = 2 * edges.count()
+    both = written(few_tasks(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct(), rows), "edges")
+    labels = written(few_tasks(both.groupBy("v").agg(F.min("u").alias("u")), rows).select("v", F.least("v", "u").alias("c")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("near")), "u").groupBy("v").agg(F.min("near").alias("near"))
         hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("jumped"))
-        labels = written(hooked.join(jump, "c").select("v", "old", F.least("c", "jumped").alias("c")), "labels")
+        labels = written(few_tasks(hooked.join(jump, "c"), rows).select("v", "old", F.least("c", "jumped").alias("c")), "labels")
         if not labels.where("c <> old").head(1):
             return labels.select("v", "c")
         labels = labels.select("v", "c")

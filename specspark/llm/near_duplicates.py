@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, release, signed, text_steps, window_hashes, with_row_keys, written
+from .common import Words, few_tasks, mix64, release, signed, text_steps, window_hashes, with_row_keys, written
 from .components import components
 
 SIGNATURE, TREES, BASE_DEPTH, DEPTH = 128, 16, 4, 16
@@ -41,7 +41,7 @@ SKETCH_STEP = 1 << 19
 #: Partners that each document tries per round; in the last round, all.
 ROUNDS = (1, 8, None)
 #: The same for each row of a pair of blocks; a region comes again while some of its pairs are left out.
-BLOCK_ROUNDS = (1, 16, None)
+BLOCK_ROUNDS = (8, None)
 
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(1, 1 << 31, SIGNATURE, dtype=np.int64).astype(np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -276,10 +276,12 @@ def alike(pairs: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
     return pairs.join(sketched, "v").join(second, "u").select("v", "u", "sketch", "other").mapInArrow(run, "v long, u long, same long")
 
 
-def _similar_in_blocks(v, s, part, left, least: int, tries: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+def _similar_in_blocks(v, s, part, left, places, here: int, least: int, tries: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs (a, b) of different parts between the `left` rows and the others, or among all if all are left.
 
-    With `tries`, only those most alike of each row; the last value tells whether there are more.
+    `places` has a row's place in each tree, -1 where it has none; a pair that has met in the
+    place of a tree before `here` is left to that place. With `tries`, only those most alike of
+    each row; the last value tells whether there are more.
     """
     own, others = np.flatnonzero(left), np.flatnonzero(~left)
     alone, found = not len(others), []
@@ -293,8 +295,10 @@ def _similar_in_blocks(v, s, part, left, least: int, tries: int | None) -> tuple
         i, j = own[i], others[j]
         same = _same_pairs_of_bits(s, i, j)
         ok = same >= least
-        if ok.any():
-            found.append(np.stack([i[ok], j[ok], same[ok]]))
+        i, j, same = i[ok], j[ok], same[ok]
+        met = ((places[i, :here] == places[j, :here]) & (places[i, :here] >= 0)).any(axis=1)
+        if not met.all():
+            found.append(np.stack([i[~met], j[~met], same[~met]]))
     if not found:
         return v[:0], v[:0], False
     i, j, same = np.concatenate(found, axis=1)
@@ -309,7 +313,7 @@ def _similar_in_blocks(v, s, part, left, least: int, tries: int | None) -> tuple
 
 
 def blocks_apart(members: DataFrame, sketched: DataFrame, least: int, tries: int | None) -> DataFrame:
-    """(a, b, place): pairs alike among the rows of each place of `members(place, v, part)` that have different parts.
+    """(a, b, place): pairs alike among the rows of each place of `members(place, v, part, places)` that have different parts.
 
     Rows are dealt by hash to blocks of about BLOCK rows, a part of more than BLOCK rows to
     blocks of its own, and each pair of blocks that can hold different parts goes to one task
@@ -320,7 +324,9 @@ def blocks_apart(members: DataFrame, sketched: DataFrame, least: int, tries: int
         def pairs(table):
             s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
             v, part, left = (table.column(c).to_numpy() for c in ("v", "part", "left"))
-            a, b, more = _similar_in_blocks(v, s, part, left, least, tries)
+            trees = np.frombuffer(b"".join(table.column("places").to_pylist()), ">i8").reshape(table.num_rows, TREES)
+            here = int(table.column("place")[0].as_py()) >> (8 * BASE_DEPTH)
+            a, b, more = _similar_in_blocks(v, s, part, left, trees, here, least, tries)
             places = np.unique(table.column("place").to_numpy()) if more else np.zeros(0, np.int64)
             none = pa.nulls(len(places), pa.int64())
             columns = [pa.concat_arrays([pa.array(a, pa.int64()), none]), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(places)])]
@@ -340,21 +346,22 @@ def blocks_apart(members: DataFrame, sketched: DataFrame, least: int, tries: int
         if held is not None:
             yield pairs(held)
 
+    rows = members.count()
     sizes = members.groupBy("place", "part").agg(F.count("*").alias("n"))
     several = sizes.groupBy("place").agg(F.count("*").alias("parts")).where("parts > 1").select("place")
-    sizes = written(sizes.join(several, "place").select("place", "part", "n", (F.col("n") > BLOCK).alias("heavy")), "sizes")
+    sizes = written(few_tasks(sizes.join(several, "place"), rows).select("place", "part", "n", (F.col("n") > BLOCK).alias("heavy")), "sizes")
     group = F.when(F.col("heavy"), F.col("part"))
     groups = sizes.groupBy("place", group.alias("g")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    groups = written(groups.select("place", F.col("g").isNull().alias("light"), F.coalesce("g", F.lit(0).cast("long")).alias("g"), "blocks"), "groups")
+    groups = written(few_tasks(groups, rows).select("place", F.col("g").isNull().alias("light"), F.coalesce("g", F.lit(0).cast("long")).alias("g"), "blocks"), "groups")
     block = F.struct("light", "g", "k")
     blocks = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     both = blocks.select("place", block.alias("x")).join(blocks.select("place", block.alias("y")), "place")
     both = both.where("x <= y and (x.light or y.light or x.g <> y.g)").withColumn("pair", F.xxhash64("place", "x", "y"))
     sides = both.select("place", F.col("x").alias("block"), "pair", F.lit(True).alias("left")).unionByName(both.where("x <> y").select("place", F.col("y").alias("block"), "pair", F.lit(False).alias("left")))
     dealt = members.join(sizes.select("place", "part", (~F.col("heavy")).alias("light"), F.coalesce(group, F.lit(0).cast("long")).alias("g")), ["place", "part"]).join(groups, ["place", "light", "g"])
-    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("place", block.alias("block"), "v", "part")
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("place", block.alias("block"), "v", "part", "places")
     tasks = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    copies = dealt.join(sides, ["place", "block"]).select("pair", "place", "left", "v", "part").join(sketched, "v")
+    copies = dealt.join(sides, ["place", "block"]).select("pair", "place", "left", "v", "part", "places").join(sketched, "v")
     return copies.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(search, "a long, b long, place long")
 
 
@@ -414,12 +421,13 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
     rows = written(forest(reps), "labels")
     pairs = written(candidates(rows, int(np.ceil((percent / 100 - MARGIN) * SIGNATURE))), "candidates")
     release(spark)
-    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree")), "degree")
+    n_pairs = pairs.count()
+    degree = written(few_tasks(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree")), 2 * n_pairs), "degree")
     wide = rows.where("wide").select("v", "wide").unionByName(degree.select("v", F.lit(False).alias("wide"))).groupBy("v").agg(F.max("wide").alias("wide"))
     sets = written(_sets(docs, wide.join(reps.select("v", "id", "tk"), "v"), size).dropDuplicates(["v"]), "sets")
     release(spark)
     of = lambda table, column, name: table.select(F.col("v").alias(name), F.col(column).alias(f"{column}_{name}"))
-    left = written(pairs.join(of(degree, "degree", "a"), "a").join(of(degree, "degree", "b"), "b"), "pairs")
+    left = written(few_tasks(pairs.join(of(degree, "degree", "a"), "a").join(of(degree, "degree", "b"), "b"), n_pairs), "pairs")
     links, found = None, None
     for tries in ROUNDS if left.head(1) else ():
         likely = (F.col("same") >= percent * SIGNATURE / 100).alias("likely")
@@ -431,7 +439,7 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         else:  # `tries` partners of each document, one for each residue of the partner's hash
             best = ways.groupBy("v", F.pmod(F.xxhash64("r.u"), F.lit(tries)).alias("k")).agg(F.max("r").alias("r"))
             chosen = best.select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
-        chosen = written(chosen, "chosen")
+        chosen = written(few_tasks(chosen, n_pairs), "chosen")
         new = written(confirm(chosen, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         if links.head(1):
@@ -439,7 +447,7 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
             left = left.join(of(found, "c", "a"), "a", "left").join(of(found, "c", "b"), "b", "left")
             left = left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
         if tries is not None:
-            left = written(left.join(chosen, ["a", "b"], "left_anti"), "left")
+            left = written(few_tasks(left.join(chosen, ["a", "b"], "left_anti"), n_pairs), "left")
             if not left.head(1):
                 break
         release(spark)
@@ -468,14 +476,16 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
     heads = with_part(pairs_of.select("u").distinct(), "u")
     first = alike(pairs_of.join(heads, "u").where("part_v <> part_u").select("v", "u"), sketched, least)
     best = first.groupBy("v").agg(F.max(F.struct("same", "u")).alias("r")).select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
-    chosen = written(best.join(pairs, ["a", "b"], "left_anti"), "chosen")
+    chosen = written(few_tasks(best.join(pairs, ["a", "b"], "left_anti"), split.count()), "chosen")
     links, found = linked(chosen)
     tried = pairs.select("a", "b").unionByName(chosen)
     release(spark)
     place = F.shiftleft(F.col("tree").cast("long"), 8 * BASE_DEPTH) + F.conv(F.hex(F.substring("label", 1, BASE_DEPTH)), 16, 10).cast("long")
-    members = written(split.groupBy("v").agg(F.collect_set(place).alias("places")), "members")
+    # the place of a row in each tree, -1 where it shares its first bytes with too few, as big-endian bytes
+    by_tree = F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.max(F.when(F.col("tree") == t, place)), F.lit(-1).cast("long"))), 16, "0")) for t in range(TREES)])
+    members = written(split.groupBy("v").agg(by_tree.alias("places"), F.collect_set(place).alias("open")), "members")
     for tries in BLOCK_ROUNDS:
-        placed = with_part(members, "v").select(F.explode("places").alias("place"), "v", F.col("part_v").alias("part"))
+        placed = with_part(members, "v").select(F.explode("open").alias("place"), "v", F.col("part_v").alias("part"), "places")
         search = written(blocks_apart(written(placed, "placed"), sketched, least, tries), "apart")
         rest = written(search.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
         release(spark)
@@ -485,8 +495,8 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         again = search.where("a is null").select("place").distinct()
         if not again.head(1):
             break
-        left_out = members.select("v", F.explode("places").alias("place")).join(again, "place", "left_semi")
-        members = written(left_out.groupBy("v").agg(F.collect_set("place").alias("places")), "members")
+        left_out = members.select("v", "places", F.explode("open").alias("place")).join(again, "place", "left_semi")
+        members = written(left_out.groupBy("v", "places").agg(F.collect_set("place").alias("open")), "members")
     return found
 
 
@@ -529,3 +539,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id. doc_id is an integer. Other columns are ignored; an empty table gives an empty result.
     """
     return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def oracle(size: int = 4, percent: int = 80) -> str:
+    """The query over a `documents` view with distinct doc_ids, in DuckDB SQL: all pairs that share a shingle."""
+    body = r"trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+    return f"""
+with recursive d as (select doc_id, case when {body} = '' then cast([] as varchar[]) else string_split({body}, ' ') end as w from documents),
+sh as materialized (select distinct doc_id, md5(array_to_string(w[i : i + {size - 1}], ' ')) as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - {size - 1}) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as shared from sh x join sh y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+links as materialized (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= {percent} * (x.n + y.n - shared)),
+ways as materialized (select a, b from links union all select b, a from links),
+reach as (select a, b from ways union select r.a, w.b from reach r join ways w on r.b = w.a),
+least_ as (select a as doc_id, min(b) as c from reach group by 1)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(c, d.doc_id)) as kept
+from d left join n on n.doc_id = d.doc_id left join least_ l on l.doc_id = d.doc_id"""
