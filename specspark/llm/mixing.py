@@ -15,7 +15,7 @@ rows is spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import word_count, written
@@ -58,6 +58,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     )
 
 
+def _shuffled(seed: int) -> Column:
+    """The place of a document in its source's shuffled order: the first 60 bits of an MD5 of seed, doc_id and size."""
+    name = F.concat_ws("_", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 17, columns: tuple[str, ...] = ()) -> DataFrame:
     """The mix of `docs(doc_id, text, source)`: one row per row of `docs`.
 
@@ -70,7 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     gives an empty result. All other columns are ignored.
     """
     sizes = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns).withColumn("h", _shuffled(seed)),
         "sizes",
     )
     targets = written(source_targets(sizes, weights, max_repeat), "targets")
@@ -157,3 +163,23 @@ def _last_within_budget(sent: DataFrame, order: list[str]):
     if last is not None:
         return last
     return sent.where(F.col("finish") < edge["lo"]).orderBy(*[F.desc(c) for c in order]).select(*order).first()
+
+
+def oracle(seed: int = 17) -> str:
+    """The query over a `documents` view, in DuckDB SQL, with the default weights."""
+    words = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+    weights = " ".join(f"when {k} then {w}.0e0" for k, w in enumerate(WEIGHTS))
+    return f"""
+with d as (select doc_id, source, cast({words} as bigint) as size from documents),
+s0 as (select source, sum(size) as source_size, count(*) as n_rows, row_number() over (order by source nulls last) as rank from d group by source),
+s1 as (select *, case (rank - 1) % {len(WEIGHTS)} {weights} end as weight, {MAX_REPEAT}.0e0 * source_size as lim, cast(sum(source_size) over () as double) as total from s0),
+s2 as (select *, sum(weight) over () as all_weight, coalesce(sum(lim) over w, 0e0) as lim_before, coalesce(sum(weight) over w, 0e0) as weight_before from s1 window w as (order by lim / weight, rank rows between unbounded preceding and 1 preceding)),
+s3 as (select *, (total - lim_before) / (all_weight - weight_before) as level from s2),
+s4 as (select *, (select level from s3 where level * weight <= lim order by lim / weight, rank limit 1) as l from s3),
+t as (select source, rank, n_rows, cast(source_size as bigint) as source_size, total, least(lim, coalesce(l * weight, lim)) as target from s4),
+k as (select d.*, rank, source_size, target, total, cast('0x' || substr(md5('{seed}_' || coalesce(cast(doc_id as varchar), '') || '_' || size), 1, 15) as bigint) as h, cast(ceil(n_rows / {BLOCK_ROWS}.0) as bigint) as blocks from d join t on d.source is not distinct from t.source),
+q as (select *, h % blocks as block, sum(size) over (partition by rank order by h % blocks, h, doc_id, size rows unbounded preceding) as sent, row_number() over (partition by rank order by h % blocks, h, doc_id, size) as line from k),
+c as (select q.*, copy, (copy * source_size + sent - size / 2) / target as finish from q, (select unnest(range(0, {MAX_REPEAT})) as copy) where size > 0 and target > 0),
+o as (select doc_id, rank, line, size, sum(size) over (order by finish, rank, copy, line rows unbounded preceding) as upto, total from c where finish <= 1),
+x as (select rank, line, count(*) as copies from o where upto <= total group by 1, 2)
+select q.doc_id, q.size, q.source_size, q.target, cast(coalesce(copies, 0) * q.size as bigint) as taken from q left join x on x.rank = q.rank and x.line = q.line"""

@@ -61,4 +61,4 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup)}
-ORACLE_SQL = {"op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle()}
+ORACLE_SQL = {"op3_mix_sources": mixing.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": near_duplicates.oracle()}

@@ -273,3 +273,23 @@ def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP, report
 
     kind = dict(docs.dtypes)["doc_id"]
     return keyed.join(spans, ["id", "tk"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+
+
+def oracle(length: int = BYTES, reported: int = REPORTED) -> str:
+    """The digest query over a `documents` view, in DuckDB SQL: every window of every text, by its hash."""
+
+    def runs(name: str, size: int) -> str:
+        return f"""{name}_w as (select doc_id, i, hash(substr(h, 2 * i + 1, {2 * size})) as m from (select doc_id, h, unnest(range(0, n - {size - 1})) as i from d where n >= {size})),
+{name}_r as (select doc_id, i from {name}_w where m in (select m from {name}_w group by m having count(*) > 1)),
+{name}_g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as g from (select doc_id, i, case when i - {size} <= lag(i) over (partition by doc_id order by i) then 0 else 1 end as new from {name}_r)),
+{name} as (select doc_id, g, min(i) as a, max(i) + {size} as b from {name}_g group by 1, 2)"""
+
+    return f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+{runs("gone", length)}, {runs("seen", reported)},
+pieces as (select doc_id, a as place, substr(h, 2 * coalesce(lag(b) over w, 0) + 1, 2 * (a - coalesce(lag(b) over w, 0))) as piece from gone join d using (doc_id) window w as (partition by doc_id order by a)
+  union all select doc_id, n, substr(h, 2 * last + 1) from d join (select doc_id, max(b) as last from gone group by 1) using (doc_id)),
+kept as (select doc_id, string_agg(piece, '' order by place) as h from pieces group by 1),
+g as (select doc_id, sum(b - a) as removed, count(*) as spans from gone group by 1), r as (select doc_id, sum(b - a) as repeated from seen group by 1)
+select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256, cast(coalesce(repeated, 0) as bigint) as n_repeated
+from d left join kept on kept.doc_id = d.doc_id left join g on g.doc_id = d.doc_id left join r on r.doc_id = d.doc_id"""
