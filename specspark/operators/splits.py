@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 
 from .shared import numbered, settled
 
-#: Rows from which one round picks; each is compared with the picks of its round on the driver.
-CANDIDATES = 64
-
-
-def _key(row) -> tuple:
-    return (-round(row["least"], 9), row["sample_id"])
+#: Rows from which one round picks; they are compared with the picks of their round on the driver.
+CANDIDATES = 256
 
 
 def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) -> DataFrame:
@@ -25,8 +21,8 @@ def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) ->
     The first pick is the sample of the largest distance. From then on each sample keeps its
     least distance to the picks. Least distances only fall, so the CANDIDATES samples with the
     largest ones hold the next picks as long as their own stay above those of all others: each
-    round brings these few rows to the driver, picks as many as that proves, and lowers the
-    least distances of all samples by the round's picks. No task or driver holds all samples.
+    round brings these rows to the driver, picks as many as that proves, and lowers the
+    least distances of all samples by the round's picks. The driver holds CANDIDATES samples at most.
     """
     from .distances import farthest
 
@@ -40,34 +36,32 @@ def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) ->
         far = settled(farthest(one, wx, wy), "farthest")
     state = settled(one.join(far.select("sample_id", F.col("d").alias("least")), "sample_id").withColumn("pick", F.lit(None).cast("long")), "state")
 
-    def to(x: np.ndarray, y: float, row) -> float:
-        return wx * float(np.sqrt(((np.array(row["x"]) - x) ** 2).sum())) + wy * abs(row["y"] - y)
-
     picked, first = 0, True
     while picked < n_train:
         top = state.where("pick is null").orderBy(F.desc(F.round("least", 9)), "sample_id").limit(CANDIDATES + 1).collect()
-        pool = [{"sample_id": r["sample_id"], "x": r["x"], "y": r["y"], "least": r["least"]} for r in top]
-        rest = _key(pool.pop()) if len(pool) > CANDIDATES else (float("inf"), "")
+        bound = (-round(top[-1]["least"], 9), top[-1]["sample_id"]) if len(top) > CANDIDATES else (np.inf, "")  # all others come after it
+        pool = sorted(top[:CANDIDATES], key=lambda r: r["sample_id"])
+        x, y, far_off = np.array([r["x"] for r in pool]), np.array([r["y"] for r in pool]), np.array([r["least"] for r in pool], float)
         new = []
-        while pool and picked + len(new) < n_train:
-            best = min(pool, key=_key)
-            if new and _key(best) > rest:
+        while picked + len(new) < n_train and len(new) < len(pool):
+            k = int(np.argmax(np.round(far_off, 9)))
+            if new and (-round(float(far_off[k]), 9), pool[k]["sample_id"]) > bound:
                 break
-            new.append(best)
-            pool.remove(best)
+            new.append(pool[k])
             if first:  # the largest distance chose it; now distances to the picks count
                 break
-            for r in pool:
-                r["least"] = min(r["least"], to(np.array(best["x"]), best["y"], r))
-        least = F.when(F.lit(first), F.lit(float("inf"))).otherwise(F.col("least"))
-        for r in new:
-            d = F.sqrt(F.aggregate(F.zip_with("x", F.lit(np.array(r["x"])), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)) * wx + F.abs(F.col("y") - r["y"]) * wy
-            least = F.least(least, d)
-        number = F.lit(None).cast("long")
-        for k, r in enumerate(new):
-            number = F.when(F.col("sample_id") == r["sample_id"], F.lit(picked + k)).otherwise(number)
-        state = settled(state.select("sample_id", "x", "y", least.alias("least"), F.coalesce("pick", number).alias("pick")), "state")
-        picked, first = picked + len(new), False
+            far_off = np.minimum(far_off, wx * np.sqrt(((x - x[k]) ** 2).sum(axis=1)) + wy * np.abs(y - y[k]))
+            far_off[k] = -np.inf
+        rows = [(r["sample_id"], picked + k, list(r["x"]), float(r["y"])) for k, r in enumerate(new)]
+        picks = F.broadcast(state.sparkSession.createDataFrame(rows, "sample_id string, number long, px array<double>, py double"))
+        picked, last = picked + len(new), picked + len(new) == n_train
+        placed = state.join(picks.select("sample_id", "number"), "sample_id", "left").withColumn("pick", F.coalesce("pick", "number")).drop("number")
+        if not last:  # the least distance to the picks of this round
+            others = picks.agg(F.collect_list(F.struct("px", "py")).alias("picks"))
+            gap = lambda q: wx * F.sqrt(F.aggregate(F.zip_with("x", q["px"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)) + wy * F.abs(F.col("y") - q["py"])
+            nearest = F.array_min(F.transform("picks", gap))
+            placed = placed.join(F.broadcast(others)).withColumn("least", nearest if first else F.least("least", nearest)).drop("picks")
+        state, first = settled(placed.select("sample_id", "x", "y", "least", "pick"), "state"), False
     return state.select("sample_id", F.when(F.col("pick").isNotNull(), "train").otherwise("validation").alias("part"), "pick")
 
 
