@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, language_model, licenses, mixing, near_duplicates, quality, sharding, substring_dedup, suffix_dedup
+from . import contamination, language, language_model, licenses, merkle, mixing, near_duplicates, quality, sharding, substring_dedup, suffix_dedup
 from .common import doc_remainder, read_table
 
 
@@ -60,5 +60,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup)}
-ORACLE_SQL = {"op3_mix_sources": mixing.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": near_duplicates.oracle()}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.when(doc_remainder(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = merkle.manifest(docs.withColumn("changed", merkle.leaf(text=tampered)), columns=("changed",))
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup, op13_merkle_manifest)}
+ORACLE_SQL = {"op3_mix_sources": mixing.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": near_duplicates.oracle(), "op13_merkle_manifest": merkle.oracle()}
