@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, language_model, licenses, merkle, mixing, near_duplicates, quality, sharding, substring_dedup, suffix_dedup
+from . import byte_pairs, contamination, language, language_model, licenses, merkle, mixing, near_duplicates, quality, sharding, substring_dedup, suffix_dedup
 from .common import doc_remainder, read_table
 
 
@@ -60,6 +60,14 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_pairs.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = byte_pairs.decode(byte_pairs.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     tampered = F.when(doc_remainder(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
@@ -68,5 +76,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup, op12_byte_bpe, op13_merkle_manifest)}
 ORACLE_SQL = {"op3_mix_sources": mixing.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": near_duplicates.oracle(), "op13_merkle_manifest": merkle.oracle()}
