@@ -3,15 +3,14 @@
 Texts are cut into pre-tokens (words below). Words are not moved once for each place they stand
 at: a task numbers the distinct words of a block of texts, keeps the texts as positions in that
 numbering, and explodes the numbered words alone. The global shuffle by word brings equal words
-together, each distinct word is encoded once, its ids are joined back to (block, number), and
-the ids of a text are put together by position. Both sides of that last step are written in
+together, each distinct word is encoded once, its ids go back to (block, number), and the ids
+of a text are put together by position. Both sides of that last step are written in
 buckets by block, so the positions, the larger side, never move.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import itertools
 import uuid
 
@@ -23,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, shared_dir, text_steps
+from .common import release, shared_dir, text_steps
 
 #: Text bytes and distinct words at which a block is closed; characters that are cut into words at once.
 BLOCK_BYTES, BLOCK_WORDS, PIECE = 32 << 20, 500_000, 4 << 20
@@ -37,14 +36,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(ranks: tuple):
-    import tiktoken
-
-    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=dict(ranks), special_tokens={})
-
-
-def _words(text: str, pattern) -> "itertools.chain":
+def _words(text: str, pattern):
     """Lists of the pre-tokens of a text, in order; a long text gives several."""
     if len(text) <= PIECE:
         yield pattern.findall(text)
@@ -113,38 +105,38 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """`words(word, ...)` with the ids of each distinct word: equal words meet in one shuffle and are encoded once."""
-    shared = words.sparkSession.sparkContext.broadcast(tuple(ranks.items()))
-
-    @F.pandas_udf("array<int>")
-    def encode(column):
-        one = _encoder(shared.value)
-        return column.map(one.encode_ordinary)
+    """(block, numbers, lengths, tokens) of `words(word, block, number)`: the ids of each word, rows of one block put together.
 
-    encode = encode.asNondeterministic()  # so that Spark does not move it past the distinct rows
-    met = words.repartition("word")
-    return met.join(met.select("word").distinct().select("word", encode("word").alias("tokens")).hint("merge"), "word")
-
-
-def _packed(coded: DataFrame) -> DataFrame:
-    """`coded(block, number, tokens)`, rows of one block put together: (block, numbers, lengths, tokens)."""
+    One shuffle brings equal words to one task, where they stand one after the other and are
+    encoded once. A word has one row a block at most, whatever it stands for in the texts.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(ranks)
     kind = pa.list_(pa.int32())
 
     def run(batches):
+        import tiktoken
+
+        encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+        last, known = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-            batch = batch.take(pa.array(order))
-            blocks, tokens = batch.column(0).to_numpy(), batch.column(2)
+            coded = batch.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            tokens = [known if w == last else encode(w) for w in distinct]
+            last, known = distinct[-1], tokens[-1]
+            order = np.argsort(batch.column(1).to_numpy(), kind="stable")
+            blocks, numbers = batch.column(1).to_numpy()[order], batch.column(2).to_numpy()[order]
+            tokens = pa.array(tokens, kind).take(coded.indices.take(pa.array(order)))
+            lengths = pc.list_value_length(tokens)
             head = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
             ends = np.concatenate([head, [len(blocks)]])
-            lengths = pc.list_value_length(tokens).cast(pa.int32())
             at = np.concatenate([[0], np.cumsum(lengths.to_numpy())])[ends]
-            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((ends, batch.column(1)), (ends, lengths), (at, tokens.flatten()))]
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((ends, pa.array(numbers)), (ends, lengths), (at, tokens.flatten()))]
             yield pa.RecordBatch.from_arrays([pa.array(blocks[head]), *[x.cast(kind) for x in lists]], names=["block", "numbers", "lengths", "tokens"])
 
-    return coded.select("block", "number", "tokens").mapInArrow(run, "block long, numbers array<int>, lengths array<int>, tokens array<int>")
+    met = words.select("word", "block", "number").repartition("word").sortWithinPartitions("word")
+    return met.mapInArrow(run, "block long, numbers array<int>, lengths array<int>, tokens array<int>")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -159,7 +151,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = _bucketed(_numbered(docs, pattern, kind), buckets)
     words = table.where("words is not null").select("block", "first", F.posexplode("words").alias("k", "word")).select("word", "block", (F.col("first") + F.col("k")).alias("number"))
-    coded = _bucketed(_packed(encode_words(words, ranks)), buckets)
+    coded = _bucketed(encode_words(words, ranks), buckets)
     release(spark)
     texts = table.where("positions is not null").select("block", "ids", "counts", "positions")
 
