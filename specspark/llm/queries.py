@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, contamination, language, language_model, licenses, merkle, mixing, near_duplicates, quality, sharding, substring_dedup, suffix_dedup
-from .common import doc_remainder, read_table
+from . import byte_pairs, contamination, language, language_model, licenses, merkle, mixing, near_duplicates, quality, runs, sharding, substring_dedup, suffix_dedup
+from .common import doc_remainder, read_table, word_array
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,33 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document, by crc32 of its doc_id, the words from the a-th on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(F.col("h") / 10), F.size("w").cast("long")
+    planted = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, word_array(F.col("text"))))
+    planted = planted.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - F.col("a") - 1), lambda i: F.get("w", (F.col("a") + i % F.col("p")).cast("int")))
+    words = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail)
+    return planted.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_planted_runs(read_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,5 +103,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup, op12_byte_bpe, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_mix_sources, op4_quality_rules, op5_substring_dedup, op6_decontaminate, op7_license_scan, op8_suffix_array_dedup, op9_shard, op10_minhash_dedup, op11_periodic_runs, op12_byte_bpe, op13_merkle_manifest)}
 ORACLE_SQL = {"op3_mix_sources": mixing.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": contamination.oracle(), "op7_license_scan": licenses.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": near_duplicates.oracle(), "op13_merkle_manifest": merkle.oracle()}
