@@ -81,11 +81,18 @@ NO_ID = -(1 << 63)
 
 
 def row_key() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tk")]
+    """(id, tk): doc_id, and 128 bits of the SHA-256 of the text and of what is null; `id` is never null.
+
+    So rows of one doc_id, or without one, are told apart by their texts, null from empty, and
+    a missing doc_id from the smallest one, which only share their place in the order of ids.
+    """
+    nulls = F.concat(F.when(F.col("doc_id").isNull(), "-").otherwise("+"), F.when(F.col("text").isNull(), "-").otherwise("+"))
+    whole = F.sha2(F.concat(nulls, F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.substring(whole, 1, 32)).alias("tk")]
 
 
 def with_row_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, id, tk): `id` is never null, and (id, tk) tells apart rows that share a doc_id but not a text."""
+    """(doc_id, text, id, tk): (id, tk) tells apart rows that share a doc_id but not a text (see `row_key`)."""
     return docs.select("doc_id", "text", *row_key())
 
 

@@ -1,12 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are put into a shuffled order that depends on doc_id alone, so
-reruns agree. A document's virtual finish time is the words its source has sent up to and
-including it, divided by the source's target; half of the document is taken off, so that a cut
-falls on the nearer side of the document that it meets. All sources are then merged in order
-of virtual time and cut where the sources' targets (time 1) or the total budget are reached: a
-source misses its target by half of the document at the edge at most, and by its share of the
-words that the halves of all sources together would have been over the budget.
+Each source's documents are put into a shuffled order that depends on doc_id and text alone, so
+reruns agree, also for rows without a doc_id. A document's virtual finish time is the words its
+source has sent up to and including it, divided by the source's target; half of the document is
+taken off, so that a cut falls on the nearer side of the document that it meets. All sources are
+then merged in order of virtual time and cut where the sources' targets (time 1) or the total
+budget are reached: a source misses its target by half of the document at the edge at most, and by
+its share of the words that the halves of all sources together would have been over the budget.
 
 Nothing is gathered by source: the running sums come from blocks of the shuffled order
 (sums of blocks first, then the order within each block), so a source with a third of all
@@ -59,8 +59,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
 
 
 def _shuffled(seed: int) -> Column:
-    """The place of a document in its source's shuffled order: the first 60 bits of an MD5 of seed, doc_id and size."""
-    name = F.concat_ws("_", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    """The place of a document in its source's shuffled order: the first 60 bits of an MD5 of seed, doc_id and text."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    name = F.concat_ws("_", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     gives an empty result. All other columns are ignored.
     """
     sizes = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns).withColumn("h", _shuffled(seed)),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns, _shuffled(seed).alias("h")),
         "sizes",
     )
     targets = written(source_targets(sizes, weights, max_repeat), "targets")
@@ -170,14 +171,14 @@ def oracle(seed: int = 17) -> str:
     words = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
     weights = " ".join(f"when {k} then {w}.0e0" for k, w in enumerate(WEIGHTS))
     return f"""
-with d as (select doc_id, source, cast({words} as bigint) as size from documents),
+with d as (select doc_id, source, cast({words} as bigint) as size, md5(coalesce(text, '')) as m from documents),
 s0 as (select source, sum(size) as source_size, count(*) as n_rows, row_number() over (order by source nulls last) as rank from d group by source),
 s1 as (select *, case (rank - 1) % {len(WEIGHTS)} {weights} end as weight, {MAX_REPEAT}.0e0 * source_size as lim, cast(sum(source_size) over () as double) as total from s0),
 s2 as (select *, sum(weight) over () as all_weight, coalesce(sum(lim) over w, 0e0) as lim_before, coalesce(sum(weight) over w, 0e0) as weight_before from s1 window w as (order by lim / weight, rank rows between unbounded preceding and 1 preceding)),
 s3 as (select *, (total - lim_before) / (all_weight - weight_before) as level from s2),
 s4 as (select *, (select level from s3 where level * weight <= lim order by lim / weight, rank limit 1) as l from s3),
 t as (select source, rank, n_rows, cast(source_size as bigint) as source_size, total, least(lim, coalesce(l * weight, lim)) as target from s4),
-k as (select d.*, rank, source_size, target, total, cast('0x' || substr(md5('{seed}_' || coalesce(cast(doc_id as varchar), '') || '_' || size), 1, 15) as bigint) as h, cast(ceil(n_rows / {BLOCK_ROWS}.0) as bigint) as blocks from d join t on d.source is not distinct from t.source),
+k as (select d.*, rank, source_size, target, total, cast('0x' || substr(md5('{seed}_' || coalesce(cast(doc_id as varchar), '') || '_' || m), 1, 15) as bigint) as h, cast(ceil(n_rows / {BLOCK_ROWS}.0) as bigint) as blocks from d join t on d.source is not distinct from t.source),
 q as (select *, h % blocks as block, sum(size) over (partition by rank order by h % blocks, h, doc_id, size rows unbounded preceding) as sent, row_number() over (partition by rank order by h % blocks, h, doc_id, size) as line from k),
 c as (select q.*, copy, (copy * source_size + sent - size / 2) / target as finish from q, (select unnest(range(0, {MAX_REPEAT})) as copy) where size > 0 and target > 0),
 o as (select doc_id, rank, line, size, sum(size) over (order by finish, rank, copy, line rows unbounded preceding) as upto, total from c where finish <= 1),

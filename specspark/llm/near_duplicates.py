@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash signatures in an LSH forest, links confirmed on full sets.
 
-Documents with equal shingle sets form a class, named by the hash of its set, and one of its
-texts goes on alone. A signature has one byte for each of SIGNATURE minimum hashes. Each of TREES orders sorts the
+Documents with equal shingle sets, told by two independent hashes and the size of the set, form a
+class, and one of its texts goes on alone. A signature has one byte for each of SIGNATURE minimum hashes. Each of TREES orders sorts the
 signatures by bytes of its own choice. Documents that share the first BASE_DEPTH bytes of an
 order are compared; where more than REGION documents share them the region is split by further
 bytes (adaptive depth), and there every document is also compared with its neighbours in the
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, few_tasks, mix64, release, signed, text_steps, window_hashes, with_row_keys, written
@@ -104,7 +104,10 @@ def _same_pairs_of_bits(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, id, tk, n_shingles, set_key, signature) of each row of `docs(doc_id, id, tk, text)`; empty sets have null keys."""
+    """(doc_id, id, tk, n_shingles, set_key, set_check, signature) of each row of `docs(doc_id, id, tk, text)`; empty sets have null keys.
+
+    set_key and set_check are independent 64-bit hashes of the whole set.
+    """
 
     def run(batches):
         for batch in batches:
@@ -113,15 +116,19 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 value, row = shingle_sets(step.column(3), size)
                 n = np.bincount(row, minlength=n_rows)
                 full = np.flatnonzero(n)
-                keys, sketches = [None] * n_rows, [None] * n_rows
+                keys, checks, sketches = [None] * n_rows, [None] * n_rows, [None] * n_rows
                 if len(full):
                     starts = np.searchsorted(row, full)
                     key = signed(mix64(np.add.reduceat(mix64(value), starts) + np.bitwise_xor.reduceat(value, starts)))
-                    for i, k, s in zip(full.tolist(), key.tolist(), _signatures(value, starts), strict=True):
-                        keys[i], sketches[i] = k, s.tobytes()
-                yield pa.RecordBatch.from_arrays([*step.columns[:3], pa.array(n), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "id", "tk", "n_shingles", "set_key", "signature"])
+                    check = signed(np.add.reduceat(mix64(value ^ np.uint64(0xD6E8FEB86659FD93)), starts))
+                    for i, k, c, s in zip(full.tolist(), key.tolist(), check.tolist(), _signatures(value, starts), strict=True):
+                        keys[i], checks[i], sketches[i] = k, c, s.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [*step.columns[:3], pa.array(n), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "id", "tk", "n_shingles", "set_key", "set_check", "signature"],
+                )
 
-    return docs.select("doc_id", "id", "tk", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, id long, tk int, n_shingles long, set_key long, signature binary")
+    return docs.select("doc_id", "id", "tk", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, id long, tk binary, n_shingles long, set_key long, set_check long, signature binary")
 
 
 def _trees(batches):
@@ -510,19 +517,23 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     keyed = with_row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     signed_docs = written(signatures(keyed, size), "signatures")
     full = signed_docs.where("set_key is not null")
-    classes = written(full.groupBy("set_key").agg(F.min(F.struct("id", "tk")).alias("r"), F.min("doc_id").alias("least")), "classes")
-    reps = full.join(classes, "set_key").where("id = r.id and tk = r.tk").select(F.col("set_key").alias("v"), "id", "tk", "signature").dropDuplicates(["v"])
+    whole = ["set_key", "set_check", "n_shingles"]
+    classes = full.groupBy(*whole).agg(F.min(F.struct("id", "tk")).alias("r"), F.min("doc_id").alias("least"))
+    # sets that share set_key alone are classes of their own
+    nth = F.row_number().over(Window.partitionBy("set_key").orderBy("set_check", "n_shingles")) - 1
+    classes = written(classes.withColumn("v", F.col("set_key").bitwiseXOR(nth)), "classes")
+    reps = full.join(classes, whole).where("id = r.id and tk = r.tk").select("v", "id", "tk", "signature").dropDuplicates(["v"])
     reps = written(reps, "reps")
     release(docs.sparkSession)
     found = link_components(keyed, reps, size, percent)
     if found is not None:
-        classes = classes.join(found.withColumnRenamed("v", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("c", "set_key").alias("group"))
+        classes = classes.join(found, "v", "left").select(*whole, "least", F.coalesce("c", "v").alias("group"))
         classes = written(classes, "groups")
         least = written(classes.groupBy("group").agg(F.min("least").alias("component_id")), "least")
-        classes = classes.join(least, "group").select("set_key", "group", "component_id")
+        classes = classes.join(least, "group").select(*whole, "group", "component_id")
     else:
-        classes = classes.select("set_key", F.col("set_key").alias("group"), F.col("least").alias("component_id"))
-    joined = signed_docs.select("doc_id", "id", "tk", "n_shingles", "set_key").join(classes, "set_key", "left")
+        classes = classes.select(*whole, F.col("v").alias("group"), F.col("least").alias("component_id"))
+    joined = signed_docs.select("doc_id", "id", "tk", *whole).join(classes, whole, "left")
     alone = F.col("set_key").isNull()
     return joined.select("doc_id", "id", "tk", "n_shingles", "group", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

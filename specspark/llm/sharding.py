@@ -111,7 +111,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, c
 
     Columns: doc_id, size (UTF-8 bytes + 1), text_crc32, shard (0..shards-1), slot (0.. without
     gaps within the shard). Null text counts as empty; null doc_id orders first. Repeated rows
-    are rows of their own and get slots of their own; slots follow blocks of ids, then id, key and
+    are rows of their own and get slots of their own; slots follow blocks of (id, key), then id, key and
     size, and rows equal in all of these may change places. An empty table gives an empty result; a
     text larger than a shard makes its shard larger. `columns` of `docs` come along, all others
     are ignored.
@@ -133,7 +133,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, c
     for key, id_ in cuts:
         number = number + F.when((F.col("key") > F.lit(key)) | ((F.col("key") == F.lit(key)) & (F.col("id") >= F.lit(id_))), 1).otherwise(0)
     blocks = max(1, rows.count() // BLOCK_ROWS)
-    number, block = number.cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    number, block = number.cast("int").alias("shard"), F.pmod(F.xxhash64("id", "key"), F.lit(blocks)).alias("block")
     before = (
         rows.select(number, block)
         .groupBy("shard", "block")

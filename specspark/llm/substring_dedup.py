@@ -54,7 +54,7 @@ def _cell_table(docs: DataFrame, sizes: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     hashes = ", ".join(f"{x} long" for x in names[: len(sizes)])
-    return docs.select("id", "tk", "text").mapInArrow(run, f"{hashes}, id long, tk int, first int, last int")
+    return docs.select("id", "tk", "text").mapInArrow(run, f"{hashes}, id long, tk binary, first int, last int")
 
 
 def _window_table(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
@@ -65,15 +65,16 @@ def _window_table(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
             for step in text_steps(batch):
                 words = Words(step.column(2))
                 h = window_hashes(words.hashes(), length)
-                ids, keys, out = step.column(0).to_pylist(), step.column(1).to_pylist(), []
+                out = []
                 for i, rs in enumerate(step.column(3).to_pylist()):
                     at = np.unique(np.concatenate([np.arange(r["start"], r["stop"]) for r in rs]))
-                    out.append((h[words.first[i] + at], np.full(len(at), ids[i]), np.full(len(at), keys[i]), at))
+                    out.append((h[words.first[i] + at], np.full(len(at), i), at))
                 if out:
-                    w, d, k, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(d), pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32))], names=["window", "id", "tk", "start"])
+                    w, row, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(w)), step.column(0).take(row), step.column(1).take(row), pa.array(at.astype(np.int32))], names=["window", "id", "tk", "start"])
 
-    return docs.join(ranges, ["id", "tk"]).select("id", "tk", "text", "spans").mapInArrow(run, "window long, id long, tk int, start int")
+    return docs.join(ranges, ["id", "tk"]).select("id", "tk", "text", "spans").mapInArrow(run, "window long, id long, tk binary, start int")
 
 
 def surviving_cells(docs: DataFrame, length: int = WORDS) -> DataFrame:

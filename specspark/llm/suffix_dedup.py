@@ -57,7 +57,7 @@ def _cell_table(docs: DataFrame, length: int, shortest: int, part: int) -> DataF
                 places = [pa.array((x - base).astype(np.int32)) for x in (first, at, stop)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(grams[at])), pa.array(signed(body)), step.column(0).take(at_row), step.column(1).take(at_row), *places], names=["anchor", "body", "id", "tk", "first", "at", "stop"])
 
-    return docs.select("id", "tk", "text").mapInArrow(run, "anchor long, body long, id long, tk int, first int, at int, stop int")
+    return docs.select("id", "tk", "text").mapInArrow(run, "anchor long, body long, id long, tk binary, first int, at int, stop int")
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -242,7 +242,7 @@ def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP, report
     that also start elsewhere, removed or not. Null counts as the empty text. Every row is a text
     of its own, with or without a doc_id of its own: equal rows are two places, so what reaches
     the length goes from both, and rows that share a doc_id but not a text are told apart (by
-    the id and 32 bits of the text's hash). Shorter texts stay whole; other columns are ignored;
+    the id and 128 bits of the text's hash). Shorter texts stay whole; other columns are ignored;
     an empty table gives an empty result. Cells are compared by 64-bit hashes, differing ones by
     their bytes.
     """
