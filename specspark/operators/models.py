@@ -20,8 +20,12 @@ from .splits import group_folds
 
 
 def targets_of(df: DataFrame, *columns: str) -> DataFrame:
-    """The targets as one array `ys`; rows with a null target are dropped."""
-    return df.na.drop(subset=list(columns)).withColumn("ys", F.array(*[F.col(c).cast("double") for c in columns]))
+    """The targets as one array `ys`; rows with a null target or an undefined spectrum (null `x`) are dropped.
+
+    Every fit starts here, so a spectrum that a chain cannot define, such as a constant one under
+    SNV, takes no part in any, and its prediction is null.
+    """
+    return df.na.drop(subset=["x", *columns]).withColumn("ys", F.array(*[F.col(c).cast("double") for c in columns]))
 
 
 def fit_pls(train: DataFrame, components: int, scaled: bool = False, columns: list[int] | None = None, targets: tuple[str, ...] = ("y",)) -> tuple[np.ndarray, np.ndarray]:
@@ -139,65 +143,6 @@ def sipls_search(grams: FoldGrams, components: int, intervals: int, most: int, t
     return ([(i["s"], i["e"]) for i in best["intervals"]] if best else None), best, log
 
 
-def sipls_grid(grams: FoldGrams, component_list, interval_list, most: int, top_k: int = 30) -> list[dict]:
-    """Best combination of every cell of components and interval counts; a cell that fails has an error."""
-    out = []
-    for c in component_list:
-        for i in interval_list:
-            try:
-                best, score, _ = sipls_search(grams, c, i, most, top_k)
-                cell = {"error": "nothing could be fitted"} if best is None else {"intervals": best, "r2": score["r2_sample"], "rmse": score["rmse_sample"], "error": None}
-            except ValueError as e:
-                cell = {"error": str(e)}
-            out.append({"n_components": c, "n_intervals": i, "ordinal": len(out), **cell})
-    return out
-
-
-def refine_intervals(train: DataFrame, validation: DataFrame, intervals, components: int, shift: int) -> tuple[list[tuple[int, int]], list[dict]]:
-    """Bounds refined one interval after the other: the shift with the smallest validation error is kept if it gains.
-
-    The upper bound is clamped to the last index. Returns the intervals and a log of the steps.
-    """
-    spark = train.sparkSession
-    fit = collect_grams(gram_rows(targets_of(train, "y").withColumn("all", F.lit(0)), "all", "x", "ys"))[0]
-    held = collect_grams(gram_rows(targets_of(validation, "y").withColumn("all", F.lit(0)), "all", "x", "ys"))[0]
-    shared = spark.sparkContext.broadcast((fit, held))
-    top = len(fit) - 3
-
-    def error(combo) -> float:
-        fit_, held_ = shared.value
-        columns = interval_columns(combo)
-        coef, base = pls(Moments(fit_, 1, columns), components)
-        return float(np.sqrt(Moments(held_, 1, columns).squared_error(coef, base)[0] / held_[0, 0]))
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"ordinal": pdf.ordinal, "rmse": [error([(i["s"], i["e"]) for i in c]) for c in pdf.intervals]})
-
-    current, log = [tuple(map(int, i)) for i in intervals], []
-    best = error(current)
-    for k in range(len(current)):
-        s, e = current[k]
-        moves = [(max(0, min(top, s + a)), max(0, min(top, e + b))) for a in range(-shift, shift + 1) for b in range(-shift, shift + 1)]
-        combos = [[*current[:k], m, *current[k + 1 :]] for m in moves if m[0] < m[1]]
-        combos = [c for c in combos if len(interval_columns(c)) >= components]
-        found = candidate_table(spark, combos, components).mapInPandas(run, "ordinal long, rmse double").orderBy("rmse", "ordinal").first() if combos else None
-        gain = found is not None and found["rmse"] < best - 1e-12
-        if gain:
-            best, current = found["rmse"], combos[found["ordinal"]]
-        log.append({"step": k, "s": current[k][0], "e": current[k][1], "rmse": best, "moved": gain})
-    return current, log
-
-
-def refine_by_folds(grams: FoldGrams, intervals, components: int, shift: int = 1):
-    """The variant that moves all bounds jointly and takes the smallest mean fold error."""
-    from .ranking import joint_shift_grid
-
-    table = candidate_table(grams.spark, joint_shift_grid(list(intervals), shift, grams.points - 1), components)
-    best = mean_scores(score_folds(grams, table)).join(table, ["candidate", "n_components"]).orderBy("rmse_sample", "ordinal").first()
-    return [(i["s"], i["e"]) for i in best["intervals"]], best
-
-
 # ---- Monte-Carlo validation --------------------------------------------------------------
 
 

@@ -6,15 +6,19 @@ from pyspark.sql import functions as F
 
 from specspark.functions import spectral
 from specspark.operators import aggregates as agg
-from specspark.operators import distances, metadata, models, ranking, splits, statistics
+from specspark.operators import distances, metadata, models, ranking, search, splits, statistics
 from specspark.operators.shared import settled
 from specspark.plans import fixtures as fx
 from specspark.plans import tables
 from specspark.plans.fixtures import r6
 from specspark.plans.tables import R, query
 
-#: Steps of the default chain, components, intervals and combinations of the registered runs.
-CHAIN, COMPONENTS, INTERVALS, COMBINED, SHIFT = ["snv"], (1, 2, 3), (5, 10), 2, 2
+#: Steps of the default chain; intervals combined in the single searches.
+CHAIN, COMBINED = ["snv"], 2
+# Component counts, interval counts (as far as an axis of 64 points allows), combined
+# intervals, shift of a bound and chains of the full search.
+COMPONENTS, INTERVALS, MOST_COMBINED, SHIFT = (2, 3, 4, 5, 6, 7, 8, 9), (10, 15, 20, 30, 40, 50, 60), 4, 50
+SEARCH_CHAINS = ([], ["emsc"], ["normalize"], ["snv"], ["second_derivative"])
 
 
 def model_table(spark, sf_dir, steps=(), target="target_SI", where="true"):
@@ -206,62 +210,86 @@ def sipls_refit(spark, sf_dir):
     return _rounded(models.predict(test, coef[:, 0], base[0], columns).select("spectrum_id", "sample_id", "y", "pred"))
 
 
+def _search_moments(spark, sf_dir, chains, split=False):
+    """Moments of the chains on the training rows, all in part `fit`, or split by distance on the raw spectra, with the test rows."""
+    rows = model_table(spark, sf_dir).select("spectrum_id", "sample_id", "set", "x", "y").where("y is not null")
+    if split:
+        part = _spxy_parts(rows.where("set = 'Train'"))
+        named = F.when(F.col("set") == "Test", "test").when(F.col("part") == "train", "fit").when(F.col("part") == "validation", "held")
+        rows = rows.join(part, "sample_id", "left").withColumn("part", named).where("part is not null")
+    else:
+        rows = rows.where("set = 'Train'").withColumn("part", F.lit("fit"))
+    rows, out = settled(rows, "rows"), None
+    for steps in chains:
+        one = spectral.preprocess_chain(rows, list(steps), "x", F.col("part") == "fit").select(F.lit("+".join(steps) or "none").alias("chain"), "part", "sample_id", "x", F.array("y").alias("ys"))
+        out = one if out is None else out.unionByName(one)
+    return search.SearchMoments(out)
+
+
+def _as_text():
+    return F.array_join(F.transform("intervals", lambda i: F.concat_ws("-", i["s"], i["e"])), ";").alias("intervals")
+
+
 @query()
 def sipls_grid(spark, sf_dir):
-    cells = models.sipls_grid(models.FoldGrams(_train_test(spark, sf_dir)[0]), COMPONENTS, INTERVALS, COMBINED)
-    rows = [(c["n_components"], c["n_intervals"], str(c.get("intervals")), c.get("r2"), c.get("rmse"), c["error"]) for c in cells]
-    return _rounded(spark.createDataFrame(rows, "n_components int, n_intervals int, intervals string, r2 double, rmse double, error string"))
+    """The best combination of every cell of component and interval counts, all in one job."""
+    cells = search.interval_grid(_search_moments(spark, sf_dir, [[]]), COMPONENTS, INTERVALS, MOST_COMBINED)
+    return _rounded(cells.select("n_components", "n_intervals", _as_text(), F.col("r2_sample").alias("r2"), F.col("rmse_sample").alias("rmse"), "candidates", "error"))
+
+
+@query(f", {_fold_sql('combos')} select candidate as intervals, n_components, cast(10 as int) as n_intervals, {_SCORE_COLUMNS}, cast(55 as bigint) as candidates from scores join combos on combos.c = scores.candidate order by scores.r2_sample desc, o limit 1")
+def sipls_grid_cell(spark, sf_dir):
+    """One cell of the grid that SQL can follow: two components, ten intervals, up to two combined."""
+    cells = search.interval_grid(_search_moments(spark, sf_dir, [[]]), (2,), (10,), COMBINED)
+    return _rounded(cells.select(_as_text(), "n_components", "n_intervals", "r2_spectrum", "r2_sample", "rmse_sample", "candidates"))
+
+
+def _spxy_parts(train):
+    """(sample_id, part): the distance split of the sample means of `train`."""
+    mean = agg.as_arrays(train.select("sample_id", F.posexplode("x").alias("idx", "x")).groupBy("sample_id", "idx").agg(F.avg("x").alias("x")))
+    return splits.spxy_split(mean.join(train.select("sample_id", "y").distinct(), "sample_id")).select("sample_id", "part")
 
 
 def _spxy(train):
     """Train and validation spectra by the distance split of the sample means."""
-    mean = agg.as_arrays(train.select("sample_id", F.posexplode("x").alias("idx", "x")).groupBy("sample_id", "idx").agg(F.avg("x").alias("x")))
-    split = splits.spxy_split(mean.join(train.select("sample_id", "y").distinct(), "sample_id"))
-    joined = settled(train.join(split, "sample_id"), "split")
+    joined = settled(train.join(_spxy_parts(train), "sample_id"), "split")
     return joined.where("part = 'train'"), joined.where("part = 'validation'")
 
 
 @query()
 def refine_intervals(spark, sf_dir):
-    fit, held = _spxy(_train_test(spark, sf_dir)[0])
-    _, log = models.refine_intervals(fit, held, [(6, 12), (38, 44)], 2, 3)
+    """The bounds of two intervals moved by up to 50 points each, one interval after the other, by the error on the validation spectra."""
+    log = search.refine_on_held(_search_moments(spark, sf_dir, [[]], split=True), [("none", 2, [(6, 12), (38, 44)])], SHIFT)
     return _rounded(spark.createDataFrame([(x["step"], x["s"], x["e"], x["rmse"], x["moved"]) for x in log], "step int, s int, e int, rmse double, moved boolean"))
 
 
 @query()
 def refine_intervals_cv(spark, sf_dir):
-    grams = models.FoldGrams(_train_test(spark, sf_dir)[0])
-    found, best = models.refine_by_folds(grams, [(6, 12), (38, 44)], 2)
-    return _rounded(spark.createDataFrame([(k, s, e, best["rmse_sample"]) for k, (s, e) in enumerate(found)], "k int, s int, e int, rmse double"))
+    """All four bounds moved jointly by up to three points, by the mean error of the folds."""
+    found, rmse = search.refine_on_folds(_search_moments(spark, sf_dir, [[]]), "none", 2, [(6, 12), (38, 44)], 3)
+    return _rounded(spark.createDataFrame([(k, s, e, rmse) for k, (s, e) in enumerate(found)], "k int, s int, e int, rmse double"))
 
 
-def evaluate(spark, sf_dir, steps=(), components=COMPONENTS, interval_list=INTERVALS, most=COMBINED, shift=SHIFT):
-    """(metrics, predictions): split, grid, calibration, refinement, retraining on all, blind test."""
-    train, test = _train_test(spark, sf_dir, steps)
-    fit, held = _spxy(train)
-    cells = [c for c in models.sipls_grid(models.FoldGrams(fit), components, interval_list, most) if c["error"] is None]
-    scored = []
-    for c in cells:
-        columns = models.interval_columns(c["intervals"])
-        coef, base = models.fit_pls(fit, c["n_components"], columns=columns)
-        rmse = agg.regression_metrics(agg.sample_predictions(models.predict(held, coef[:, 0], base[0], columns)).withColumn("pred", F.col("pred_mean"))).first()["rmse"]
-        scored.append((rmse, c["ordinal"], c))
-    best = min(scored, key=lambda x: x[:2])[2]
-    refined, _ = models.refine_intervals(fit, held, best["intervals"], best["n_components"], shift)
-    out, blind = None, None
-    for stage, intervals, rows, on in (("calibration", best["intervals"], fit, held), ("refined", refined, fit, held), ("retrained", refined, train, train), ("blind test", refined, train, test)):
-        columns = models.interval_columns(intervals)
-        coef, base = models.fit_pls(rows, best["n_components"], columns=columns)
-        p = models.predict(on, coef[:, 0], base[0], columns)
-        s = agg.sample_predictions(p)
-        part = agg.regression_metrics(s.withColumn("pred", F.col("pred_mean"))).select(F.lit(stage).alias("stage"), F.lit(str(intervals)).alias("intervals"), F.lit(best["n_components"]).alias("n_components"), "n", "rmse", "r2")
-        out, blind = (part if out is None else out.unionByName(part)), s
-    return _rounded(out), _rounded(blind)
+def evaluate(moments, components=COMPONENTS, interval_list=INTERVALS, most=MOST_COMBINED, shift=SHIFT):
+    """(chain, stage, intervals, n_components, n, rmse, r2): grid on folds, calibration on the validation samples, refinement, retraining on all, blind test.
+
+    All chains go through each step together; what comes to the driver is one row a chain.
+    """
+    cells = settled(search.interval_grid(moments, components, interval_list, most), "cells")
+    scored = search.held_errors(moments, cells).withColumn("ordinal", F.array_position(F.array(*[F.lit(c) for c in components]), F.col("n_components")) * 1000 + F.col("n_intervals"))
+    best = ranking.best_setting(scored, ("chain",), "held_rmse", "ordinal", ("n_components", "n_intervals", "intervals")).collect()
+    start = [(r["chain"], r["n_components"], [(i["s"], i["e"]) for i in r["intervals"]]) for r in sorted(best, key=lambda r: r["chain"])]
+    refined = {x["chain"]: x["intervals"] for x in search.refine_on_held(moments, start, shift)}
+    stages = []
+    for chain, c, intervals in start:
+        stages += [(chain, "calibration", "fit", "held", c, intervals), (chain, "refined", "fit", "held", c, refined[chain]), (chain, "retrained", "all", "all", c, refined[chain]), (chain, "blind test", "all", "test", c, refined[chain])]
+    return search.stage_metrics(moments, stages)
 
 
 @query()
 def sipls_evaluate(spark, sf_dir):
-    return evaluate(spark, sf_dir, CHAIN)[0]
+    """Five chains from one distance split to the blind test, over the full grid and shifts."""
+    return _rounded(evaluate(_search_moments(spark, sf_dir, SEARCH_CHAINS, split=True)))
 
 
 @query()

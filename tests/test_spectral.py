@@ -6,7 +6,7 @@ from specspark.functions import spectral, tails
 from specspark.operators import aggregates as agg
 from specspark.operators import distances, metadata, models, ranking, splits, statistics
 from specspark.operators.gram import Moments, pls
-from specspark.operators.models import FoldGrams, bounds, candidate_table, mean_scores, refine_intervals, score_folds, sipls_search
+from specspark.operators.models import FoldGrams, bounds, candidate_table, mean_scores, score_folds, sipls_search
 from specspark.operators.shared import numbered
 from specspark.plans import fixtures as fx
 from specspark.sources import spectral_files as files
@@ -119,11 +119,6 @@ def test_search_finds_the_interval_that_carries_the_signal(spark, table):
     assert (2, 4) in best
 
 
-def test_refinement_never_gets_worse(table):
-    _, log = refine_intervals(table.where("spectrum_id < 140"), table.where("spectrum_id >= 140"), [(1, 4), (8, 12)], 1, 1)
-    assert log[0]["rmse"] >= log[1]["rmse"]
-
-
 def direct_mccv(pdf, test, chain, components):
     """Predictions of the test spectra from a plain fit on the others, with the steps one by one."""
     pdf = pdf[~pdf.y.isna()]
