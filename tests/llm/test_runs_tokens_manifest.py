@@ -145,7 +145,9 @@ def test_byte_pairs_odd_rows_and_blocks(spark, ranks, tiktoken_, monkeypatch):
     rows = [*odd_rows(), (None, "<|endoftext|> it's  \n\n 12345 we'll\x1c\x85　x", None, None), (12, "\U0001f600́ ʼn �" * 30, "en", "a"), (13, "a" * 3000, "en", "a"), (14, " " * 500 + "\t\n" * 20, "en", "a")]
     docs = table(spark, rows).withColumn("block", F.lit("old")).withColumn("tokens", F.lit(1))
     got = byte_pairs.decode(byte_pairs.encode(docs, ranks, P.PATTERN), ranks).collect()
+    both = byte_pairs.encode(docs, ranks, P.PATTERN, decoded=True).collect()
     key = lambda x: (x[0] is not None, x)
+    assert sorted(map(tuple, both), key=key) == sorted(map(tuple, got), key=key)
     want = [(i, tiktoken_.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in rows]
     assert sorted(((r["doc_id"], r["tokens"], bytes(r["decoded"])) for r in got), key=key) == sorted(want, key=key)
     assert byte_pairs.decode(byte_pairs.encode(table(spark, []), ranks, P.PATTERN), ranks).count() == 0
