@@ -7,8 +7,6 @@ the spectra: their size is that of the axis, whatever the number of spectra.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,30 +43,6 @@ def collect_grams(rows: DataFrame) -> dict:
     return {k: np.stack([v[i] for i in range(len(v))]) for k, v in found.items()}
 
 
-def solve_streamed(df: DataFrame, key: str, solve: Callable[[object, np.ndarray], dict], schema: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Apply `solve(key, gram)` to the matrix of the rows of each key; it returns one row as a dict.
-
-    The rows of a key come one after the other, so a task holds one matrix, whatever the
-    number of keys and of rows.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        at, total = None, None
-        for pdf in batches:
-            for k, part in pdf.groupby("key", sort=False):
-                z = np.column_stack([np.ones(len(part)), np.stack(part.x.to_list()), np.stack(part.y.to_list())])
-                if total is not None and k != at:
-                    yield pd.DataFrame([solve(at, total)])
-                    total = None
-                at, total = k, z.T @ z if total is None else total + z.T @ z
-        if total is not None:
-            yield pd.DataFrame([solve(at, total)])
-
-    sides = df.select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"))
-    return sides.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(run, schema)
-
-
 class Moments:
     """Centred statistics of a Gram matrix with q targets, for chosen columns of x."""
 

@@ -1,4 +1,4 @@
-"""Models as data jobs: PLS, interval search, Monte-Carlo validation, trees, principal components.
+"""Models as data jobs: PLS, interval search, trees, principal components.
 
 A model table has columns spectrum_id, sample_id, x (array), y (double).
 """
@@ -9,12 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specspark.functions.spectral import array_sum, preprocess_chain, savgol_matrix, with_scalar
+from specspark.functions.spectral import array_sum
 
-from .gram import Moments, collect_grams, gram_rows, pls, principal_axes, solve_streamed
+from .gram import Moments, collect_grams, gram_rows, pls, principal_axes
 from .ranking import MAX_GRID
 from .splits import group_folds
 
@@ -143,160 +143,6 @@ def sipls_search(grams: FoldGrams, components: int, intervals: int, most: int, t
     return ([(i["s"], i["e"]) for i in best["intervals"]] if best else None), best, log
 
 
-# ---- Monte-Carlo validation --------------------------------------------------------------
-
-
-def emsc_by(x: Column, reference: Column) -> Column:
-    """EMSC against a reference column."""
-    mean = lambda a: array_sum(a) / F.size(a)
-    centred = with_scalar(reference, mean(reference), lambda v, m: v - m)
-    slope = array_sum(F.zip_with(x, centred, lambda a, b: a * b)) / array_sum(F.transform(centred, lambda v: v * v))
-    line = F.struct(slope.alias("a"), mean(x).alias("m"), mean(reference).alias("r"))
-    return with_scalar(x, line, lambda v, s: F.when(s["a"] != 0, (v - s["m"]) / s["a"] + s["r"]))
-
-
-def mccv(model: DataFrame, splits: DataFrame, unit: str, components: int = 5, emsc: bool = False, after: list[str] = ()) -> DataFrame:
-    """(iter, spectrum_id, sample_id, y, prediction) of the test rows of every iteration.
-
-    `splits(iter, <unit>, part)`. The training matrix of an iteration is the total less that of
-    its test rows, so only test rows are multiplied out; with `emsc` the reference, the mean of
-    the training rows, differs by iteration and all rows are, with the row-wise steps `after` it. A task holds the matrix of one
-    iteration at a time. For any number of rows; `mccv_cells` is for tables that fit a task.
-    """
-    rows = targets_of(model, "y")
-    test = splits.where("part = 'test'").select("iter", unit)
-    if not emsc:
-        drawn = rows.join(test, unit)
-        total = collect_grams(gram_rows(rows.withColumn("all", F.lit(0)), "all", "x", "ys"))[0]
-        solve = lambda key, g: _coefficients(key, total - g, components)
-        solved = drawn
-    else:
-        every = rows.join(splits.select("iter", unit, "part"), unit)
-        sums = every.where("part = 'train'").select("iter", F.posexplode("x").alias("i", "v")).groupBy("iter", "i").agg(F.avg("v").alias("v"))
-        reference = sums.groupBy("iter").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("reference"))
-        every = every.join(reference, "iter").withColumn("x", emsc_by(F.col("x"), F.col("reference"))).drop("reference")
-        every = preprocess_chain(every, list(after), "x")
-        drawn = every.where("part = 'test'")
-        solve = lambda key, g: _coefficients(key, g, components)
-        solved = every.where("part = 'train'")
-    kind = dict(splits.dtypes)["iter"]
-    models = solve_streamed(solved, "iter", solve, f"iter {kind}, coef array<double>, base double")
-    dot = array_sum(F.zip_with("x", "coef", lambda a, b: a * b))
-    return drawn.join(models, "iter").select("iter", "spectrum_id", "sample_id", "y", (dot + F.col("base")).alias("prediction"))
-
-
-def _coefficients(key, gram: np.ndarray, components: int) -> dict:
-    coef, base = pls(Moments(gram, 1), components, scaled=True)
-    return {"iter": key, "coef": coef[:, 0].tolist(), "base": float(base[0])}
-
-
-#: A table of spectra of up to so many bytes is given whole to every task.
-MATRIX_BYTES = 64 << 20
-
-
-def fits_a_task(spectra: DataFrame) -> bool:
-    """Whether the points of `spectra(x)` are few enough for `mccv_cells`, by their measured number."""
-    return 8 * (spectra.agg(F.sum(F.size("x"))).first()[0] or 0) <= MATRIX_BYTES
-
-
-def pls_of_rows(x: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of partial least squares on auto-scaled rows, one target."""
-    xm, ym, sx, sy = x.mean(0), y.mean(), x.std(0, ddof=1), y.std(ddof=1)
-    sx, sy = np.where(sx > 0, sx, 1.0), sy if sy > 0 else 1.0
-    e, f = (x - xm) / sx, (y - ym) / sy
-    floor, w_all, p_all, q_all = 1e-12 * max(np.square(e).sum(), 1e-300), [], [], []
-    for _ in range(min(components, x.shape[1])):
-        w = f @ e
-        norm = np.linalg.norm(w)
-        if norm <= 1e-12 * max(1.0, len(y)):
-            break
-        w /= norm
-        t = e @ w
-        tt = t @ t
-        if tt <= floor:
-            break
-        p, q = t @ e / tt, f @ t / tt
-        e -= np.outer(t, p)
-        f = f - t * q
-        w_all.append(w), p_all.append(p), q_all.append(q)
-    if not w_all:
-        return np.zeros(x.shape[1]), float(ym)
-    w, p = np.array(w_all), np.array(p_all)
-    coef = w.T @ np.linalg.solve(p @ w.T, np.array(q_all)) * sy / sx
-    return coef, float(ym - xm @ coef)
-
-
-#: The row-wise steps of a chain, on all rows of a matrix at once.
-_ROW_STEPS = {
-    "normalize": lambda x: x / np.where((n := np.sqrt(np.square(x).sum(1, keepdims=True))) > 0, n, 1.0),
-    "snv": lambda x: (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True),
-    "second_derivative": lambda x: x @ savgol_matrix(x.shape[1], 11, 2, 2).T,
-}
-
-
-def _emsc_rows(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    centred = reference - reference.mean()
-    return (x - x.mean(1, keepdims=True)) / (x @ centred / (centred @ centred))[:, None] + reference.mean()
-
-
-def mccv_cells(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], unit: str, components: int = 5) -> DataFrame:
-    """(chain, case, iter, spectrum_id, sample_id, y, prediction) of the test spectra of every cell of chains, cases and iterations.
-
-    `spectra(spectrum_id, sample_id, x, cases map<string,double>)`: the targets of a spectrum by
-    case; a case that it has no value for leaves it out. `draws(case, iter, <unit>, part)`. EMSC
-    takes its reference from the training rows as they are after the steps before it. The
-    table, of at most MATRIX_BYTES, goes to every task once; each cell is fitted on its rows.
-    """
-    spark = spectra.sparkSession
-    if not fits_a_task(spectra):
-        raise ValueError(f"more than {MATRIX_BYTES} bytes of spectra; use mccv chain by chain")
-    pdf = spectra.select("spectrum_id", "sample_id", F.col(unit).alias("unit"), "x", "cases").orderBy("spectrum_id").toPandas()
-    shared = spark.sparkContext.broadcast(pdf)
-    tests = draws.where("part = 'test'").groupBy("case", "iter").agg(F.collect_list(unit).alias("test"))
-    chain_rows = spark.createDataFrame([(k, "+".join(c) or "none") for k, c in enumerate(chains)], "k int, chain string")
-    cells = tests.join(F.broadcast(chain_rows))
-    tasks = max(1, spark.sparkContext.defaultParallelism * 4)
-    kinds = dict(spectra.dtypes)
-
-    def run(batches):
-        table, before = shared.value, {}
-        if not len(table):
-            return
-        x0, places = np.stack(table.x.to_list()), table.groupby("unit").indices
-        spectra_, samples, targets = table.spectrum_id.to_numpy(), table.sample_id.to_numpy(), {}
-        for batch in batches:
-            out: list = []
-            for k, chain, case, it, test in zip(batch.k, batch.chain, batch.case, batch.iter, batch.test, strict=True):
-                steps = chains[k]
-                fixed = steps.index("emsc") if "emsc" in steps else len(steps)
-                if (start := tuple(steps[:fixed])) not in before:
-                    x = x0
-                    for step in start:
-                        x = _ROW_STEPS[step](x)
-                    before[start] = x
-                if case not in targets:
-                    targets[case] = np.array([c.get(case, np.nan) if (c := dict(v)) and c.get(case) is not None else np.nan for v in table.cases], float)
-                y = targets[case]
-                known, held = ~np.isnan(y), np.zeros(len(y), bool)
-                held[np.concatenate([places[u] for u in test])] = True
-                train, test_rows = np.flatnonzero(known & ~held), np.flatnonzero(known & held)
-                if len(train) < 2 or not len(test_rows):
-                    continue
-                x = before[start]
-                for step in steps[fixed:]:
-                    x = _emsc_rows(x, x[train].mean(0)) if step == "emsc" else _ROW_STEPS[step](x)
-                coef, base = pls_of_rows(x[train], y[train], components)
-                out.append((chain, case, it, test_rows, y[test_rows], x[test_rows] @ coef + base))
-            if out:
-                names, sizes = list(zip(*out, strict=True)), [len(r[3]) for r in out]
-                rows = np.concatenate(names[3])
-                tags = {n: np.repeat(np.array(v, dtype=object if n != "iter" else None), sizes) for n, v in zip(("chain", "case", "iter"), names, strict=False)}
-                yield pd.DataFrame(tags | {"spectrum_id": spectra_[rows], "sample_id": samples[rows], "y": np.concatenate(names[4]), "prediction": np.concatenate(names[5])})
-
-    schema = f"chain string, case string, iter {dict(draws.dtypes)['iter']}, spectrum_id {kinds['spectrum_id']}, sample_id {kinds['sample_id']}, y double, prediction double"
-    return cells.select("k", "chain", "case", "iter", "test").repartition(tasks, "k", "case", "iter").mapInPandas(run, schema)
-
-
 # ---- trees and principal components --------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from specspark.functions import spectral
 from specspark.operators import aggregates as agg
-from specspark.operators import distances, metadata, models, ranking, search, splits, statistics
+from specspark.operators import distances, metadata, models, ranking, search, splits, statistics, validation
 from specspark.operators.shared import settled
 from specspark.plans import fixtures as fx
 from specspark.plans import tables
@@ -438,18 +438,7 @@ def _validated(spectra, cases, chains, unit, iterations):
     table = spectra.select("spectrum_id", "sample_id", F.col("intensity").alias("x"), F.map_filter(named, lambda k, v: v.isNotNull()).alias("cases"))
     units = table.select(unit, F.explode(F.map_keys("cases")).alias("case")).distinct()
     draws = splits.mc_splits(units, unit, iterations, cases=("case",))
-    if models.fits_a_task(table):
-        return models.mccv_cells(table, draws, list(chains), unit)
-    out = None
-    for chain in chains:  # the table does not fit a task: one matrix an iteration, chain by chain
-        before = chain[: chain.index("emsc")] if "emsc" in chain else chain
-        rows = spectral.preprocess_chain(table, list(before), "x")
-        for case in cases:
-            own = rows.withColumn("y", F.col("cases")[case]).where("y is not null")
-            p = models.mccv(own, draws.where(F.col("case") == case), unit, 5, "emsc" in chain, chain[len(before) + 1 :])
-            p = p.select(F.lit("+".join(chain) or "none").alias("chain"), F.lit(case).alias("case"), "iter", "spectrum_id", "sample_id", "y", "prediction")
-            out = p if out is None else out.unionByName(p)
-    return out
+    return validation.monte_carlo(table, draws, list(chains), unit)
 
 
 def _mccv(spark, sf_dir, iterations=MCCV_ITERATIONS, chains=MCCV_CHAINS):

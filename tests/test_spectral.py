@@ -119,68 +119,6 @@ def test_search_finds_the_interval_that_carries_the_signal(spark, table):
     assert (2, 4) in best
 
 
-def direct_mccv(pdf, test, chain, components):
-    """Predictions of the test spectra from a plain fit on the others, with the steps one by one."""
-    pdf = pdf[~pdf.y.isna()]
-    x, held = np.stack(pdf.x), pdf.unit.isin(test).to_numpy()
-    for step in chain:
-        if step == "emsc":
-            r = x[~held].mean(0)
-            fits = [np.polyfit(r, v, 1) for v in x]
-            x = np.array([(v - b) / a for v, (a, b) in zip(x, fits, strict=True)])
-        elif step == "snv":
-            x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
-        elif step == "normalize":
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        else:
-            x = x @ spectral.savgol_matrix(x.shape[1], 11, 2, 2).T
-    tr, y = x[~held], pdf.y[~held]
-    sx, sy = tr.std(0, ddof=1), y.std(ddof=1)
-    b, _ = plain_pls((tr - tr.mean(0)) / sx, ((y - y.mean()) / sy).to_numpy()[:, None], components)
-    return dict(zip(pdf.spectrum_id[held], ((x[held] - tr.mean(0)) / sx @ b)[:, 0] * sy + y.mean(), strict=True))
-
-
-CHAINS = [[], ["snv"], ["emsc"], ["normalize", "emsc", "second_derivative"], ["emsc", "snv"]]
-
-
-@pytest.mark.parametrize("unit", ["sample_id", "spectrum_id"])
-def test_mccv_cells_equal_direct_fits(spark, table, unit):
-    rows = table.withColumn("x", F.transform("x", lambda v, i: v + i)).withColumn("gap", F.when(F.col("spectrum_id") >= 27, F.col("y") * 2))
-    cases = rows.withColumn("cases", F.map_filter(F.create_map(F.lit("all"), F.col("y"), F.lit("some"), F.col("gap")), lambda k, v: v.isNotNull()))
-    units = cases.select(unit, F.explode(F.map_keys("cases")).alias("case")).distinct()
-    draws = splits.mc_splits(units, unit, 3, cases=("case",))
-    got = models.mccv_cells(cases, draws, CHAINS, unit, 2).toPandas()
-    pdf, parts = rows.toPandas(), draws.toPandas()
-    assert len(got.groupby(["chain", "case", "iter"])) == len(CHAINS) * 2 * 3
-    for (chain, case, it), g in got.groupby(["chain", "case", "iter"]):
-        test = set(parts[(parts.case == case) & (parts.iter == it) & (parts.part == "test")][unit])
-        own = pdf.assign(y=pdf.y if case == "all" else pdf.gap, unit=pdf[unit])
-        want = direct_mccv(own, test, [] if chain == "none" else chain.split("+"), 2)
-        assert set(g.spectrum_id) == set(want) and np.allclose(g.prediction, [want[k] for k in g.spectrum_id])
-
-
-@pytest.mark.parametrize("chain", CHAINS)
-def test_mccv_of_any_size_equals_the_cells(spark, table, chain):
-    rows = table.withColumn("x", F.transform("x", lambda v, i: v + i))
-    draws = splits.mc_splits(rows.select("sample_id").distinct(), "sample_id", 3)
-    assert draws.where("part = 'test'").groupBy("iter").count().select("count").distinct().collect()[0][0] == 4
-    before = chain[: chain.index("emsc")] if "emsc" in chain else chain
-    p = models.mccv(spectral.preprocess_chain(rows, before, "x"), draws, "sample_id", 3, "emsc" in chain, chain[len(before) + 1 :])
-    cells = models.mccv_cells(rows.withColumn("cases", F.create_map(F.lit("all"), F.col("y"))), draws.withColumn("case", F.lit("all")), [chain], "sample_id", 3)
-    a, b = (x.select("iter", "spectrum_id", "prediction").toPandas().sort_values(["iter", "spectrum_id"]) for x in (p, cells))
-    assert len(a) == 3 * 4 * 9 and a.spectrum_id.tolist() == b.spectrum_id.tolist() and np.allclose(a.prediction, b.prediction)
-
-
-def test_streamed_matrices_are_one_at_a_time(spark, table):
-    from specspark.operators.gram import solve_streamed
-
-    rows = table.select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"), "x", F.array("y").alias("ys")).repartition(5)
-    got = {r["k"]: r["s"] for r in solve_streamed(rows, "k", lambda k, g: {"k": k, "s": float(g.sum())}, "k int, s double", "x", "ys").collect()}
-    pdf = table.toPandas()
-    z = np.column_stack([np.ones(len(pdf)), np.stack(pdf.x), pdf.y])
-    assert len(got) == 30 and np.allclose(list(got.values()), (z.T @ z).sum())
-
-
 def brute_spxy(ids, x, y, n_train, scaled=False):
     dx, dy = np.linalg.norm(x[:, None] - x[None], axis=-1), np.abs(y[:, None] - y[None])
     d = dx / dx.max() + dy / dy.max() if scaled else dx + dy
