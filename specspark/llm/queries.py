@@ -48,7 +48,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
+    return suffix_dedup.deduplicate(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_pairs.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    rows = byte_pairs.decode(byte_pairs.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    rows = byte_pairs.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -9,9 +9,8 @@ given with all its occurrences.
 
 Cells (see `repeats`) with the same anchor and the same bytes are one weighted suffix: it is
 sorted once, stands in the tree as two equal suffixes if it has two members or more, and what
-the tree finds for it holds for all its members. An anchor with one such suffix is a tree of one
-interval, for which no bytes have to be fetched. An anchor with more than GROUP different
-suffixes is not gathered in one task: there the intervals of the wanted lengths, which are
+the tree finds for it holds for all its members. An anchor with more than GROUP different
+suffixes is not gathered in one task: there the intervals of the wanted length, which are
 classes of equal windows, are told by hash; that gives the same bytes.
 """
 
@@ -26,17 +25,12 @@ from pyspark.sql import functions as F
 from .common import discard, mix64, release, signed, text_bytes, text_steps, with_row_keys, written
 from .repeats import Stretches, cells, flat_spans, merged, row_starts, spans_by_doc
 
-#: Bytes of a string that is removed where it repeats; bytes from which a repeat is reported, about fifty short words.
-BYTES, REPORTED = 400, 280
-ANCHOR, GROUP = 64, 20_000
+#: Bytes of a string that is removed where it repeats; bytes of an anchor; suffixes of an anchor that a task gathers.
+BYTES, ANCHOR, GROUP = 400, 64, 20_000
 
 
-def _cell_table(docs: DataFrame, length: int, shortest: int, part: int) -> DataFrame:
-    """(anchor, body, id, tk, first, at, stop) of each cell of `docs(id, tk, text)`: its bytes and the place of its anchor.
-
-    Anchors are those of windows of `shortest` bytes. The anchor of a window of `length` bytes is
-    one of them, and its cell covers all windows of either length that have it.
-    """
+def _cell_table(docs: DataFrame, length: int, part: int) -> DataFrame:
+    """(anchor, body, id, tk, first, at, stop) of each cell of `docs(id, tk, text)`: its bytes and the place of its anchor."""
 
     def run(batches):
         for batch in batches:
@@ -45,12 +39,8 @@ def _cell_table(docs: DataFrame, length: int, shortest: int, part: int) -> DataF
                 units = raw.astype(np.uint64)
                 s, rows = Stretches(units), row_starts(offsets, len(units))
                 grams = s.grams(part)
-                first, last, at = cells(grams, rows, shortest, part)
-                stop = last + shortest
-                if length > shortest and len(at):
-                    first_, last_, at_ = cells(grams, rows, length, part)
-                    k = np.searchsorted(at, at_)
-                    first[k], stop[k] = np.minimum(first[k], first_), np.maximum(stop[k], last_ + length)
+                first, last, at = cells(grams, rows, length, part)
+                stop = last + length
                 row = np.searchsorted(offsets, first, side="right") - 1
                 base, at_row = offsets[row], pa.array(row)
                 body = mix64(s(first, stop) + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -138,7 +128,7 @@ def _with_bytes(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
     return docs.dropDuplicates(["id", "tk"]).join(by_text, ["id", "tk"]).select("text", "own").mapInArrow(run, _SUFFIX)
 
 
-def _tree(shortest: int):
+def _tree(length: int):
     """Spans, relative to the anchor, of the maximal repeats of each anchor; its suffixes come one after the other."""
 
     def batch_of(rows):
@@ -148,7 +138,7 @@ def _tree(shortest: int):
     def solve(anchor, rows, out):
         twice = [i for i, r in enumerate(rows) for _ in range(min(r[1], 2))]
         found = [{} for _ in rows]  # repeat by start and stop
-        for k, (members, starts, stop) in enumerate(maximal_repeats([rows[i][4] for i in twice], [rows[i][5] for i in twice], shortest)):
+        for k, (members, starts, stop) in enumerate(maximal_repeats([rows[i][4] for i in twice], [rows[i][5] for i in twice], length)):
             for m, s in zip(members.tolist(), starts.tolist(), strict=True):
                 found[twice[m]].setdefault((s, -stop), k)
         for row, own in zip(rows, found, strict=True):
@@ -161,12 +151,7 @@ def _tree(shortest: int):
     def run(batches):
         anchor, rows, out = None, [], []
         for batch in batches:
-            single = batch.filter(pc.is_null(batch.column("after")))
-            if single.num_rows:  # one interval: the suffix and its equals
-                zero = pa.array(np.zeros(single.num_rows, np.int32))
-                yield pa.RecordBatch.from_arrays([single.column(0), single.column(1), zero, pc.negate(single.column(3)), single.column(4)], names=["anchor", "body", "repeat", "start", "stop"])
-            several = batch.filter(pc.is_valid(batch.column("after")))
-            for a, *row in zip(*(c.to_pylist() for c in several.columns), strict=True):
+            for a, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != anchor:
                     if rows:
                         solve(anchor, rows, out)
@@ -183,33 +168,30 @@ def _tree(shortest: int):
     return run
 
 
-def _window_spans(suffixes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+def _window_spans(suffixes: DataFrame, length: int) -> DataFrame:
     """The same by hashes of single windows, for anchors with too many different suffixes."""
-    out = suffixes.where("n > 1").select("anchor", "body", F.lit(-1).alias("repeat"), (-F.col("to_left")).alias("start"), F.col("to_right").alias("stop"))
-    for length in sorted(set(lengths)):
 
-        def run(batches, length=length):
-            for batch in batches:
-                for a, b, before, after in zip(*(batch.column(k).to_pylist() for k in ("anchor", "body", "before", "after")), strict=True):
-                    h = Stretches(np.frombuffer(before + after, np.uint8).astype(np.uint64)).grams(length)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), a)), pa.array(np.full(len(h), b)), pa.array((np.arange(len(h)) - len(before)).astype(np.int32))], names=["window", "anchor", "body", "start"])
+    def run(batches):
+        for batch in batches:
+            for a, b, before, after in zip(*(batch.column(k).to_pylist() for k in ("anchor", "body", "before", "after")), strict=True):
+                h = Stretches(np.frombuffer(before + after, np.uint8).astype(np.uint64)).grams(length)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), a)), pa.array(np.full(len(h), b)), pa.array((np.arange(len(h)) - len(before)).astype(np.int32))], names=["window", "anchor", "body", "start"])
 
-        windows = written(suffixes.mapInArrow(run, "window long, anchor long, body long, start int"), "windows")
-        # equal windows have the same anchor at the same offset; a place lies in one suffix of an anchor at one offset
-        again = written(windows.groupBy("anchor", "start", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-        out = out.unionByName(windows.join(again, ["anchor", "start", "window"]).select("anchor", "body", F.lit(-1).alias("repeat"), "start", (F.col("start") + length).alias("stop")))
-    return out
+    whole = suffixes.where("n > 1").select("anchor", "body", F.lit(-1).alias("repeat"), (-F.col("to_left")).alias("start"), F.col("to_right").alias("stop"))
+    windows = written(suffixes.mapInArrow(run, "window long, anchor long, body long, start int"), "windows")
+    # equal windows have the same anchor at the same offset; a place lies in one suffix of an anchor at one offset
+    again = written(windows.groupBy("anchor", "start", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    return whole.unionByName(windows.join(again, ["anchor", "start", "window"]).select("anchor", "body", F.lit(-1).alias("repeat"), "start", (F.col("start") + length).alias("stop")))
 
 
-def repeated_spans(docs: DataFrame, length: int = BYTES, anchor: int = ANCHOR, group: int = GROUP, shortest: int | None = None) -> DataFrame:
-    """(anchor, repeat, id, tk, start, stop), in bytes: occurrences of repeats of at least `shortest` (default: `length`) bytes in `docs(id, tk, text)`.
+def repeated_spans(docs: DataFrame, length: int = BYTES, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+    """(anchor, repeat, id, tk, start, stop), in bytes: occurrences of repeats of at least `length` bytes in `docs(id, tk, text)`.
 
     The occurrences of one repeat share (anchor, repeat); repeat -1 is a window of a large group.
-    Repeats of up to `length` bytes are found whole; longer ones come in pieces of that length
-    or more.
+    A repeat that is longer than a cell comes in pieces, one for each anchor in it.
     """
-    spark, shortest = docs.sparkSession, shortest or length
-    table = written(_cell_table(docs, length, shortest, anchor), "cells")
+    spark = docs.sparkSession
+    table = written(_cell_table(docs, length, anchor), "cells")
     again = written(table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
     level = written(table.join(again, "anchor"), "repeated")
     discard(table, again)
@@ -217,29 +199,27 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, anchor: int = ANCHOR, g
     member = F.min(F.struct("id", "tk", "first", "at", "stop")).alias("m")
     suffixes = written(level.groupBy("anchor", "body").agg(F.count("*").alias("n"), member), "suffixes")
     sizes = written(suffixes.groupBy("anchor").agg(F.count("*").alias("texts")), "sizes")
-    suffixes = written(suffixes.join(sizes, "anchor").select("anchor", "body", "n", "texts", "m.*"), "weighted")
-    alone = suffixes.where("texts = 1").select("anchor", "body", "n", (F.col("at") - F.col("first")).alias("to_left"), (F.col("stop") - F.col("at")).alias("to_right"), F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
-    several = written(_with_bytes(docs, suffixes.where("texts > 1").drop("texts")).join(sizes, "anchor"), "bytes")
+    fetched = written(_with_bytes(docs, suffixes.select("anchor", "body", "n", "m.*")), "bytes")
+    discard(suffixes)
     release(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    columns = alone.columns
-    gathered = several.where(F.col("texts") <= group).select(*columns).repartition(parts, "anchor").sortWithinPartitions("anchor")
-    found = alone.mapInArrow(_tree(shortest), _SPAN).unionByName(gathered.mapInArrow(_tree(shortest), _SPAN))
-    large = several.where(F.col("texts") > group)
-    if large.head(1):
-        found = found.unionByName(_window_spans(large.select(*columns), (length, shortest)))
+    parts, columns = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fetched.columns
+    many = sizes.where(F.col("texts") > group).select("anchor")
+    large = bool(many.head(1))
+    few = fetched.join(many.hint("merge"), "anchor", "left_anti").select(*columns) if large else fetched
+    found = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_tree(length), _SPAN)
+    if large:
+        found = found.unionByName(_window_spans(written(fetched.join(many, "anchor").select(*columns), "large"), length))
     found = written(found, "found")
-    discard(several)
+    discard(fetched, sizes)
     release(spark)
     return level.select("anchor", "body", "id", "tk", "at").join(found, ["anchor", "body"]).select("anchor", "repeat", "id", "tk", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
 
 
-def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP, reported: int = REPORTED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_repeated, kept (binary) of each row of `docs(doc_id, text)`.
+def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row of `docs(doc_id, text)`.
 
     Every byte of a string of `length` bytes that also starts elsewhere is removed, in all its
-    occurrences; n_repeated counts the bytes of strings of `reported` bytes (at most `length`)
-    that also start elsewhere, removed or not. Null counts as the empty text. Every row is a text
+    occurrences. Null counts as the empty text. Every row is a text
     of its own, with or without a doc_id of its own: equal rows are two places, so what reaches
     the length goes from both, and rows that share a doc_id but not a text are told apart (by
     the id and 128 bits of the text's hash). Shorter texts stay whole; other columns are ignored;
@@ -247,17 +227,13 @@ def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP, report
     their bytes.
     """
     keyed = with_row_keys(docs)
-    spans = written(spans_by_doc(repeated_spans(keyed.select("id", "tk", "text"), length, group=group, shortest=min(reported, length))), "spans")
+    spans = written(spans_by_doc(repeated_spans(keyed.select("id", "tk", "text"), length, group=group)), "spans")
     release(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
             n = batch.num_rows
-            row, start, stop = flat_spans(batch.column(2))
-            at, a, b = merged(row, start, stop)
-            repeated = np.bincount(at, weights=b - a, minlength=n).astype(np.int64)
-            long = stop - start >= length
-            at, a, b = merged(row[long], start[long], stop[long])
+            at, a, b = merged(*flat_spans(batch.column(2)))
             removed, runs = np.bincount(at, weights=b - a, minlength=n).astype(np.int64), np.bincount(at, minlength=n)
             cuts, sizes, kept = np.searchsorted(at, np.arange(n + 1)), [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -268,14 +244,14 @@ def deduplicate(docs: DataFrame, length: int = BYTES, group: int = GROUP, report
                 kept.append(b"".join(parts) + raw[end:] if parts else raw)
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs, repeated)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"]
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, runs)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return keyed.join(spans, ["id", "tk"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+    return keyed.join(spans, ["id", "tk"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def oracle(length: int = BYTES, reported: int = REPORTED) -> str:
+def oracle(length: int = BYTES) -> str:
     """The digest query over a `documents` view, in DuckDB SQL: every window of every text, by its hash."""
 
     def runs(name: str, size: int) -> str:
@@ -286,10 +262,10 @@ def oracle(length: int = BYTES, reported: int = REPORTED) -> str:
 
     return f"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
-{runs("gone", length)}, {runs("seen", reported)},
+{runs("gone", length)},
 pieces as (select doc_id, a as place, substr(h, 2 * coalesce(lag(b) over w, 0) + 1, 2 * (a - coalesce(lag(b) over w, 0))) as piece from gone join d using (doc_id) window w as (partition by doc_id order by a)
   union all select doc_id, n, substr(h, 2 * last + 1) from d join (select doc_id, max(b) as last from gone group by 1) using (doc_id)),
 kept as (select doc_id, string_agg(piece, '' order by place) as h from pieces group by 1),
-g as (select doc_id, sum(b - a) as removed, count(*) as spans from gone group by 1), r as (select doc_id, sum(b - a) as repeated from seen group by 1)
-select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256, cast(coalesce(repeated, 0) as bigint) as n_repeated
-from d left join kept on kept.doc_id = d.doc_id left join g on g.doc_id = d.doc_id left join r on r.doc_id = d.doc_id"""
+g as (select doc_id, sum(b - a) as removed, count(*) as spans from gone group by 1)
+select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id left join g on g.doc_id = d.doc_id"""
