@@ -3,66 +3,114 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, settled
+from .shared import discard, numbered, settled, shared_path
 
 #: Rows from which one round picks; they are compared with the picks of their round on the driver.
-CANDIDATES = 256
+CANDIDATES = 1024
 
 
 def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) -> DataFrame:
     """(sample_id, part, pick): `samples(sample_id, x array, y)` split by max-min distance in x plus y.
 
     int(ratio * n) samples are train, in the order of `pick`; the rest is validation with null
-    pick. Ties go to the smaller sample_id. `scaled` divides both distances by their largest.
+    pick, and so are samples with a null spectrum, which are not counted in n. Ties go to the
+    smaller sample_id. `scaled` divides both distances by their largest.
 
     The first pick is the sample of the largest distance. From then on each sample keeps its
-    least distance to the picks. Least distances only fall, so the CANDIDATES samples with the
-    largest ones hold the next picks as long as their own stay above those of all others: each
-    round brings these rows to the driver, picks as many as that proves, and lowers the
-    least distances of all samples by the round's picks. The driver holds CANDIDATES samples at most.
+    least distance to the picks, a number in a table of its own beside the packed spectra, which
+    are written once. Least distances only fall, so the CANDIDATES samples with the largest ones
+    hold the next picks as long as their own stay above those of all others: each round brings
+    these rows to the driver, picks as many as that proves, and appends them to the table of picks.
     """
-    from .distances import farthest
+    from .distances import blocks_of, farthest
 
-    n_train = int(ratio * samples.count())
-    one = samples.select("sample_id", "x", F.col("y").cast("double").alias("y"))
-    far = settled(farthest(one), "farthest")
+    spark, kind = samples.sparkSession, dict(samples.dtypes)["sample_id"]
+    blocks = blocks_of(samples.select(F.col("sample_id").alias("id"), "x", "y"))
+    rows, low, high = blocks.agg(F.sum("n"), F.min("low"), F.max("high")).first()
+    n_train = int(ratio * (rows or 0))
+    path, picked, new, state = shared_path(spark, "picks"), 0, [], None
+    picks_schema = f"sample_id {kind}, pick long"
     wx, wy = 1.0, 1.0
-    if scaled:
-        top = far.agg(F.max("dx").alias("dx"), F.max("dy").alias("dy")).first()
-        wx, wy = 1.0 / (top["dx"] or 1.0), 1.0 / (top["dy"] or 1.0)
-        far = settled(farthest(one, wx, wy), "farthest")
-    state = settled(one.join(far.select("sample_id", F.col("d").alias("least")), "sample_id").withColumn("pick", F.lit(None).cast("long")), "state")
-
-    picked, first = 0, True
-    while picked < n_train:
-        top = state.where("pick is null").orderBy(F.desc(F.round("least", 9)), "sample_id").limit(CANDIDATES + 1).collect()
-        bound = (-round(top[-1]["least"], 9), top[-1]["sample_id"]) if len(top) > CANDIDATES else (np.inf, "")  # all others come after it
-        pool = sorted(top[:CANDIDATES], key=lambda r: r["sample_id"])
-        x, y, far_off = np.array([r["x"] for r in pool]), np.array([r["y"] for r in pool]), np.array([r["least"] for r in pool], float)
+    if n_train:
+        if scaled:
+            far = farthest(blocks, 1.0, 0.0).agg(F.max("d")).first()[0]
+            wx, wy = 1.0 / (far or 1.0), 1.0 / ((high - low) or 1.0)
+        first = farthest(blocks, wx, wy).orderBy(F.desc(F.round("d", 9)), "sample_id").first()
+        new = _rows_of(blocks, [first["sample_id"]])
+    while new:
+        spark.createDataFrame([(r["id"], picked + k) for k, r in enumerate(new)], picks_schema).coalesce(1).write.mode("append").parquet(path)
+        picked += len(new)
+        if picked == n_train:
+            break
+        last, state = state, settled(_lowered(blocks, state, new, wx, wy, kind), "state")
+        if last is not None:
+            discard(last)
+        top = state.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc(F.round("least", 9)), "id").limit(CANDIDATES + 1).collect()
+        bound = (-round(top[-1]["least"], 9), top[-1]["id"]) if len(top) > CANDIDATES else (np.inf, "")  # all others come after it
+        least = {r["id"]: r["least"] for r in top[:CANDIDATES]}
+        pool = sorted(_rows_of(blocks, list(least)), key=lambda r: r["id"])
+        x, y, far_off = np.array([r["x"] for r in pool]), np.array([r["y"] for r in pool]), np.array([least[r["id"]] for r in pool], float)
         new = []
         while picked + len(new) < n_train and len(new) < len(pool):
             k = int(np.argmax(np.round(far_off, 9)))
-            if new and (-round(float(far_off[k]), 9), pool[k]["sample_id"]) > bound:
+            if new and (-round(float(far_off[k]), 9), pool[k]["id"]) > bound:
                 break
             new.append(pool[k])
-            if first:  # the largest distance chose it; now distances to the picks count
-                break
             far_off = np.minimum(far_off, wx * np.sqrt(((x - x[k]) ** 2).sum(axis=1)) + wy * np.abs(y - y[k]))
             far_off[k] = -np.inf
-        rows = [(r["sample_id"], picked + k, list(r["x"]), float(r["y"])) for k, r in enumerate(new)]
-        picks = F.broadcast(state.sparkSession.createDataFrame(rows, "sample_id string, number long, px array<double>, py double"))
-        picked, last = picked + len(new), picked + len(new) == n_train
-        placed = state.join(picks.select("sample_id", "number"), "sample_id", "left").withColumn("pick", F.coalesce("pick", "number")).drop("number")
-        if not last:  # the least distance to the picks of this round
-            others = picks.agg(F.collect_list(F.struct("px", "py")).alias("picks"))
-            gap = lambda q: wx * F.sqrt(F.aggregate(F.zip_with("x", q["px"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)) + wy * F.abs(F.col("y") - q["py"])
-            nearest = F.array_min(F.transform("picks", gap))
-            placed = placed.join(F.broadcast(others)).withColumn("least", nearest if first else F.least("least", nearest)).drop("picks")
-        state, first = settled(placed.select("sample_id", "x", "y", "least", "pick"), "state"), False
-    return state.select("sample_id", F.when(F.col("pick").isNotNull(), "train").otherwise("validation").alias("part"), "pick")
+    found = spark.read.schema(picks_schema).parquet(path) if picked else spark.createDataFrame([], picks_schema)
+    part = F.when(F.col("pick").isNotNull(), "train").otherwise("validation").alias("part")
+    return samples.select("sample_id").join(found, "sample_id", "left").select("sample_id", part, "pick")
+
+
+def _rows_of(blocks: DataFrame, ids: list) -> list:
+    """The rows (id, x, y) of `blocks` with these ids, at most CANDIDATES."""
+    kind = dict(blocks.dtypes)["ids"][6:-1]
+    wanted = blocks.sparkSession.sparkContext.broadcast(set(ids))
+
+    def pick(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                at = [k for k, i in enumerate(row.ids) if i in wanted.value]
+                if at:
+                    x, y = np.frombuffer(row.x).reshape(row.n, -1), np.frombuffer(row.y)
+                    yield pd.DataFrame({"id": [row.ids[k] for k in at], "x": list(x[at]), "y": y[at]})
+
+    return blocks.select("n", "ids", "x", "y").mapInPandas(pick, f"id {kind}, x array<double>, y double").collect()
+
+
+def _lowered(blocks: DataFrame, state: DataFrame | None, picks: list, wx: float, wy: float, kind: str) -> DataFrame:
+    """(block, least binary, top): the least distances of the rows of each block to all picks so far, and the largest of them.
+
+    A picked row has none. The product form tells which of the new picks can be the nearest
+    one or be nearer than all before; only those distances are computed from the differences.
+    """
+    from .distances import _distance, _exact
+
+    shared = blocks.sparkSession.sparkContext.broadcast((np.array([r["x"] for r in picks], float), np.array([r["y"] for r in picks], float), {r["id"] for r in picks}))
+
+    def lower(batches):
+        px, py, ids = shared.value
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, y = np.frombuffer(row.x).reshape(row.n, -1), np.frombuffer(row.y)
+                least = np.full(row.n, np.inf) if row.least is None else np.frombuffer(row.least).copy()
+                dx, off = _distance(x, px)
+                d = wx * dx + wy * np.abs(y[:, None] - py[None, :])
+                i, j = np.nonzero(d <= np.minimum(d.min(axis=1), least)[:, None] + 2 * wx * off)
+                np.minimum.at(least, i, wx * _exact(x, px, i, j) + wy * np.abs(y[i] - py[j]))
+                least[[k for k, v in enumerate(row.ids) if v in ids]] = -np.inf
+                order = np.argsort(-np.round(least, 9), kind="stable")[: CANDIDATES + 1]  # the rows of a block are in order of their ids
+                top = [(float(least[k]), row.ids[k]) for k in order if least[k] > -np.inf]
+                yield pd.DataFrame({"block": [row.block], "least": [least.tobytes()], "top": [top]})
+
+    before = blocks.select("block", "n", "ids", "x", "y")
+    before = before.withColumn("least", F.lit(None).cast("binary")) if state is None else before.join(state.select("block", "least"), "block")
+    return before.mapInPandas(lower, f"block long, least binary, top array<struct<least:double,id:{kind}>>")
 
 
 def group_folds(spectra: DataFrame, folds: int = 5) -> DataFrame:

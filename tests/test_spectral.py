@@ -133,6 +133,7 @@ def brute_spxy(ids, x, y, n_train, scaled=False):
 def test_spxy_is_the_greedy_split(spark, monkeypatch, candidates, scaled):
     monkeypatch.setattr(splits, "CANDIDATES", candidates)
     monkeypatch.setattr(distances, "BLOCK", 6)
+    monkeypatch.setattr(distances, "PIVOTS", 3)
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(21, 4)), rng.normal(size=21)
     x[5], y[5] = x[6], y[6]  # a tie
@@ -186,6 +187,8 @@ def test_distances_in_several_blocks(spark, monkeypatch):
     for r in got:
         i, j = int(r["a"][1:]), int(r["b"][1:])
         assert np.isclose(r["d"], np.linalg.norm(x[i] - x[j]) + abs(y[i] - y[j]))
+    close = distances.pairwise_distance(df, within=2.0).collect()
+    assert sorted((r["a"], r["b"]) for r in close) == sorted((r["a"], r["b"]) for r in got if r["d"] <= 2.0) != []
     ids = df.withColumnRenamed("sample_id", "id")
     near = distances.knn_predict(ids, ids, 3).collect()
     for r in near:
@@ -193,6 +196,52 @@ def test_distances_in_several_blocks(spark, monkeypatch):
         assert np.isclose(r["pred"], y[np.argsort(np.linalg.norm(x - x[i], axis=1))[:3]].mean())
 
 
+def clustered(spark, n, points, seed=6):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(12, points))[rng.integers(0, 12, n)] * 20 + rng.normal(size=(n, points)) + 100
+    x[n // 2] = x[0]  # a tie
+    y = rng.normal(size=n)
+    rows = [(f"s{i:05d}", x[i].tolist(), float(y[i])) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, "sample_id string, x array<double>, y double")
+
+
+@pytest.mark.parametrize(("n", "points"), [(400, 7), (60, 1731)])
+def test_neighbours_and_farthest_of_clusters(spark, monkeypatch, n, points):
+    monkeypatch.setattr(distances, "BLOCK", 16)
+    x, y, df = clustered(spark, n, points)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) if points < 10 else np.array([np.linalg.norm(x - v, axis=1) for v in x])
+    ids = df.withColumnRenamed("sample_id", "id")
+    got = {(r["id"], r["r"]): r["neighbour"] for r in distances.nearest_neighbours(ids, ids, 4).collect()}
+    for i in range(n):
+        want = sorted(range(n), key=lambda j: (round(d[i, j], 9), j))[:4]  # noqa: B023
+        assert [got[f"s{i:05d}", r] for r in range(1, 5)] == [f"s{j:05d}" for j in want]
+    blocks = distances.blocks_of(ids)
+    pairs = distances._bounds(blocks, blocks, False).withColumn("k", F.when(F.col("near") > 0, 1).otherwise(0)).agg(F.sum("k"), F.count("*")).first()
+    assert points > 10 or pairs[0] > pairs[1] / 2  # most pairs of blocks have a bound that tells them apart
+    total = d + np.abs(y[:, None] - y[None])
+    far = {r["sample_id"]: r["d"] for r in distances.farthest(blocks).collect()}
+    i, j = np.unravel_index(total.argmax(), total.shape)
+    assert set(far) == {f"s{i:05d}", f"s{j:05d}"} and np.allclose(list(far.values()), total.max())
+
+
+def test_spxy_of_clusters_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(distances, "BLOCK", 32)
+    monkeypatch.setattr(splits, "CANDIDATES", 40)
+    x, y, df = clustered(spark, 200, 5)
+    got = {r[0]: (r[1], r[2]) for r in splits.spxy_split(df).collect()}
+    assert got == brute_spxy([f"s{i:05d}" for i in range(200)], x, y, 160)
+
+
+def test_distances_of_no_or_undefined_rows(spark):
+    empty = spark.createDataFrame([], "sample_id string, x array<double>, y double")
+    assert splits.spxy_split(empty).count() == 0 and distances.pairwise_distance(empty).count() == 0
+    some = spark.createDataFrame([("a", [0.0, 1.0], 0.0), ("b", None, 1.0), ("c", [3.0, 5.0], 1.0), ("d", [3.0, 4.0], 2.0)], "sample_id string, x array<double>, y double")
+    got = {r[0]: r[2] for r in splits.spxy_split(some, 0.7).collect()}
+    assert got["b"] is None and sorted(v for v in got.values() if v is not None) == [0, 1]
+    ids = some.withColumnRenamed("sample_id", "id")
+    assert {r["id"] for r in distances.nearest_neighbours(ids, ids, 2).collect()} == {"a", "c", "d"}
+
+
 def test_files_are_scanned_or_rejected(spark, tmp_path):
     head = "axis\t1\t2\t3\t4\t5"
     row = "x\t1.5\t2\t3\t4\t5"
