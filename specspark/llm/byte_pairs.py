@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, shared_dir, text_steps
@@ -46,6 +46,15 @@ def _words(text: str, pattern):
         yield part
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then all second bytes and so on, which compress better."""
+    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _numbered(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
     """Rows of two forms: texts (block, ids, counts, positions) and distinct words (block, first, words).
 
@@ -80,7 +89,7 @@ def _numbered(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
                         n += len(words)
                     counts.append(n)
                     size += len(text or "")
-                packed = pack.compress(np.concatenate([np.zeros(0, np.int32), *parts]).tobytes())
+                packed = pack.compress(_planes(np.concatenate([np.zeros(0, np.int32), *parts])))
                 yield row(ids=step.column(0).to_pylist(), counts=counts, positions=packed)
                 if size >= BLOCK_BYTES or len(numbers) >= BLOCK_WORDS:
                     yield from closed()
@@ -139,9 +148,11 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return met.mapInArrow(run, "block long, numbers array<int>, lengths array<int>, tokens array<int>")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
     """doc_id, tokens (array<int>) of each row of `docs(doc_id, text)`: byte-level BPE of each match of `pattern`.
 
+    With `decoded`, also decoded (binary), what `decode` makes of the tokens, in the same task.
+
     Null and empty texts have no tokens. Repeated rows and null doc_ids are rows like all others;
     other columns are ignored; an empty table gives an empty result. There are no special tokens:
     their spellings are text. Whole texts are encoded; a task holds the distinct words of one
@@ -154,28 +165,45 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     coded = _bucketed(encode_words(words, ranks), buckets)
     release(spark)
     texts = table.where("positions is not null").select("block", "ids", "counts", "positions")
+    shared = spark.sparkContext.broadcast(ranks)
 
     def put_together(texts: pa.Table, coded: pa.Table) -> pa.Table:
         flat = lambda name: coded.column(name).combine_chunks().flatten() if coded.num_rows else pa.array([], pa.int32())
         numbers, lengths = flat("numbers").to_numpy(), flat("lengths").to_numpy()
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         by_number = pa.ListArray.from_arrays(ends, flat("tokens")).take(pa.array(np.argsort(numbers)))
-        unpack, out, ids = zstandard.ZstdDecompressor(), [], []
+        unpack, out, ids, back = zstandard.ZstdDecompressor(), [], [], []
+        pieces = _token_array(shared.value) if decoded else None
         for own, counts, positions in zip(*(texts.column(c).to_pylist() for c in ("ids", "counts", "positions")), strict=True):
             ids += own
-            tokens = by_number.take(pa.array(np.frombuffer(unpack.decompress(positions), np.int32)))
+            tokens = by_number.take(pa.array(_from_planes(unpack.decompress(positions))))
             sums = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
             at = sums[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
             out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), tokens.flatten()))
-        return pa.table({"doc_id": pa.array(ids, id_type), "tokens": pa.chunked_array(out, pa.list_(pa.int32()))})
+            if decoded:
+                back.append(_decoded(out[-1], pieces))
+        columns = {"doc_id": pa.array(ids, id_type), "tokens": pa.chunked_array(out, pa.list_(pa.int32()))}
+        return pa.table(columns | ({"decoded": pa.chunked_array(back, pa.binary())} if decoded else {}))
 
     id_type = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, f"doc_id {kind}, tokens array<int>")
+    schema = f"doc_id {kind}, tokens array<int>" + (", decoded binary" if decoded else "")
+    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, schema)
+
+
+def _token_array(ranks: dict[bytes, int]) -> pa.Array:
+    """The token-byte table as an array: the bytes of token k are element k."""
+    table = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return pa.array(table, pa.binary())
 
 
-def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """(token, bytes): the token-byte table, one row per token of the vocabulary."""
-    return spark.createDataFrame([(r, bytearray(t)) for t, r in ranks.items()], "token int, bytes binary")
+def _decoded(tokens: pa.Array, pieces: pa.Array) -> pa.Array:
+    """The bytes of the tokens of each list, one after the other."""
+    found = pieces.take(tokens.flatten())
+    if found.null_count:
+        raise ValueError("a token that is not in the table")
+    return pc.binary_join(pa.ListArray.from_arrays(_offsets(tokens), found), b"")
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -187,17 +215,10 @@ def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        top = max(shared.value.values(), default=-1) + 1
-        table = [None] * top
-        for token, rank in shared.value.items():
-            table[rank] = token
-        table = pa.array(table, pa.binary())
+        pieces = _token_array(shared.value)
         for batch in batches:
             tokens = batch.column(1)
-            pieces = table.take(tokens.flatten())
-            if pieces.null_count:
-                raise ValueError("a token that is not in the table")
-            decoded = pc.binary_join(pa.ListArray.from_arrays(_offsets(tokens), pieces), b"")
+            decoded = _decoded(tokens, pieces)
             if tokens.null_count:
                 decoded = pc.if_else(pc.is_valid(tokens), decoded, pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, decoded], names=["doc_id", "tokens", "decoded"])
