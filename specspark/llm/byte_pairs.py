@@ -4,8 +4,8 @@ Texts are cut into pre-tokens (words below). Words are not moved once for each p
 at: a task numbers the distinct words of a block of texts, keeps the texts as positions in that
 numbering, and explodes the numbered words alone. The global shuffle by word brings equal words
 together, each distinct word is encoded once, its ids go back to (block, number), and the ids
-of a text are put together by position. Both sides of that last step are written in
-buckets by block, so the positions, the larger side, never move.
+of a text are put together by position. The positions, the larger side of that last step, are
+written in buckets by block, so they never move.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, text_steps
+from .common import shared_dir, text_steps
 
 #: Text bytes and distinct words at which a block is closed; characters that are cut into words at once.
 BLOCK_BYTES, BLOCK_WORDS, PIECE = 32 << 20, 500_000, 4 << 20
@@ -162,8 +162,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = _bucketed(_numbered(docs, pattern, kind), buckets)
     words = table.where("words is not null").select("block", "first", F.posexplode("words").alias("k", "word")).select("word", "block", (F.col("first") + F.col("k")).alias("number"))
-    coded = _bucketed(encode_words(words, ranks), buckets)
-    release(spark)
+    coded = encode_words(words, ranks)
     texts = table.where("positions is not null").select("block", "ids", "counts", "positions")
     shared = spark.sparkContext.broadcast(ranks)
 
