@@ -11,6 +11,7 @@ written in buckets by block, so they never move.
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import uuid
 
@@ -46,13 +47,18 @@ def _words(text: str, pattern):
         yield part
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then all second bytes and so on, which compress better."""
-    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+@functools.cache
+def _zstd():
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+def _packed(numbers: np.ndarray) -> bytes:
+    """int32 numbers, compressed: the first bytes of all, then all second bytes and so on."""
+    return _zstd()[0].compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_zstd()[1].decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _numbered(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
@@ -65,7 +71,7 @@ def _numbered(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        cut, pack = regex.compile(pattern), zstandard.ZstdCompressor(level=1)
+        cut = regex.compile(pattern)
         block, size = TaskContext.get().partitionId() << 24, 0
         names = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("counts", pa.list_(pa.int32())), ("positions", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
         numbers = {}
@@ -89,8 +95,8 @@ def _numbered(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
                         n += len(words)
                     counts.append(n)
                     size += len(text or "")
-                packed = pack.compress(_planes(np.concatenate([np.zeros(0, np.int32), *parts])))
-                yield row(ids=step.column(0).to_pylist(), counts=counts, positions=packed)
+                positions = _packed(np.concatenate([np.zeros(0, np.int32), *parts]))
+                yield row(ids=step.column(0).to_pylist(), counts=counts, positions=positions)
                 if size >= BLOCK_BYTES or len(numbers) >= BLOCK_WORDS:
                     yield from closed()
                     numbers.clear()
@@ -114,7 +120,9 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, numbers, lengths, tokens) of `words(word, block, number)`: the ids of each word, rows of one block put together.
+    """(block, coded binary) of `words(word, block, number)`: the ids of each word, rows of one block put together.
+
+    coded: how many words, their numbers, how many ids each has, and the ids, packed (see `coded_words`).
 
     One shuffle brings equal words to one task, where they stand one after the other and are
     encoded once. A word has one row a block at most, whatever it stands for in the texts.
@@ -137,15 +145,21 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             order = np.argsort(batch.column(1).to_numpy(), kind="stable")
             blocks, numbers = batch.column(1).to_numpy()[order], batch.column(2).to_numpy()[order]
             tokens = pa.array(tokens, kind).take(coded.indices.take(pa.array(order)))
-            lengths = pc.list_value_length(tokens)
+            lengths, flat = pc.list_value_length(tokens).to_numpy(), tokens.flatten().to_numpy()
             head = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
-            ends = np.concatenate([head, [len(blocks)]])
-            at = np.concatenate([[0], np.cumsum(lengths.to_numpy())])[ends]
-            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((ends, pa.array(numbers)), (ends, lengths), (at, tokens.flatten()))]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[head]), *[x.cast(kind) for x in lists]], names=["block", "numbers", "lengths", "tokens"])
+            ends, at = np.concatenate([head, [len(blocks)]]), np.concatenate([[0], np.cumsum(lengths)])
+            rows = [_packed(np.concatenate([[j - i], numbers[i:j], lengths[i:j], flat[at[i] : at[j]]])) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[head]), pa.array(rows, pa.binary())], names=["block", "coded"])
 
     met = words.select("word", "block", "number").repartition("word").sortWithinPartitions("word")
-    return met.mapInArrow(run, "block long, numbers array<int>, lengths array<int>, tokens array<int>")
+    return met.mapInArrow(run, "block long, coded binary")
+
+
+def coded_words(rows: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+    """(numbers, ids of each) of the coded words of a block."""
+    parts = [(x[1 : 1 + x[0]], x[1 + x[0] : 1 + 2 * x[0]], x[1 + 2 * x[0] :]) for x in map(_unpacked, rows)]
+    numbers, lengths, tokens = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (zip(*parts, strict=True) if parts else ([], [], [])))
+    return numbers, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(tokens))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
@@ -167,15 +181,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool
     shared = spark.sparkContext.broadcast(ranks)
 
     def put_together(texts: pa.Table, coded: pa.Table) -> pa.Table:
-        flat = lambda name: coded.column(name).combine_chunks().flatten() if coded.num_rows else pa.array([], pa.int32())
-        numbers, lengths = flat("numbers").to_numpy(), flat("lengths").to_numpy()
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        by_number = pa.ListArray.from_arrays(ends, flat("tokens")).take(pa.array(np.argsort(numbers)))
-        unpack, out, ids, back = zstandard.ZstdDecompressor(), [], [], []
+        numbers, tokens = coded_words(coded.column("coded").to_pylist())
+        by_number = tokens.take(pa.array(np.argsort(numbers)))
+        out, ids, back = [], [], []
         pieces = _token_array(shared.value) if decoded else None
         for own, counts, positions in zip(*(texts.column(c).to_pylist() for c in ("ids", "counts", "positions")), strict=True):
             ids += own
-            tokens = by_number.take(pa.array(_from_planes(unpack.decompress(positions))))
+            tokens = by_number.take(pa.array(_unpacked(positions)))
             sums = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
             at = sums[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
             out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), tokens.flatten()))
