@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from specspark.functions import spectral
 from specspark.operators import aggregates as agg
 from specspark.operators import distances, metadata, models, ranking, search, splits, statistics, validation
-from specspark.operators.shared import settled
+from specspark.operators.shared import settled, shared_path
 from specspark.plans import fixtures as fx
 from specspark.plans import tables
 from specspark.plans.fixtures import r6
 from specspark.plans.tables import R, query
+from specspark.sources import spectral_files as files
 
 #: Steps of the default chain; intervals combined in the single searches.
 CHAIN, COMBINED = ["snv"], 2
@@ -432,23 +433,57 @@ MAP_CHAINS = ([], ["emsc"], ["normalize"], ["snv"], ["second_derivative"], ["ems
 MCCV_ITERATIONS, MAP_ITERATIONS = 500, 200
 
 
-def _validated(spectra, cases, chains, unit, iterations):
+def _validated(spectra, cases, chains, unit, iterations, components=5):
     """Predictions of all cells of chains, cases and iterations; `cases` has a column for each case, null where a spectrum is not in it."""
     named = F.map_from_arrays(F.array(*[F.lit(c) for c in cases]), F.array(*[F.col(c).cast("double") for c in cases]))
     table = spectra.select("spectrum_id", "sample_id", F.col("intensity").alias("x"), F.map_filter(named, lambda k, v: v.isNotNull()).alias("cases"))
     units = table.select(unit, F.explode(F.map_keys("cases")).alias("case")).distinct()
     draws = splits.mc_splits(units, unit, iterations, cases=("case",))
-    return validation.monte_carlo(table, draws, list(chains), unit)
+    return validation.monte_carlo(table, draws, list(chains), unit, components)
 
 
-def _mccv(spark, sf_dir, iterations=MCCV_ITERATIONS, chains=MCCV_CHAINS):
+def _mccv(spark, sf_dir, iterations=MCCV_ITERATIONS, chains=MCCV_CHAINS, targets=fx.TARGETS, components=5):
     """(preprocessing, target, sample_id, iter, y, prediction): mean prediction of a sample in each iteration that tested it."""
     meta = metadata.impute_controls(metadata.filter_type(fx.samples(spark, sf_dir), ("DM1", "Control")))
     joined = metadata.join_metadata(fx.spectra(spark, sf_dir).drop("sample_no"), meta)
-    p = _validated(joined, fx.TARGETS, chains, "sample_id", iterations)
+    p = _validated(joined, targets, chains, "sample_id", iterations, components)
     return p.groupBy("chain", "case", "sample_id", "iter").agg(F.first("y").alias("y"), F.avg("prediction").alias("prediction")).withColumnsRenamed({"chain": "preprocessing", "case": "target"})
 
 
+# The cells that SQL can follow: four iterations of three chains, one target, two components.
+_CELLS = f"""meta as (select sample_id, case when type = 'Control' then 0 else "target_SI" end as y from samples where type in ('DM1', 'Control')), {_SNV_ALL},
+ks as (select unnest(range(0, 4)) as k), units as (select sample_id, y from meta where y is not null),
+dr as (select k, sample_id, y, row_number() over (partition by k order by md5(sample_id || '_' || (k + 42)), sample_id) > ceil(0.2 * (select count(*) from units)) as train from units, ks),
+raw as (select dr.k, l.spectrum_id as s, sample_id, idx, x, y, train from spectra_long l join dr using (sample_id)),
+ref as (select k, idx, avg(x) as r from raw where train group by 1, 2), refm as (select k, avg(r) as rm, sum(r * r) - sum(r) * sum(r) / count(*) as rr from ref group by 1),
+line as (select raw.k, s, avg(x) as m, sum(x * (r - rm)) / any_value(rr) as a from raw join ref using (k, idx) join refm on refm.k = raw.k group by 1, 2),
+base as (select 'none' as c, k, s, sample_id, idx, x, y, train from raw union all select 'snv', raw.k, raw.s, raw.sample_id, raw.idx, v.x, y, train from raw join snv_all v on v.s = raw.s and v.idx = raw.idx
+  union all select 'emsc', raw.k, raw.s, sample_id, idx, (x - m) / a + rm, y, train from raw join line on line.k = raw.k and line.s = raw.s join refm on refm.k = raw.k),
+vm as (select c, k, idx, avg(x) as xm, stddev_samp(x) as xs from base where train group by 1, 2, 3),
+vy as (select distinct c, k, s, sample_id, y, train from base), vym as (select c, k, avg(y) as ym from vy where train group by 1, 2),
+vx0 as materialized (select base.c, base.k, s, base.idx, (x - xm) / xs as x, train from base join vm on vm.c = base.c and vm.k = base.k and vm.idx = base.idx),
+vy0 as (select vy.c, vy.k, s, y - ym as y, train from vy join vym on vym.c = vy.c and vym.k = vy.k), {pls_sql('v', 2)},
+cells as (select p.c as preprocessing, 'target_SI' as target, sample_id, cast(p.k as int) as iter, any_value(y) as y, avg(ym + v) as prediction from vpred p join vy on vy.c = p.c and vy.k = p.k and vy.s = p.s join vym on vym.c = p.c and vym.k = p.k where not vy.train group by all)"""
+
+
+def _cells(spark, sf_dir):
+    return _mccv(spark, sf_dir, 4, ([], ["snv"], ["emsc"]), ("target_SI",), 2)
+
+
+@query(f", {_CELLS} select preprocessing, target, sample_id, iter, {R('y')} as y, {R('prediction')} as prediction from cells")
+def mccv_cells(spark, sf_dir):
+    """The validation job on the few cells that SQL can follow."""
+    return _rounded(_cells(spark, sf_dir))
+
+
+@query(f", {_CELLS}, tested as (select distinct preprocessing, target, sample_id from cells) select t.preprocessing, t.target, t.sample_id, cast(k as int) as iter, {R('prediction')} as prediction from tested t join ks on true left join cells on cells.preprocessing = t.preprocessing and cells.sample_id = t.sample_id and cells.iter = k")
+def prediction_matrix(spark, sf_dir):
+    """Predictions written as a matrix of samples by iterations for each chain and target, and read again."""
+    files.write_matrices(_cells(spark, sf_dir), path := shared_path(spark, "matrices"), ("preprocessing", "target"), "sample_id", "iter", "prediction", 4)
+    rows = files.read_matrices(spark, path, "preprocessing string, target string, sample_id string")
+    return _rounded(rows.select("preprocessing", "target", "sample_id", F.posexplode("values").alias("iter", "prediction")))
+
+
 @query()
 def mccv_predictions(spark, sf_dir):
     return _rounded(_mccv(spark, sf_dir))

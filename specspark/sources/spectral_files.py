@@ -118,3 +118,19 @@ def write_table(df: DataFrame, path: str, by: tuple[str, ...] = (), kind: str =
     if by:
         writer = writer.partitionBy(*by)
     writer.option("header", True).format(kind).save(path)
+
+
+def write_matrices(df: DataFrame, path: str, by: tuple[str, ...], row: str, column: str, value: str, columns: int) -> None:
+    """Matrix sink: for each value of `by` a folder with one row per `row` and its `values`, an array over `column` 0 to `columns` - 1.
+
+    Cells that `df` does not have are null. A row has `columns` numbers, whatever the number of rows.
+    """
+    filled = F.map_from_entries(F.collect_list(F.struct(column, value)))
+    rows = df.groupBy(*by, row).agg(filled.alias("cells"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda k: F.try_element_at("cells", k))
+    write_table(rows.select(*by, row, values.alias("values")), path, by)
+
+
+def read_matrices(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """The rows (keys, values) of `write_matrices`."""
+    return spark.read.schema(f"{keys}, values array<double>").parquet(path)
