@@ -63,6 +63,37 @@ def scan_rejects(spark, sf_dir):
     return files.rejected_files(map_texts(spark, sf_dir))
 
 
+def written_texts(spark, sf_dir):
+    """(file_name, content) of real files: those of `map_texts`, some with a cell that is no number, written one by one and read again."""
+    texts = map_texts(spark, sf_dir)
+    bad = F.col("file_name").rlike("4_Map2_x[.]txt$")
+    files.write_texts(texts.withColumn("content", F.when(bad, F.regexp_replace("content", r"\t[^\t\n]*\n$", "\tbad\n")).otherwise(F.col("content"))), path := shared_path(spark, "texts"))
+    return files.read_texts(spark, path)
+
+
+_FILE_ROWS = "select file_name, sample_id, rep_no, idx, round(x, 6) + 0.0 as x from spectra_long join (select spectrum_id, file_name from spectra) using (spectrum_id) where not ends_with(file_name, '4_Map2_x.txt')"
+
+
+@query(f"{_FILE_ROWS} and file_name in (select file_name from spectra group by 1 having count(*) = 3)")
+def scan_files(spark, sf_dir):
+    """The strict scan of files on disk."""
+    return long_of(files.scan_spectra(written_texts(spark, sf_dir), fx.POINTS), "file_name", "sample_id", "rep_no")
+
+
+@query(_FILE_ROWS.replace("rep_no, idx", "cast(row_number() over (partition by file_name, idx order by rep_no) as int) as rep_no, idx"))
+def scan_files_lenient(spark, sf_dir):
+    """The lenient scan of the same files: any number of spectra in a file."""
+    return long_of(files.scan_spectra(written_texts(spark, sf_dir), strict=False), "file_name", "sample_id", "rep_no")
+
+
+@query("select file_name, strict, case when strict and n <> 3 then 'wrong number of rows' else 'not a number' end as reason from (select file_name, count(*) as n from spectra group by 1), (select unnest([true, false]) as strict) where (strict and n <> 3) or ends_with(file_name, '4_Map2_x.txt')")
+def reject_files(spark, sf_dir):
+    """Files on disk that the strict and the lenient scan reject."""
+    texts = written_texts(spark, sf_dir)
+    sides = [files.rejected_files(texts, fx.POINTS if strict else None, strict).withColumn("strict", F.lit(strict)) for strict in (True, False)]
+    return sides[0].unionByName(sides[1]).select("file_name", "strict", "reason")
+
+
 @query("select idx, wavenumber, cast(1 as bigint) as n_axes from axis")
 def wavenumber_axis(spark, sf_dir):
     return files.wavenumber_axis(map_texts(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from specspark.operators.shared import numbered
 
@@ -33,6 +34,49 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
 
 
+class SpectralText(DataSource):
+    """Sink for rows (file_name, content): one text file each, below `path`, on any store that pyarrow can write."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "spectral_text"
+
+    def schema(self) -> str:
+        return "file_name string, content string"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("spectral_text appends to a folder; it does not overwrite one")
+        return _FileWriter(self.options["path"])
+
+
+class _FileWriter(DataSourceWriter):
+    """A file appears by one rename, so a task that runs twice leaves one whole file."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator) -> WriterCommitMessage:
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.path if ":" in self.path.split("/")[0] else f"file://{self.path}")
+        store.create_dir(base, recursive=True)
+        for row in iterator:
+            part = f"{base}/.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as f:
+                f.write((row["content"] or "").encode())
+            store.move(part, f"{base}/{row['file_name']}")
+        return WriterCommitMessage()
+
+
+def write_texts(files: DataFrame, path: str) -> None:
+    """Write `files(file_name, content)` as text files of these names into the folder `path`."""
+    files.sparkSession.dataSource.register(SpectralText)
+    files.select("file_name", "content").write.format("spectral_text").mode("append").save(path)
+
+
 def _cells(content: Column) -> Column:
     """Rows of numbers: blank lines dropped, the first cell of each row dropped, bad numbers null."""
     lines = F.filter(F.split(content, r"\r?\n"), lambda x: F.trim(x) != "")
