@@ -153,15 +153,30 @@ def _features(df: DataFrame, intervals) -> DataFrame:
     return df.withColumn("features", array_to_vector(points))
 
 
-def tree_regression(kind: str, train: DataFrame, test: DataFrame, intervals, **options):
-    """(predictions of test, importance of each interval): random forest or boosted trees on the points of the intervals."""
+#: Rows of a task when trees are grown: each level of a tree is a job.
+TREE_ROWS = 5000
+
+
+def fit_trees(kind: str, train: DataFrame, intervals, **options):
+    """(function from rows to rows with `pred`, importance of each interval): random forest or boosted trees on the points of the intervals.
+
+    Rows without a target or a defined spectrum take no part; those without a spectrum are not predicted.
+    """
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     cls = {"forest": RandomForestRegressor, "boosted": GBTRegressor}[kind]
-    model = cls(featuresCol="features", labelCol="y", predictionCol="pred", seed=42, **options).fit(_features(train.where("y is not null"), intervals))
+    rows = _features(train.where("x is not null and y is not null"), intervals).select("features", "y").persist()
+    rows = rows.coalesce(rows.count() // TREE_ROWS + 1)
+    model = cls(featuresCol="features", labelCol="y", predictionCol="pred", seed=42, **options).fit(rows)
     points, ends = model.featureImportances.toArray(), np.cumsum([e - s for s, e in intervals])
     by_interval = [float(points[end - (e - s) : end].sum()) for (s, e), end in zip(intervals, ends, strict=True)]
-    return model.transform(_features(test, intervals)).drop("features"), by_interval
+    return (lambda on: model.transform(_features(on.where("x is not null"), intervals)).drop("features")), by_interval
+
+
+def tree_regression(kind: str, train: DataFrame, test: DataFrame, intervals, **options):
+    """(predictions of test, importance of each interval)."""
+    model, by_interval = fit_trees(kind, train, intervals, **options)
+    return model(test), by_interval
 
 
 def fit_pca(df: DataFrame, k: int):

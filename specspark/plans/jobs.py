@@ -323,44 +323,48 @@ tables.ORACLE["split_log"] = _SPLIT_SQL.replace("select distinct d.a as sample_i
 
 # The settings that are tried for each model.
 SETTINGS = {
-    "pls": [{"components": c} for c in (1, 2, 3, 4, 5)],
-    "forest": [{"numTrees": 20, "maxDepth": 6}, {"numTrees": 40, "maxDepth": 10}],
-    "boosted": [{"maxIter": 10, "stepSize": 0.1}, {"maxIter": 20, "stepSize": 0.05}],
+    "pls": [{"components": c} for c in COMPONENTS],
+    "forest": [{"numTrees": 100, "maxDepth": 30}, {"numTrees": 200, "maxDepth": 10}],  # 30 is the deepest that Spark's trees go
+    "boosted": [{"maxIter": 100, "stepSize": 0.1}, {"maxIter": 200, "stepSize": 0.05}],
     "neighbours": [{"k": 3}, {"k": 7}],
 }
 
 
-def _fitted(kind, train, on, intervals, setting):
-    """Predictions of one model and setting on `on`."""
+def _fitted(kind, train, intervals, setting):
+    """A function from rows to rows with `pred`, of one model and setting fitted on `train`."""
     if kind == "pls":
         columns = models.interval_columns(intervals)
         coef, base = models.fit_pls(train, setting["components"], columns=columns)
-        return models.predict(on, coef[:, 0], base[0], columns)
+        return lambda on: models.predict(on, coef[:, 0], base[0], columns)
     if kind == "neighbours":
         pick = lambda df: metadata.select_intervals(df, intervals, "x").withColumnRenamed("spectrum_id", "id")
-        return on.join(distances.knn_predict(pick(on), pick(train), setting["k"]).withColumnRenamed("id", "spectrum_id"), "spectrum_id")
-    return models.tree_regression(kind, train, on, intervals, **setting)[0]
+        return lambda on: on.join(distances.knn_predict(pick(on), pick(train), setting["k"]).withColumnRenamed("id", "spectrum_id"), "spectrum_id")
+    return models.fit_trees(kind, train, intervals, **setting)[0]
+
+
+def _error(rows):
+    """(n, rmse, r2) of the sample means of `rows(sample_id, y, pred)`."""
+    return agg.regression_metrics(agg.sample_predictions(rows.select("sample_id", "y", "pred")).withColumn("pred", F.col("pred_mean"))).first()
 
 
 @query()
 def multi_model_eval(spark, sf_dir):
     """The same intervals under each model and setting: errors on validation samples, and, for the best setting of each model, on the blind test."""
     train, test = _train_test(spark, sf_dir, CHAIN)
-    fit, held = (x.persist() for x in _spxy(train))
-    test = test.persist()
+    fit, held = _spxy(train)
+    test = settled(test, "test")
     best, *_ = models.sipls_search(models.FoldGrams(fit), 2, 10, COMBINED)
     rows = []
     for kind, settings in SETTINGS.items():
         scored = []
         for k, setting in enumerate(settings):
-            m = agg.regression_metrics(agg.sample_predictions(_fitted(kind, fit, held, best, setting).select("sample_id", "y", "pred")).withColumn("pred", F.col("pred_mean"))).first()
-            scored.append((m["rmse"], k))
+            model = _fitted(kind, fit, best, setting)
+            m = _error(model(held))
+            scored.append((m["rmse"], k, model))
             rows.append((kind, str(setting), "validation", m["n"], m["rmse"], m["r2"]))
-        setting = settings[min(scored)[1]]
-        m = agg.regression_metrics(agg.sample_predictions(_fitted(kind, fit, test, best, setting).select("sample_id", "y", "pred")).withColumn("pred", F.col("pred_mean"))).first()
-        rows.append((kind, str(setting), "blind test", m["n"], m["rmse"], m["r2"]))
-    for df in (fit, held, test):
-        df.unpersist()
+        _, k, model = min(scored, key=lambda x: x[:2])
+        m = _error(model(test))
+        rows.append((kind, str(settings[k]), "blind test", m["n"], m["rmse"], m["r2"]))
     return _rounded(spark.createDataFrame(rows, "model string, setting string, stage string, n long, rmse double, r2 double"))
 
 
