@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from specspark.functions import spectral
 from specspark.operators import aggregates as agg
-from specspark.operators import distances, metadata, models, ranking, search, splits, statistics, validation
+from specspark.operators import distances, metadata, models, ranking, search, splits, statistics, validation, wide
 from specspark.operators.shared import settled, shared_path
 from specspark.plans import fixtures as fx
 from specspark.plans import tables
@@ -60,6 +60,12 @@ def pls_scaled(spark, sf_dir):
     return _coefficients(spark, models.fit_pls(_train_test(spark, sf_dir)[0], 1, scaled=True)[0])
 
 
+@query(f", {_PLS1_SCALED} select idx, {R('b')} as beta from beta")
+def pls_wide(spark, sf_dir):
+    """The scaled fit by passes over the rows, for axes whose matrix is too large."""
+    return _coefficients(spark, wide.fit_pls(models.targets_of(_train_test(spark, sf_dir)[0], "y"), 1, scaled=True)[0])
+
+
 def _predicted(spark, sf_dir, components=1, steps=()):
     train, test = _train_test(spark, sf_dir, steps)
     coef, base = models.fit_pls(train, components)
@@ -412,6 +418,15 @@ def pca_explained(spark, sf_dir):
     return spark.createDataFrame([(k + 1, round(100 * float(v), 6)) for k, v in enumerate(share)], "component int, percent double")
 
 
+@query(f", {_PCA} select distinct cast(j as int) as component, {R('100 * share')} as percent from axes")
+def pca_wide(spark, sf_dir):
+    """Explained variance by passes over the rows, for axes whose matrix is too large."""
+    table = spectral.preprocess_chain(fx.spectra(spark, sf_dir).drop("sample_no"), CHAIN)
+    train = metadata.join_metadata(table, fx.samples(spark, sf_dir)).where("set = 'Train'").withColumnRenamed("intensity", "x")
+    share = wide.fit_pca(settled(train.select("x"), "train"), 3)[2]
+    return spark.createDataFrame([(k + 1, round(100 * float(v), 6)) for k, v in enumerate(share)], "component int, percent double")
+
+
 @query(f", {_PCA} select s as spectrum_id, sample_id, set, type, {R(chr(34) + 'target_SI' + chr(34))} as target_si, {_PCS} from pc join samples using (sample_id)")
 def pca_project(spark, sf_dir):
     """Train scores and the projection of the test set, with class and target."""
