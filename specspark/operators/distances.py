@@ -43,10 +43,13 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     Rows with a null spectrum are in no block. The pivots, PIVOTS rows at most, are on the driver.
     """
     spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
-    rows = settled(rows.select("id", "x", F.col("y").cast("double").alias("y")).where("x is not null"), "samples")
+    if not hasattr(rows, "settled_at"):
+        rows = settled(rows.select("id", "x", F.col("y").cast("double").alias("y")), "samples")
+    rows = rows.where("x is not null")
     n, points = rows.agg(F.count("*"), F.max(F.size("x"))).first()
     most = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, points or 1))))
-    pivots = rows.select("x", F.xxhash64("id").alias("h")).orderBy("h").limit(min(PIVOTS, -(-n // most) or 1)).collect()
+    wanted = min(PIVOTS, -(-n // most))
+    pivots = rows.select("x", F.xxhash64("id").alias("h")).orderBy("h").limit(wanted).collect() if wanted > 1 else []
     shared = spark.sparkContext.broadcast(np.array([r["x"] for r in pivots], float))
 
     def deal(batches):
@@ -83,10 +86,9 @@ def _bounds(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
 
 
 def _met(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs (i, j) with the rows of both blocks, spread over tasks."""
+    """The pairs (i, j) with the rows of both blocks, spread over tasks by their bytes."""
     side = lambda df, k, key: df.select(F.col("block").alias(key), *[F.col(c).alias(f"{k}_{c}") for c in ("n", "ids", "x", "y")])
-    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * left.sparkSession.sparkContext.defaultParallelism)
-    return pairs.select("i", "j").join(side(left, "l", "i"), "i").join(side(right, "r", "j"), "j").repartition(tasks, "i", "j")
+    return pairs.select("i", "j").join(side(left, "l", "i"), "i").join(side(right, "r", "j"), "j").repartition("i", "j")
 
 
 def _sides(row):

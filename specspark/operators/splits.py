@@ -29,9 +29,10 @@ def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) ->
     from .distances import blocks_of, farthest
 
     spark, kind = samples.sparkSession, dict(samples.dtypes)["sample_id"]
-    blocks = blocks_of(samples.select(F.col("sample_id").alias("id"), "x", "y"))
-    rows, low, high = blocks.agg(F.sum("n"), F.min("low"), F.max("high")).first()
-    n_train = int(ratio * (rows or 0))
+    rows = settled(samples.select(F.col("sample_id").alias("id"), "x", F.col("y").cast("double").alias("y")), "samples")
+    blocks = blocks_of(rows)
+    n, low, high = blocks.agg(F.sum("n"), F.min("low"), F.max("high")).first()
+    n_train = int(ratio * (n or 0))
     path, picked, new, state = shared_path(spark, "picks"), 0, [], None
     picks_schema = f"sample_id {kind}, pick long"
     wx, wy = 1.0, 1.0
@@ -64,7 +65,7 @@ def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) ->
             far_off[k] = -np.inf
     found = spark.read.schema(picks_schema).parquet(path) if picked else spark.createDataFrame([], picks_schema)
     part = F.when(F.col("pick").isNotNull(), "train").otherwise("validation").alias("part")
-    return samples.select("sample_id").join(found, "sample_id", "left").select("sample_id", part, "pick")
+    return rows.select(F.col("id").alias("sample_id")).join(found, "sample_id", "left").select("sample_id", part, "pick")
 
 
 def _rows_of(blocks: DataFrame, ids: list) -> list:
