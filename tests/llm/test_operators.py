@@ -258,7 +258,7 @@ def test_mix_takes_the_documents_of_the_plain_queue(spark, monkeypatch):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "en", "ab"[i % 2] + ("" if i % 5 else "c")) for i in range(300)]
     docs = table(spark, rows)
     got = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
-    plain = docs.select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size")).withColumn("h", mixing._shuffled(17)).collect()
+    plain = docs.select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"), mixing._shuffled(17).alias("h")).collect()
     assert got == dict(brute_mix(plain))
     monkeypatch.setattr(mixing, "RANGES", 3)
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
@@ -633,8 +633,7 @@ def test_near_duplicates_with_a_large_group(spark):
 
 
 def test_near_duplicates_that_resemble_only_the_original(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "WIDE", 8, raising=False)  # the window before there were blocks
-    monkeypatch.setattr(near_duplicates, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(300)]
     rows = {500: " ".join(base)}
