@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specspark.functions.tails import f_p, ks_p, studentised_range_critical, t_p
+from specspark.functions.tails import f_p, ks_p, range_critical, t_p
 
 from .aggregates import moments, quantiles
 
@@ -117,10 +117,9 @@ def tukey_hsd(df: DataFrame, group: str = "map", value: str = "value", keys: tup
 
 
 def with_tukey_interval(df: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Interval and decision; one critical value for each number of groups and degrees of freedom, both few."""
-    shapes = df.select("groups", "df").distinct().collect()
-    critical = F.coalesce(*[F.when((F.col("groups") == r["groups"]) & (F.col("df") == r["df"]), F.lit(studentised_range_critical(alpha, r["groups"], float(r["df"])))) for r in shapes])
-    out = df.withColumn("critical", critical)
+    """Interval and decision; the critical value of each number of groups and degrees of freedom is found once, in a task."""
+    critical = df.select("groups", "df").distinct().withColumn("critical", range_critical(F.lit(alpha), "groups", "df"))
+    out = df.join(critical, ["groups", "df"])
     half = F.col("critical") * F.col("se")
     return out.withColumns({"lower": F.col("diff") - half, "upper": F.col("diff") + half, "reject": F.col("q") > F.col("critical")}).drop("critical")
 

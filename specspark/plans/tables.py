@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from specspark.functions import spectral
+from specspark.functions import spectral, tails
 from specspark.functions.spectral import savgol_matrix
 from specspark.operators import aggregates as agg
 from specspark.operators import distances, metadata, ranking, splits, statistics
@@ -465,9 +465,42 @@ def tukey_hsd(spark, sf_dir):
     return statistics.tukey_hsd(fx.scores_long(spark, sf_dir)).select("metric", "a", "b", r6("diff").alias("diff"), r6("q").alias("q"))
 
 
-@query()
+def _critical_sql(shapes: str, alpha: float = 0.05) -> str:
+    """Critical values of the studentised range as common table expressions, from {shapes}(k, df) to critical(k, df, q): the sums and halvings of `tails`."""
+
+    def cdf(x):
+        a = f"(abs({x}) / sqrt(2.0))"
+        t = f"(1 / (1 + 0.5 * {a}))"
+        fit = str(tails.ERFC[-1])
+        for c in tails.ERFC[-2::-1]:
+            fit = f"({c} + {t} * {fit})"
+        half = f"0.5 * {t} * exp(-{a} * {a} + {fit})"
+        return f"case when {x} >= 0 then 1 - {half} else {half} end"
+
+    n = tails.STEPS
+    weight = f"case when i in (0, {n}) then 1.0 when i % 2 = 1 then 4.0 else 2.0 end"
+    log_c = "df / 2.0 * ln(df) - lgamma(df / 2.0) - (df / 2.0 - 1) * ln(2.0)"
+    out = [
+        f"steps as (select unnest(range(0, {n + 1})) as i)",
+        f"normal as materialized (select z, {cdf('z')} as pz, {weight} * 16.0 / {n} / 3 * exp(-z * z / 2) / sqrt(2 * pi()) as wz from (select i, -8.0 + 16.0 * i / {n} as z from steps))",
+        f"spans as (select k, df, greatest(1e-6, 1 - 8 / sqrt(2.0 * df)) as lo, 1 + 8 / sqrt(2.0 * df) + case when df < 4 then 2.0 else 0.0 end as hi from {shapes})",
+        f"points as (select k, df, i, lo, hi, lo + (hi - lo) * i / {n} as s from spans, steps where df <= {tails.SCALED_DF})",
+        f"scales as materialized (select k, df, s, {weight} * (hi - lo) / {n} / 3 * exp({log_c} + (df - 1) * ln(s) - df * s * s / 2) as ws from points union all select k, df, 1.0, 1.0 from spans where df > {tails.SCALED_DF})",
+        f"half0 as (select k, df, 0.0 as lo, cast({tails.TOP} as double) as hi from {shapes})",
+    ]
+    for h in range(tails.HALVINGS):
+        upper = f"greatest(0.0, 1 - sum(ws * wz * b.k * power(pz - ({cdf('(z - mid * s)')}), b.k - 1)))"
+        tail = f"select b.k, b.df, lo, hi, mid, {upper} as p from (select *, (lo + hi) / 2 as mid from half{h}) b join scales on scales.k = b.k and scales.df = b.df, normal group by b.k, b.df, lo, hi, mid"
+        out.append(f"half{h + 1} as materialized (select k, df, case when p > {alpha} then mid else lo end as lo, case when p > {alpha} then hi else mid end as hi from ({tail}))")
+    return ", ".join([*out, f"critical as (select k, df, (lo + hi) / 2 as q from half{tails.HALVINGS})"])
+
+
+@query(
+    f", {_GROUPS}, {_AB}, shapes as (select distinct k, n - k as df from e), {_critical_sql('shapes')}, tu as (select ab.metric, a, b, m2 - m1 as diff, sqrt(ssw / (n - k) / 2 * (1 / n1 + 1 / n2)) as se, k, n - k as df from ab join e on e.metric = ab.metric) "
+    f"select metric, a, b, {R('diff')} as diff, {R('abs(diff) / se')} as q, {R('diff - q * se')} as lower, {R('diff + q * se')} as upper, abs(diff) / se > q as reject from tu join critical c on c.k = tu.k and c.df = tu.df"
+)
 def tukey_decisions(spark, sf_dir):
-    """Tukey-Kramer comparisons with the simultaneous 95 % interval and the decision; the critical value has no SQL."""
+    """Tukey-Kramer comparisons with the simultaneous 95 % interval and the decision."""
     t = statistics.with_tukey_interval(statistics.tukey_hsd(fx.scores_long(spark, sf_dir)))
     return t.select("metric", "a", "b", *[r6(c).alias(c) for c in ("diff", "q", "lower", "upper")], "reject")
 
