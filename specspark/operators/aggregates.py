@@ -85,7 +85,7 @@ def box_summary(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, bin, n): equal-width bins from minimum to maximum, the last closed; empty bins have n 0."""
     edges = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    joined = df.join(F.broadcast(edges) if not keys else edges, list(keys)) if keys else df.join(edges)
+    joined = df.join(edges, list(keys)) if keys else df.join(edges)
     place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).cast("int")
     counted = joined.where(F.col(value).isNotNull()).select(*keys, place.alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     spine = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

@@ -277,6 +277,20 @@ def refine_intervals_cv(spark, sf_dir):
     return _rounded(spark.createDataFrame([(k, s, e, rmse) for k, (s, e) in enumerate(found)], "k int, s int, e int, rmse double"))
 
 
+_MOVES = """(select s0 || '-' || e0 || ';' || s1 || '-' || e1 as c, row_number() over (order by s0, e0, s1, e1) as o, s0, e0, s1, e1
+  from (select unnest(range(5, 8)) as s0), (select unnest(range(11, 14)) as e0), (select unnest(range(37, 40)) as s1), (select unnest(range(43, 46)) as e1))"""
+
+
+@query(
+    f", {_fold_sql(_MOVES)}, best as (select s0, e0, s1, e1, rmse_sample from scores join {_MOVES} m on m.c = scores.candidate order by rmse_sample, o limit 1) "
+    f"select cast(0 as int) as k, cast(s0 as int) as s, cast(e0 as int) as e, {R('rmse_sample')} as rmse from best union all select 1, cast(s1 as int), cast(e1 as int), {R('rmse_sample')} from best"
+)
+def refine_cell(spark, sf_dir):
+    """The joint moves that SQL can follow: four bounds by one point."""
+    found, rmse = search.refine_on_folds(_search_moments(spark, sf_dir, [[]]), "none", 2, [(6, 12), (38, 44)], 1)
+    return _rounded(spark.createDataFrame([(k, s, e, rmse) for k, (s, e) in enumerate(found)], "k int, s int, e int, rmse double"))
+
+
 def evaluate(moments, components=COMPONENTS, interval_list=INTERVALS, most=MOST_COMBINED, shift=SHIFT):
     """(chain, stage, intervals, n_components, n, rmse, r2): grid on folds, calibration on the validation samples, refinement, retraining on all, blind test.
 
