@@ -13,15 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes that one matrix may have, about 4,000 points: a few of them meet in a task or on the driver.
+MATRIX_BYTES = 128 << 20
+
+
 def gram_rows(df: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
-    """(key, i, row binary): row i of the sum of z z' over the rows of each key; `y` is an array of targets."""
-    kind = dict(df.dtypes)[key]
+    """(key, i, row binary): row i of the sum of z z' over the rows of each key; `y` is an array of targets.
+
+    A wider axis than MATRIX_BYTES allows raises; `operators.wide` fits those by passes.
+    """
+    kind, limit = dict(df.dtypes)[key], MATRIX_BYTES
 
     def partial(batches):
         sums: dict = {}
         for pdf in batches:
             for k, part in pdf.groupby("key", sort=False):
                 z = np.column_stack([np.ones(len(part)), np.stack(part.x.to_list()), np.stack(part.y.to_list())])
+                if 8 * z.shape[1] ** 2 > limit:
+                    raise ValueError(f"{z.shape[1]} columns are too many for a matrix of {limit} bytes: use operators.wide")
                 sums[k] = sums.get(k, 0) + z.T @ z
         for k, g in sums.items():
             yield pd.DataFrame({"key": k, "i": range(len(g)), "row": [r.tobytes() for r in g]})

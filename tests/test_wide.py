@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specspark.operators import models, wide
+from specspark.operators import gram, models, wide
 
 from .test_spectral import table  # noqa: F401
 
@@ -25,6 +25,13 @@ def test_axes_by_passes(spark, table):  # noqa: F811
     assert np.allclose(mean, m) and np.allclose(axes, a, atol=1e-6) and np.allclose(share, s)
 
 
+def test_too_wide_for_a_matrix(table, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(gram, "MATRIX_BYTES", 100)
+    with pytest.raises(Exception, match="use operators.wide"):
+        models.fit_pls(table, 1)
+    assert wide.fit_pls(models.targets_of(table, "y"), 1)[0].shape == (20, 1)
+
+
 def test_thousands_of_points(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 3)) @ (rng.normal(size=(3, 6000)) * np.array([[9.0], [4.0], [2.0]])) + rng.normal(size=(40, 6000)) * 0.1
