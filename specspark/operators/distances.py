@@ -129,7 +129,14 @@ def pairwise_distance(samples: DataFrame, x: str = "x", y: str = "y", within: fl
 
 
 def farthest(blocks: DataFrame, wx: float = 1.0, wy: float = 1.0) -> DataFrame:
-    """(sample_id, d): the samples of `blocks` that have the largest of all distances wx * dx + wy * dy, or one within 1e-8 of it.
+    """(sample_id, d): the samples of `blocks` that have the largest of all distances wx * dx + wy * dy, or one within 1e-8 of it."""
+    got = settled(far_rows(blocks, wx, wy), "farthest")
+    top = got.agg(F.max("d")).first()[0]
+    return got.where(F.col("d") >= F.lit(top) - 1e-8) if top is not None else got
+
+
+def far_rows(blocks: DataFrame, wx: float, wy: float) -> DataFrame:
+    """(sample_id, d): the samples of `farthest` and others with large distances.
 
     A distance that some rows reach, found from one row of each block, rules out most pairs of blocks.
     """
@@ -162,9 +169,7 @@ def farthest(blocks: DataFrame, wx: float = 1.0, wy: float = 1.0) -> DataFrame:
                 exact = wx * _exact(lx, rx, i, j) + wy * np.abs(ly[i] - ry[j])
                 yield pd.DataFrame({"sample_id": np.concatenate([li[i], ri[j]]), "d": np.concatenate([exact, exact])})
 
-    got = settled(_met(pairs, blocks, blocks).mapInPandas(solve, f"sample_id {kind}, d double").groupBy("sample_id").agg(F.max("d").alias("d")), "farthest")
-    top = got.agg(F.max("d")).first()[0]
-    return got.where(F.col("d") >= F.lit(top) - 1e-8) if top is not None else got
+    return _met(pairs, blocks, blocks).mapInPandas(solve, f"sample_id {kind}, d double").groupBy("sample_id").agg(F.max("d").alias("d"))
 
 
 def nearest_neighbours(test: DataFrame, train: DataFrame, k: int) -> DataFrame:

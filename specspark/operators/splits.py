@@ -26,7 +26,7 @@ def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) ->
     hold the next picks as long as their own stay above those of all others: each round brings
     these rows to the driver, picks as many as that proves, and appends them to the table of picks.
     """
-    from .distances import blocks_of, farthest
+    from .distances import blocks_of, far_rows
 
     spark, kind = samples.sparkSession, dict(samples.dtypes)["sample_id"]
     rows = settled(samples.select(F.col("sample_id").alias("id"), "x", F.col("y").cast("double").alias("y")), "samples")
@@ -38,9 +38,9 @@ def spxy_split(samples: DataFrame, ratio: float = 0.8, scaled: bool = False) ->
     wx, wy = 1.0, 1.0
     if n_train:
         if scaled:
-            far = farthest(blocks, 1.0, 0.0).agg(F.max("d")).first()[0]
+            far = far_rows(blocks, 1.0, 0.0).agg(F.max("d")).first()[0]
             wx, wy = 1.0 / (far or 1.0), 1.0 / ((high - low) or 1.0)
-        first = farthest(blocks, wx, wy).orderBy(F.desc(F.round("d", 9)), "sample_id").first()
+        first = far_rows(blocks, wx, wy).orderBy(F.desc(F.round("d", 9)), "sample_id").first()
         new = _rows_of(blocks, [first["sample_id"]])
     while new:
         spark.createDataFrame([(r["id"], picked + k) for k, r in enumerate(new)], picks_schema).coalesce(1).write.mode("append").parquet(path)
