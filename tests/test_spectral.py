@@ -292,6 +292,16 @@ def test_theta_and_key_substring_joins_agree(spark):
     assert metadata.substring_join(f, ids).count() == metadata.substring_join(f, ids, theta=True).count() > 0
 
 
+def test_substring_join_finds_ids_that_begin_other_ids(spark):
+    names = ["S_10001_Map1_x.txt", "S_2000_Map1_x.txt", "S_20001_Map1_x.txt", "copy of S_1000_x.txt", "S", None]
+    files, ids = spark.createDataFrame([(n,) for n in names], "file_name string"), spark.createDataFrame([("S_1000",), ("S_20001",), (None,)], "sample_id string")
+    want = ["S_10001_Map1_x.txt", "S_20001_Map1_x.txt", "copy of S_1000_x.txt"]
+    assert sorted(r[0] for r in metadata.substring_join(files, ids).collect()) == want
+    assert sorted(r[0] for r in metadata.substring_join(files, ids, theta=True).collect()) == want
+    assert metadata.substring_join(files, ids.where("false")).count() == 0
+    assert metadata.substring_join(files, spark.createDataFrame([("",)], "sample_id string")).count() == 5
+
+
 def test_tails():
     assert abs(tails.t_two_sided(2.0, 10) - 0.07338803) < 1e-7
     assert abs(tails.f_upper(4.0, 2, 20) - 0.03457161) < 1e-7
