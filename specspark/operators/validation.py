@@ -36,15 +36,15 @@ def _before(chain: list[str]) -> list[str]:
     return chain[: chain.index("emsc")] if "emsc" in chain else chain
 
 
-def _blocks(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], unit: str, cases: list[str], iterations: dict[str, list]) -> DataFrame:
+def _blocks(spectra: DataFrame, tests: DataFrame, chains: list[list[str]], unit: str, cases: list[str], iterations: dict[str, list]) -> DataFrame:
     """(variant, block, n, x binary, defined binary, y<j> binary, test<j> binary, spectrum_id, sample_id): rows in blocks.
 
     One variant for each start of a chain. y<j>: targets of case j, nan where it has none;
     test<j>: a bit for each row and iteration of case j.
     """
-    tests = draws.where("part = 'test'").groupBy(F.col(unit).alias("unit"), "case").agg(F.collect_list("iter").alias("iters"))
+    # merge joins: a map of iterations is far larger than what Spark takes it for before it has run
     tests = tests.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("case", "iters"))).alias("tests"))
-    rows = settled(spectra.select("spectrum_id", "sample_id", F.col(unit).alias("unit"), "x", "cases").join(tests, "unit", "left"), "rows")
+    rows = settled(spectra.select("spectrum_id", "sample_id", F.col(unit).alias("unit"), "x", "cases").join(tests.hint("merge"), "unit", "left"), "rows")
     shape = rows.agg(F.count("*"), F.max(F.size("x"))).first()
     most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, shape[1] or 1))))
     n_blocks = -(-shape[0] // most) or 1
@@ -273,15 +273,16 @@ def monte_carlo(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], u
         for step in chain:
             if step not in STEPS:
                 raise ValueError(f"unknown preprocessing step: {step}")
+    tests = settled(draws.where("part = 'test'").groupBy(F.col(unit).alias("unit"), "case").agg(F.collect_list("iter").alias("iters")), "tests")
     found: dict[str, list] = {}
-    for r in draws.select("case", "iter").distinct().collect():
+    for r in tests.select("case", F.explode("iters").alias("iter")).distinct().collect():
         found.setdefault(r["case"], []).append(r["iter"])
     cases, iterations = sorted(found), {c: sorted(x) for c, x in found.items()}
     kinds = dict(spectra.dtypes)
     schema = f"chain string, case string, iter {dict(draws.dtypes)['iter']}, spectrum_id {kinds['spectrum_id']}, sample_id {kinds['sample_id']}, y double, prediction double"
     if not cases:
         return spark.createDataFrame([], schema)
-    blocks = _blocks(spectra, draws, chains, unit, cases, iterations)
+    blocks = _blocks(spectra, tests, chains, unit, cases, iterations)
     variants = sorted({tuple(_before(c)) for c in chains})
     groups = []
     for chain in chains:
