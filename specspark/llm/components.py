@@ -26,3 +26,21 @@ def components(edges: DataFrame) -> DataFrame:
         if not labels.where("c <> old").head(1):
             return labels.select("v", "c")
         labels = labels.select("v", "c")
+
+
+def extended(found: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(v, c): the components of what `found(v, c)` comes from and of the new `edges(a, b)` together.
+
+    New edges are put between the components found before, so those that lie inside one go, and
+    edges of earlier rounds are not met again.
+    """
+    if found is None:
+        return components(edges)
+    of = lambda name: found.select(F.col("v").alias(name), F.col("c").alias(f"c_{name}"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    between = written(between.where("a <> b").distinct(), "between")
+    if not between.head(1):
+        return found
+    upper = written(components(between), "upper")
+    moved = found.join(upper.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", F.coalesce("up", "c").alias("c"))
+    return written(moved.unionByName(upper.join(found.select("v"), "v", "left_anti")), "components")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, few_tasks, mix64, release, signed, text_steps, window_hashes, with_row_keys, written
-from .components import components
+from .components import extended
 
 SIGNATURE, TREES, BASE_DEPTH, DEPTH = 128, 16, 4, 16
 REGION, NEIGHBOURS = 16, 2
@@ -435,7 +435,7 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
     release(spark)
     of = lambda table, column, name: table.select(F.col("v").alias(name), F.col(column).alias(f"{column}_{name}"))
     left = written(few_tasks(pairs.join(of(degree, "degree", "a"), "a").join(of(degree, "degree", "b"), "b"), n_pairs), "pairs")
-    links, found = None, None
+    found = None
     for tries in ROUNDS if left.head(1) else ():
         likely = (F.col("same") >= percent * SIGNATURE / 100).alias("likely")
         ways = left.select(F.col("a").alias("v"), F.struct(likely, F.col("degree_b").alias("degree"), "same", F.col("b").alias("u")).alias("r")).unionByName(
@@ -448,9 +448,8 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
             chosen = best.select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
         chosen = written(few_tasks(chosen, n_pairs), "chosen")
         new = written(confirm(chosen, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        if links.head(1):
-            found = components(links)
+        if new.head(1):
+            found = extended(found, new)
             left = left.join(of(found, "c", "a"), "a", "left").join(of(found, "c", "b"), "b", "left")
             left = left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
         if tries is not None:
@@ -473,10 +472,7 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
 
     def linked(chosen):
         new = written(confirm(chosen, sets, percent), "links")
-        if not new.head(1):
-            return links, found
-        all_links = new if links is None else links.unionByName(new)
-        return all_links, components(all_links)
+        return extended(found, new) if new.head(1) else found
 
     # components are looked up once for a row or an original, not once for each of their pairs
     pairs_of = with_part(originals(split).groupBy("v").agg(F.collect_list("u").alias("us")), "v").select("v", "part_v", F.explode("us").alias("u"))
@@ -484,7 +480,7 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
     first = alike(pairs_of.join(heads, "u").where("part_v <> part_u").select("v", "u"), sketched, least)
     best = first.groupBy("v").agg(F.max(F.struct("same", "u")).alias("r")).select(F.least("v", "r.u").alias("a"), F.greatest("v", "r.u").alias("b")).distinct()
     chosen = written(few_tasks(best.join(pairs, ["a", "b"], "left_anti"), split.count()), "chosen")
-    links, found = linked(chosen)
+    found = linked(chosen)
     tried = pairs.select("a", "b").unionByName(chosen)
     release(spark)
     place = F.shiftleft(F.col("tree").cast("long"), 8 * BASE_DEPTH) + F.conv(F.hex(F.substring("label", 1, BASE_DEPTH)), 16, 10).cast("long")
@@ -497,7 +493,7 @@ def link_components(docs: DataFrame, reps: DataFrame, size: int, percent: int) -
         rest = written(search.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
         release(spark)
         if rest.head(1):
-            links, found = linked(rest)
+            found = linked(rest)
             tried = tried.unionByName(rest)
         again = search.where("a is null").select("place").distinct()
         if not again.head(1):

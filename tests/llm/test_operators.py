@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from specspark.llm import contamination, language, language_model, licenses, mixing, near_duplicates, quality, queries, sharding, substring_dedup, suffix_dedup
 from specspark.llm.common import Words, doc_remainder, with_row_keys
-from specspark.llm.components import components
+from specspark.llm.components import components, extended
 
 SF = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -695,6 +695,18 @@ def test_components_of_a_long_path(spark):
     assert set(got.values()) == {0, 100} and len(got) == 43
 
 
+def test_components_extended_by_new_edges_equal_those_of_all_edges(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (90, 2)) if a != b]
+    table_of = lambda part: spark.createDataFrame(part, "a long, b long")
+    found = None
+    for part in (rows[:30], rows[:5], rows[30:33], rows[33:]):
+        found = extended(found, table_of(part))
+    want = {(r["v"], r["c"]) for r in components(table_of(rows)).collect()}
+    got = [(r["v"], r["c"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("shared", [0, 400, 700, 800, 950, 1000])
 def test_sketches_estimate_the_similarity(spark, shared):
     rng = np.random.default_rng(shared)
