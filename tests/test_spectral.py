@@ -302,6 +302,17 @@ def test_substring_join_finds_ids_that_begin_other_ids(spark):
     assert metadata.substring_join(files, spark.createDataFrame([("",)], "sample_id string")).count() == 5
 
 
+def test_pairs_of_two_blocks_come_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"S_{k:03d}", rng.normal(size=6).tolist(), float(k % 7)) for k in range(90)]
+    df = spark.createDataFrame(rows, "sample_id string, x array<double>, y double")
+    monkeypatch.setattr(distances, "PAIRS", 500)
+    got = {(r["a"], r["b"]): r["dx"] for r in distances.pairwise_distance(df).collect()}
+    x = {r[0]: np.array(r[1]) for r in rows}
+    assert len(got) == 90 * 89 // 2
+    assert all(abs(d - np.linalg.norm(x[a] - x[b])) < 1e-9 for (a, b), d in got.items())
+
+
 def test_tails():
     assert abs(tails.t_two_sided(2.0, 10) - 0.07338803) < 1e-7
     assert abs(tails.f_upper(4.0, 2, 20) - 0.03457161) < 1e-7
