@@ -325,3 +325,26 @@ def test_pls_of_constant_columns():
     z = np.column_stack([np.ones(6), np.ones(6), np.arange(6.0), np.arange(6.0) * 2])
     coef, base = pls(Moments(z.T @ z), 2)
     assert np.allclose(coef[:, 0], [0, 2]) and np.allclose(base, 0)
+
+
+def test_a_deep_forest_is_grown_in_groups_of_trees(table, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    grown, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, *a: grown.append((self.getNumTrees(), self.getSeed())) or fit(self, *a))
+    rows = table.withColumn("x", F.when(F.col("spectrum_id") != 7, F.col("x")))
+    forest = lambda **o: models.tree_regression("forest", rows, rows, [(0, 5), (10, 20)], maxDepth=30, **o)
+    forest(numTrees=6)
+    assert grown == [(6, 42)]
+    monkeypatch.setattr(models, "TREE_NODES", 800)  # a tree of 179 rows has 358 nodes at most
+    found, importance = forest(numTrees=5)
+    assert grown[1:] == [(2, 42), (2, 43), (1, 44)] and np.isclose(sum(importance), 1) and len(importance) == 2
+    got = {r["spectrum_id"]: r["pred"] for r in found.collect()}
+    assert set(got) == set(range(180)) - {7} and set(found.columns) == {*rows.columns, "pred"}
+    vectors = models._features(rows.where("x is not null"), [(0, 5), (10, 20)])
+    total = np.zeros(180)
+    for trees, seed in grown[1:]:
+        one = fit(RandomForestRegressor(labelCol="y", numTrees=trees, seed=seed, maxDepth=30, featureSubsetStrategy="onethird"), vectors.select("features", "y").coalesce(1))
+        for r in one.transform(vectors).collect():
+            total[r["spectrum_id"]] += trees * r["prediction"] / 5
+    assert all(np.isclose(v, total[k]) for k, v in got.items())
