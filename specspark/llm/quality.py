@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, word_array, written
 
-#: The references come from at most SLOTS labelled texts a language, PIECE characters of each from a place that its hash chooses.
-SLOTS, PIECE = 256, 2000
-#: Common words in a reference; languages with fewer sample texts than MIN_TEXTS, or beyond the MAX_LANGUAGES with most of them, use the reference of all languages.
-COMMON, MIN_TEXTS, MAX_LANGUAGES = 24, 20, 512
+#: Common words in a reference; languages with fewer labelled texts than MIN_TEXTS use the reference of all languages.
+COMMON, MIN_TEXTS = 24, 20
+#: Words and characters of which a longer text of a reference weighs; parts of a weight of 1.
+TEXT_WORDS, TEXT_CHARS, UNIT = 300, 2000, 1 << 24
+#: Up to so many references their words and languages are literals of the query; beyond, texts meet them by joins alone.
+MAX_LISTED = 512
 #: Parts of a language's words that are ranked by themselves first.
 RANKED_PARTS = 64
 #: Symbols that count as noise; words of a repetition window; the base rules' limits.
@@ -27,7 +29,7 @@ MIN_JUDGED_WORDS = 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.34
 #: Character classes in the order in which they are taken out of a text; what is left is the last class.
 CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "space": r"[\x20\x09-\x0D]+", "digit": "[0-9]+", "other_script": r"[^\x00-\x7F]+"}
-ALL = "*"
+SPACE, ALL = list(CLASSES).index("space"), "*"
 
 
 def with_classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,33 +62,43 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """(ref_lang, texts, common, ref_words, ref_classes) of each language of `docs(doc_id, text, lang)`, and of all together under `*`."""
-    place = (F.lit(1) + F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.greatest(F.lit(1), F.length("text") - PIECE + 1))).cast("int")
-    sample = (
-        docs.where(F.col("lang").isNotNull() & (F.btrim("text", F.lit(SPACES)) != ""))
-        .select("lang", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SLOTS)).alias("slot"), F.xxhash64(F.lit(4), "doc_id", "text").alias("h"), F.substring(F.col("text"), place, F.lit(PIECE)).alias("piece"))
-        .groupBy("lang", "slot")
-        .agg(F.min_by("piece", F.struct("h", "piece")).alias("piece"))
-    )
-    sample = written(sample, "sample")  # at most SLOTS short rows a language
-    enough = sample.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    rows = sample.join(enough, "lang", "left_semi").select("lang", "piece").unionByName(sample.select(F.lit(ALL).alias("lang"), "piece"))
-    classes = with_classes(rows, "piece").select("lang", F.posexplode("class_counts").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    classes = classes.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("n")).select("lang", _share(F.col("n")).alias("ref_classes"))
-    words = rows.select("lang", F.explode(word_array(F.col("piece"))).alias("word")).groupBy("lang", "word").agg(F.count("*").cast("double").alias("n"))
-    words = written(words, "words")
+    """(ref_lang, common, ref_words, ref_classes) of each language of `docs(text, lang)`, and of all together under `*`.
+
+    All words and characters of every labelled text count; those of a text longer than
+    TEXT_WORDS or TEXT_CHARS count for less, so that it weighs as one of that size and no single
+    text makes the reference. Weights are whole numbers of 1 / UNIT, so sums do not depend on
+    their order. The words are counted once; the classes come from the distinct words, and what
+    words leave of the texts' lengths is white space.
+    """
+
+    def weight(most: int, size: Column) -> Column:
+        return F.when(size <= most, F.lit(UNIT)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(UNIT * most) / size))).cast("long")
+
+    labelled = docs.where(F.col("lang").isNotNull() & (F.btrim("text", F.lit(SPACES)) != "")).select("lang", "text", F.length("text").cast("long").alias("chars")).withColumn("by_char", weight(TEXT_CHARS, F.col("chars")))
+    texts = labelled.groupBy("lang").agg(F.count("*").alias("texts"), F.sum(F.col("chars") * F.col("by_char")).alias("chars"))
+    texts = written(texts, "texts")  # one row a language
+    tokens = labelled.select("lang", "by_char", word_array(F.col("text")).alias("w")).select("lang", "by_char", weight(TEXT_WORDS, F.size("w")).alias("by_word"), F.explode("w").alias("word"))
+    words = written(tokens.groupBy("lang", "word").agg(F.sum("by_word").alias("n"), F.sum("by_char").alias("m")), "words")
+    enough = texts.where((F.col("texts") >= MIN_TEXTS) & (F.col("lang") != ALL)).select("lang")
+    everything = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select(F.lit(ALL).alias("lang"), "word", "n", "m")
+    rows = written(words.join(enough, "lang", "left_semi").select("lang", "word", "n", "m").unionByName(everything), "ranked")
+    chars = texts.join(enough, "lang", "left_semi").select("lang", "chars").unionByName(texts.select(F.lit(ALL).alias("lang"), "chars"))
+    chars = chars.groupBy("lang").agg(F.sum("chars").alias("chars"))
+    counts = [F.sum(F.col("m") * F.col("class_counts")[i].cast("long")).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    counted = with_classes(rows, "word").groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("m") * F.length("word")).alias("inside"), *counts)
+    sizes = [(F.col("chars") - F.col("inside") if i == SPACE else F.col(f"c{i}")).cast("double") for i in range(len(CLASSES) + 1)]
+    classes = counted.join(chars, "lang").select("lang", "total", _share(F.array(*sizes)).alias("ref_classes"))
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))
-    parts = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(RANKED_PARTS))).withColumn("r", first("lang", "part")).where(F.col("r") <= COMMON)
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(RANKED_PARTS))).withColumn("r", first("lang", "part")).where(F.col("r") <= COMMON)
     top = (
         parts.withColumn("r", first("lang"))
         .where(F.col("r") <= COMMON)
-        .join(words.groupBy("lang").agg(F.sum("n").alias("total")), "lang")
         .groupBy("lang")
-        .agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"), F.first("total").alias("total"))
-        .select("lang", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("f"))
-        .select("lang", "common", F.concat("f", F.array(F.lit(1.0) - F.aggregate("f", F.lit(0.0), lambda a, x: a + x))).alias("ref_words"))
+        .agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
+        .join(classes, "lang")
+        .select("lang", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("f"), "ref_classes")
     )
-    return top.join(classes, "lang").withColumnRenamed("lang", "ref_lang")
+    return top.select(F.col("lang").alias("ref_lang"), "common", F.concat("f", F.array(F.lit(1.0) - F.aggregate("f", F.lit(0.0), lambda a, x: a + x))).alias("ref_words"), "ref_classes")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -105,7 +117,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "class_counts",
         "n_symbols",
         F.size("w").cast("long").alias("n_words"),
-        (F.col("n_chars") - F.col("class_counts")[list(CLASSES).index("space")]).cast("long").alias("word_chars"),
+        (F.col("n_chars") - F.col("class_counts")[SPACE]).cast("long").alias("word_chars"),
         F.when(F.size("lines") > 1, F.filter("lines", lambda x: F.btrim(x, F.lit(SPACES)) != "")).otherwise(F.array().cast("array<string>")).alias("lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("u"),
     )
@@ -143,15 +155,19 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     reference: compared with all languages together. Without any labelled text there are no
     distances and the base rules alone decide. Repeated rows give repeated results; other
     columns are ignored; an empty table gives an empty result. `refs` has one short row a
-    language, at most MAX_LANGUAGES and that of all, and is written first, so its size decides
-    how it is joined.
+    language and one of all, and is written first, so its size decides how it is joined.
     """
     refs = written(references(docs) if refs is None else refs, "references")
-    known = refs.select("ref_lang", "common").collect()  # bounded by MAX_LANGUAGES rows of COMMON words
-    langs, common = [r[0] for r in known if r[0] != ALL], sorted({x for r in known for x in r[1]})
-    key = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(ALL) if langs else F.lit(ALL)
-    step = measures(docs).withColumn("ref_lang", key)
-    step = step.withColumn("w", F.when(F.col("n_words") >= MIN_JUDGED_WORDS, F.filter("w", lambda x: x.isin(common)))) if common else step.drop("w").withColumn("w", F.array().cast("array<string>"))
+    known = refs.select("ref_lang", "common").limit(MAX_LISTED + 1).collect()
+    step = measures(docs)
+    if len(known) <= MAX_LISTED:
+        langs, common = [r[0] for r in known if r[0] != ALL], sorted({x for r in known for x in r[1]})
+        step = step.withColumn("ref_lang", F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(ALL) if langs else F.lit(ALL))
+        own = F.filter("w", lambda x: x.isin(common)) if common else F.array().cast("array<string>")
+    else:
+        step = step.join(refs.where(F.col("ref_lang") != ALL).select(F.col("ref_lang").alias("lang"), "ref_lang"), "lang", "left").withColumn("ref_lang", F.coalesce("ref_lang", F.lit(ALL)))
+        own = F.col("w")
+    step = step.withColumn("w", F.when(F.col("n_words") >= MIN_JUDGED_WORDS, own))
     step = step.join(refs, "ref_lang", "left")
     judged = (F.col("n_words") >= MIN_JUDGED_WORDS) & F.col("common").isNotNull()
     step = step.withColumn("hits", F.when(judged, F.array_remove(F.transform("w", lambda x: F.array_position("common", x).cast("int")), F.lit(0))))

@@ -335,6 +335,34 @@ def test_quality_distances_by_brute_force(spark):
         assert r["kept"] == (not r["base_failed"] and r["class_distance"] <= quality.MAX_CLASS_DISTANCE and r["word_distance"] <= quality.MAX_WORD_DISTANCE)
 
 
+def test_quality_references_count_every_labelled_text(spark, monkeypatch):
+    docs = [(i, " ".join(f"{'Wört' if (i * k) % 7 else 'it-3'}{(i * 31 + k * k) % 40}" for k in range(500)) + "\t \n", "en", "a") for i in range(300)]
+    docs += [(1000 + i, f"zz {i} " * 30 + "#x" * (i % 3), "de" if i < 25 else "fr", "a") for i in range(30)] + [(2000 + i, f"star {i} " * 40, "*", "a") for i in range(30)]
+    docs += [(3000, "unlabelled " * 60, None, "a"), (3001, " ", "en", "a"), (3002, None, "en", "a")]
+    docs = table(spark, docs)
+    got = {r["ref_lang"]: r for r in quality.references(docs).collect()}
+    assert set(got) == {"en", "de", "*"}
+    rows = docs.collect()
+    for lang, ref in got.items():
+        own = [r["text"] for r in rows if r["text"] and r["text"].strip() and r["lang"] and lang in ("*", r["lang"])]
+        words, classes = collections.Counter(), np.zeros(6)
+        for t in own:
+            w = re.findall(SPACE, t)
+            for x in w:
+                words[x] += min(1, 300 / len(w))
+            sizes = [len(re.findall(x, t)) for x in ("[a-z]", "[A-Z]", r"[\x20\x09-\x0D]", "[0-9]", r"[^\x00-\x7F]")]
+            classes += np.array([*sizes, len(t) - sum(sizes)]) * min(1, 2000 / len(t))
+        best = sorted(words.items(), key=lambda x: (-round(x[1], 3), x[0]))[: quality.COMMON]
+        assert list(ref["common"]) == [w for w, _ in best]
+        shares = [n / sum(words.values()) for _, n in best]
+        assert np.allclose(ref["ref_words"], [*shares, 1 - sum(shares)], rtol=1e-4)
+        assert np.allclose(ref["ref_classes"], classes / classes.sum(), rtol=1e-4)
+    columns = ["doc_id", "class_distance", "word_distance", "base_failed", "kept"]
+    listed = sorted(map(tuple, quality.judge(docs).select(columns).collect()))
+    monkeypatch.setattr(quality, "MAX_LISTED", 1)
+    assert sorted(map(tuple, quality.judge(docs).select(columns).collect())) == listed and len(listed) == len(rows)
+
+
 def test_quality_without_labels_or_rows(spark):
     got = quality.judge(table(spark, [(1, "one two three four five six seven eight nine ten eleven", None, "a")])).collect()
     assert got[0]["kept"] and got[0]["class_distance"] is None
