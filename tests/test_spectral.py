@@ -348,3 +348,35 @@ def test_a_deep_forest_is_grown_in_groups_of_trees(table, monkeypatch):
         for r in one.transform(vectors).collect():
             total[r["spectrum_id"]] += trees * r["prediction"] / 5
     assert all(np.isclose(v, total[k]) for k, v in got.items())
+
+
+def test_chain_of_filters_is_one_python_pass_with_the_same_result(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 64)).cumsum(axis=1) + 5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, [0.0] * 64), (91, None), (92, rng.normal(size=70).tolist()), (93, [float(k * k) for k in range(64)])]
+    df = spark.createDataFrame(rows, "id long, intensity array<double>").coalesce(1)
+    raw = {r["id"]: r["intensity"] for r in df.collect()}
+    for steps in (["baseline", "snv", "baseline", "second_derivative"], ["baseline", "normalize", "second_derivative"], ["normalize", "baseline", "snv", "second_derivative", "emsc", "baseline"]):
+        step_by_step = df
+        for step in steps:  # one step at a time: each filter by itself
+            step_by_step = spectral.preprocess_chain(step_by_step, [step])
+        whole = spectral.preprocess_chain(df, steps)
+        want = {r["id"]: r["intensity"] for r in step_by_step.collect()}
+        got = {r["id"]: r["intensity"] for r in whole.collect()}
+        assert set(got) == set(raw) and got[91] is None
+        for k in raw:
+            assert (got[k] is None) == (want[k] is None), (steps, k)
+            assert got[k] is None or np.allclose(got[k], want[k], atol=1e-9), (steps, k)
+    one = spectral.preprocess_chain(df, ["baseline", "snv", "baseline", "second_derivative"])._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("ArrowEvalPython") == 1
+    block = spectral.BLOCK
+    spectral.BLOCK = 200  # blocks of a few spectra, in this process
+    try:
+        import pyarrow as pa
+
+        f = spectral.savgol(11, 2, 2).func
+        (out,) = f(iter([pa.array([raw[k] for k in raw], pa.list_(pa.float64())).slice(3)]))
+        for k, y in zip(list(raw)[3:], out.to_pylist(), strict=True):
+            assert y is None if raw[k] is None else np.allclose(y, spectral.savgol_matrix(len(raw[k]), 11, 2, 2) @ raw[k])
+    finally:
+        spectral.BLOCK = block
