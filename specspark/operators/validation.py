@@ -23,8 +23,8 @@ from specspark.functions.spectral import STEPS, preprocess_chain, savgol_matrix
 
 from .shared import settled
 
-#: Rows and bytes of a block; cells of a group; bytes of the vectors of one round.
-BLOCK_ROWS, BLOCK_BYTES, GROUP, ROUND_BYTES = 4096, 16 << 20, 256, 64 << 20
+#: Rows and bytes of a block, and rows that are worth one of their own; cells of a group; bytes of the vectors of one round.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS, GROUP, ROUND_BYTES = 4096, 16 << 20, 64, 256, 64 << 20
 
 
 def name_of(chain: list[str]) -> str:
@@ -37,30 +37,37 @@ def _before(chain: list[str]) -> list[str]:
 
 
 def _blocks(spectra: DataFrame, tests: DataFrame, chains: list[list[str]], unit: str, cases: list[str], iterations: dict[str, list]) -> DataFrame:
-    """(variant, block, n, x binary, defined binary, y<j> binary, test<j> binary, spectrum_id, sample_id): rows in blocks.
+    """(block, n, x<v> binary, defined<v> binary, y<j> binary, test<j> binary, spectrum_id, sample_id): rows in blocks, once.
 
-    One variant for each start of a chain. y<j>: targets of case j, nan where it has none;
-    test<j>: a bit for each row and iteration of case j.
+    x<v>: the rows after the steps of start v of a chain. y<j>: targets of case j, nan where it has
+    none; test<j>: a bit for each row and iteration of case j. The spectra of a sample lie together,
+    but for samples of more than an eighth of a block; few rows lie in blocks enough for all cores.
     """
     # merge joins: a map of iterations is far larger than what Spark takes it for before it has run
-    tests = tests.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("case", "iters"))).alias("tests"))
     rows = settled(spectra.select("spectrum_id", "sample_id", F.col(unit).alias("unit"), "x", "cases").join(tests.hint("merge"), "unit", "left"), "rows")
     shape = rows.agg(F.count("*"), F.max(F.size("x"))).first()
     most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, shape[1] or 1))))
-    n_blocks = -(-shape[0] // most) or 1
-    variants, out = sorted({tuple(_before(c)) for c in chains}), None
+    tasks = 2 * spectra.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(-(-shape[0] // most), min(tasks, -(-shape[0] // LEAST_ROWS))) or 1
+    large = rows.groupBy("sample_id").agg(F.count("*").alias("large")).where(F.col("large") > max(1, most // 8))
+    together = F.col("large").isNull() & F.col("sample_id").isNotNull()
+    place = F.when(together, F.xxhash64("sample_id")).otherwise(F.xxhash64("spectrum_id"))
+    dealt = rows.join(F.broadcast(large), "sample_id", "left").withColumn("block", F.pmod(place, F.lit(n_blocks)).cast("int"))
+    dealt = dealt.drop("large", "unit").repartition(max(tasks, n_blocks // 8), "block")  # before the steps: only x as it is moves
+    variants, points = sorted({tuple(_before(c)) for c in chains}), shape[1] or 0
     for v, steps in enumerate(variants):
-        one = preprocess_chain(rows, list(steps), "x").withColumn("variant", F.lit(v))
-        out = one if out is None else out.unionByName(one)
-    dealt = out.withColumn("block", F.pmod(F.xxhash64("spectrum_id"), F.lit(n_blocks)).cast("int"))
-    kinds, points = dict(spectra.dtypes), shape[1] or 0
+        dealt = preprocess_chain(dealt.withColumn(f"x{v}", F.col("x")), list(steps), f"x{v}")
+    dealt, kinds = dealt.drop("x"), dict(spectra.dtypes)
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        defined = pdf.x.notna().to_numpy()
-        x = np.zeros((len(pdf), points))
-        if defined.any():
-            x[defined] = np.stack(pdf.x[defined].to_list())
-        row = {"variant": key[0], "block": key[1], "n": len(pdf), "x": x.tobytes(), "defined": defined.tobytes(), "spectrum_id": pdf.spectrum_id.to_numpy(), "sample_id": pdf.sample_id.to_numpy()}
+        row = {"block": key[0], "n": len(pdf), "spectrum_id": pdf.spectrum_id.to_numpy(), "sample_id": pdf.sample_id.to_numpy()}
+        for v in range(len(variants)):
+            own = pdf[f"x{v}"]
+            defined = own.notna().to_numpy()
+            x = np.zeros((len(pdf), points))
+            if defined.any():
+                x[defined] = np.stack(own[defined].to_list())
+            row |= {f"x{v}": x.tobytes(), f"defined{v}": defined.tobytes()}
         for j, case in enumerate(cases):
             at = {it: k for k, it in enumerate(iterations[case])}
             held = np.zeros((len(pdf), len(at)), bool)
@@ -72,28 +79,28 @@ def _blocks(spectra: DataFrame, tests: DataFrame, chains: list[list[str]], unit:
             row |= {f"y{j}": np.array([np.nan if v is None else v for v in known], float).tobytes(), f"test{j}": np.packbits(held, axis=1).tobytes()}
         return pd.DataFrame([row])
 
+    per_start = ", ".join(f"x{v} binary, defined{v} binary" for v in range(len(variants)))
     per_case = ", ".join(f"y{j} binary, test{j} binary" for j in range(len(cases)))
-    schema = f"variant int, block int, n int, x binary, defined binary, spectrum_id array<{kinds['spectrum_id']}>, sample_id array<{kinds['sample_id']}>, {per_case}"
-    return settled(dealt.groupBy("variant", "block").applyInPandas(pack, schema), "blocks")
+    schema = f"block int, n int, spectrum_id array<{kinds['spectrum_id']}>, sample_id array<{kinds['sample_id']}>, {per_start}, {per_case}"
+    return settled(dealt.groupBy("block").applyInPandas(pack, schema), "blocks")
 
 
 class _Rows:
-    """A block of rows under the cells of a group: every row is a * u + b * e."""
+    """The rows `of` a block that have a target under the cells of a group: every row is a * u + b * e."""
 
     def __init__(self, row, group: dict, reference: np.ndarray | None):
-        n, j = int(row.n), group["case_no"]
-        x = np.frombuffer(row.x).reshape(n, -1)
+        n, j, v = int(row.n), group["case_no"], group["variant"]
         y = np.frombuffer(getattr(row, f"y{j}"))
+        self.of = np.nonzero(~np.isnan(y))[0]
+        x = np.frombuffer(getattr(row, f"x{v}")).reshape(n, -1)[self.of]
         width = group["iterations"]
-        held = np.unpackbits(np.frombuffer(getattr(row, f"test{j}"), np.uint8).reshape(n, -1), axis=1)[:, :width].astype(bool)[:, group["lo"] : group["hi"]]
-        self.defined = np.repeat(np.frombuffer(row.defined, bool)[:, None], held.shape[1], axis=1)
-        self.u, self.e, self.y = x, np.zeros(x.shape[1]), np.nan_to_num(y)
+        self.test = np.unpackbits(np.frombuffer(getattr(row, f"test{j}"), np.uint8).reshape(n, -1)[self.of], axis=1)[:, :width].astype(bool)[:, group["lo"] : group["hi"]]
+        self.defined = np.repeat(np.frombuffer(getattr(row, f"defined{v}"), bool)[self.of, None], self.test.shape[1], axis=1)
+        self.u, self.e, self.y = x, np.zeros(x.shape[1]), y[self.of]
         self.a = self.b = None
         if reference is not None:
             self._emsc(reference, group["after"])
-        known = ~np.isnan(y)[:, None]
-        self.train = (known & ~held & self.defined).astype(float)
-        self.test = known & held
+        self.train = (~self.test & self.defined).astype(float)
 
     def _emsc(self, reference: np.ndarray, after: list[str]) -> None:
         u, e = self.u - self.u.mean(axis=1, keepdims=True), np.ones(self.u.shape[1])
@@ -160,35 +167,24 @@ def _sums(blocks: DataFrame, groups: list[dict], vectors: list[dict], kind: str)
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                found = part(row, all_groups[row.group], all_vectors[row.group])
-                sums[row.group] = sums[row.group] + found if row.group in sums else found
+                for k, (group, own) in enumerate(zip(all_groups, all_vectors, strict=True)):
+                    found = part(row, group, own)
+                    sums[k] = sums[k] + found if k in sums else found
         yield pd.DataFrame({"group": list(sums), "sums": [x.tobytes() for x in sums.values()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"group": pdf.group[:1], "sums": [np.sum([np.frombuffer(x) for x in pdf.sums], axis=0).tobytes()]})
 
     schema = "group int, sums binary"
-    found = _met(blocks, groups).mapInPandas(run, schema).groupBy("group").applyInPandas(add, schema).collect()
+    # each task has sums of every group, so there are only as many tasks as cores
+    found = blocks.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(run, schema).groupBy("group").applyInPandas(add, schema).collect()
+    shared.unpersist()
     out: list = [None] * len(groups)
     for r in found:
         out[r["group"]] = np.frombuffer(r["sums"]).reshape(groups[r["group"]]["hi"] - groups[r["group"]]["lo"], -1)
     return out
 
 
-def _met(blocks: DataFrame, groups: list[dict]) -> DataFrame:
-    """Every block with the number of each group of its variant; few blocks are dealt out by group, so that all cores have work."""
-    by_variant: dict[int, list[int]] = {}
-    for k, g in enumerate(groups):
-        by_variant.setdefault(g["variant"], []).append(k)
-    number = None
-    for v, own in by_variant.items():
-        own = F.array(*[F.lit(k) for k in own])
-        number = F.when(F.col("variant") == v, own) if number is None else number.when(F.col("variant") == v, own)
-    met = blocks.withColumn("group", F.explode(number))
-    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
-    return met.repartition(tasks, "group", "block") if blocks.rdd.getNumPartitions() < tasks else met
-
-
 def _rounds(groups: list[dict], points: int):
     """Groups whose vectors together have ROUND_BYTES at most, one group at least."""
     most = max(GROUP, ROUND_BYTES // (8 * 4 * max(1, points)))
@@ -268,18 +264,58 @@ def monte_carlo(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], u
     that a chain leaves undefined (constant under SNV, slope 0 under EMSC) takes no part in
     training, and its prediction is null; a cell with fewer than two training rows has no rows.
     """
+
+    def listed(row, group, rows, p, tested, iters):
+        i, c = np.nonzero(tested)
+        prediction = pd.Series(p[i, c]).astype(object).where(np.isfinite(p[i, c]), None)
+        return {"iter": iters[c], "spectrum_id": row.spectrum_id[rows.of[i]], "sample_id": row.sample_id[rows.of[i]], "y": rows.y[i], "prediction": prediction}
+
+    kinds = dict(spectra.dtypes)
+    schema = f"chain string, case string, iter {dict(draws.dtypes)['iter']}, spectrum_id {kinds['spectrum_id']}, sample_id {kinds['sample_id']}, y double, prediction double"
+    return _predicted(spectra, draws, chains, unit, components, schema, listed)
+
+
+def monte_carlo_summary(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], unit: str, components: int = 5) -> DataFrame:
+    """(chain, case, spectrum_id, sample_id, y, pred, pred_std) of every spectrum that an iteration tested: mean and deviation of its predictions in `monte_carlo`.
+
+    The predictions are summed up where they are made, so no row for each of them is moved; only
+    iterations that do not fit one group of cells meet in a shuffle.
+    """
+
+    def summed(row, group, rows, p, tested, iters):
+        valid = tested & np.isfinite(p)
+        n, safe = valid.sum(axis=1), np.where(valid, p, 0.0)
+        mean = safe.sum(axis=1) / np.maximum(n, 1)
+        off = (np.where(valid, p - mean[:, None], 0.0) ** 2).sum(axis=1)
+        i = np.nonzero(tested.any(axis=1))[0]
+        return {"spectrum_id": row.spectrum_id[rows.of[i]], "sample_id": row.sample_id[rows.of[i]], "y": rows.y[i], "n": n[i], "mean": mean[i], "off": off[i]}
+
+    kinds = dict(spectra.dtypes)
+    schema = f"chain string, case string, spectrum_id {kinds['spectrum_id']}, sample_id {kinds['sample_id']}, y double, n long, mean double, off double"
+    found = _predicted(spectra, draws, chains, unit, components, schema, summed)
+    keys, n = ("chain", "case", "spectrum_id", "sample_id"), F.col("n")
+    if draws.select("iter").distinct().count() > GROUP:
+        # squares about the common mean: those about the own ones and those of the means
+        met = found.groupBy(*keys).agg(F.first("y").alias("y"), F.sum("n").alias("n"), F.sum(n * F.col("mean")).alias("s"), F.sum("off").alias("off"), F.collect_list(F.struct("n", "mean")).alias("each"))
+        met = met.withColumn("mean", F.col("s") / F.greatest(n, F.lit(1)))
+        between = F.aggregate("each", F.lit(0.0), lambda a, g: a + g["n"] * (g["mean"] - F.col("mean")) * (g["mean"] - F.col("mean")))
+        found = met.withColumn("off", F.col("off") + between)
+    return found.select(*keys, "y", F.when(n > 0, F.col("mean")).alias("pred"), F.when(n > 0, F.sqrt(F.col("off") / n)).alias("pred_std"))
+
+
+def _predicted(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], unit: str, components: int, schema: str, rows_of) -> DataFrame:
+    """What `rows_of` makes of the predictions of each block and group of cells."""
     spark = spectra.sparkSession
     for chain in chains:
         for step in chain:
             if step not in STEPS:
                 raise ValueError(f"unknown preprocessing step: {step}")
-    tests = settled(draws.where("part = 'test'").groupBy(F.col(unit).alias("unit"), "case").agg(F.collect_list("iter").alias("iters")), "tests")
+    tests = draws.where("part = 'test'").groupBy(F.col(unit).alias("unit"), "case").agg(F.collect_list("iter").alias("iters"))
+    tests = settled(tests.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("case", "iters"))).alias("tests")), "tests")
     found: dict[str, list] = {}
-    for r in tests.select("case", F.explode("iters").alias("iter")).distinct().collect():
+    for r in tests.select(F.explode("tests").alias("case", "iters")).select("case", F.explode("iters").alias("iter")).distinct().collect():
         found.setdefault(r["case"], []).append(r["iter"])
     cases, iterations = sorted(found), {c: sorted(x) for c, x in found.items()}
-    kinds = dict(spectra.dtypes)
-    schema = f"chain string, case string, iter {dict(draws.dtypes)['iter']}, spectrum_id {kinds['spectrum_id']}, sample_id {kinds['sample_id']}, y double, prediction double"
     if not cases:
         return spark.createDataFrame([], schema)
     blocks = _blocks(spectra, tests, chains, unit, cases, iterations)
@@ -291,25 +327,23 @@ def monte_carlo(spectra: DataFrame, draws: DataFrame, chains: list[list[str]], u
             for lo in range(0, len(iterations[case]), GROUP):
                 hi = min(lo + GROUP, len(iterations[case]))
                 groups.append({"chain": name_of(chain), "variant": variants.index(tuple(start)), "emsc": "emsc" in chain, "after": chain[len(start) + 1 :], "case": case, "case_no": j, "iterations": len(iterations[case]), "lo": lo, "hi": hi})
-    first = blocks.select(F.max(F.length("x") / (8 * F.col("n")))).first()[0]
+    first = blocks.select(F.max(F.length("x0") / (8 * F.col("n")))).first()[0]
     out = None
     for own in _rounds(groups, int(first or 1)):
         models = _models(blocks, own, components)
         shared = spark.sparkContext.broadcast((own, models))
 
         def run(batches, shared=shared):
-            all_groups, all_models = shared.value
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    group, model = all_groups[row.group], all_models[row.group]
-                    rows = _Rows(row, group, model["reference"])
-                    p = np.where(rows.defined, rows.times(model["weights"]) - model["offset"][None, :], np.nan)
-                    i, c = np.nonzero(rows.test & model["fitted"][None, :])
-                    if len(i):
-                        iters = np.array(iterations[group["case"]][group["lo"] : group["hi"]])
-                        prediction = pd.Series(p[i, c]).astype(object).where(np.isfinite(p[i, c]), None)
-                        yield pd.DataFrame({"chain": group["chain"], "case": group["case"], "iter": iters[c], "spectrum_id": row.spectrum_id[i], "sample_id": row.sample_id[i], "y": rows.y[i], "prediction": prediction})
-
-        part = _met(blocks, own).mapInPandas(run, schema)
+                    for group, model in zip(*shared.value, strict=True):
+                        rows = _Rows(row, group, model["reference"])
+                        tested = rows.test & model["fitted"][None, :]
+                        if tested.any():
+                            p = np.where(rows.defined, rows.times(model["weights"]) - model["offset"][None, :], np.nan)
+                            iters = np.array(iterations[group["case"]][group["lo"] : group["hi"]])
+                            yield pd.DataFrame({"chain": group["chain"], "case": group["case"], **rows_of(row, group, rows, p, tested, iters)})
+
+        part = blocks.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -109,3 +109,47 @@ def test_no_table_of_draws_is_joined_by_broadcast(spark, table):  # noqa: F811
         own = pdf[pdf.iter == it]
         order = sorted(own.sample_id, key=lambda k: (hashlib.md5(f"{k}_{it + 42}".encode()).hexdigest(), k))
         assert set(own[own.part == "test"].sample_id) == set(order[:600])
+
+
+@pytest.mark.parametrize("cells", [2, 256])
+def test_summary_is_that_of_the_listed_predictions(spark, table, cells, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(validation, "GROUP", cells)
+    rows = table.withColumn("x", F.when(F.col("spectrum_id").isin(4, 95), F.array_repeat(F.lit(2.0), 20)).otherwise(F.transform("x", lambda v, i: v + i)))
+    cases = with_cases(rows)
+    units = cases.select("spectrum_id", F.explode(F.map_keys("cases")).alias("case")).distinct()
+    draws = splits.mc_splits(units, "spectrum_id", 9, cases=("case",))
+    chains, keys = [["snv"], ["emsc", "snv"]], ["chain", "case", "spectrum_id", "sample_id"]
+    listed = validation.monte_carlo(cases, draws, chains, "spectrum_id", 2).groupBy(*keys).agg(F.first("y").alias("y"), F.avg("prediction").alias("pred"), F.stddev_pop("prediction").alias("pred_std"))
+    want = listed.toPandas().set_index(keys).sort_index()
+    got = validation.monte_carlo_summary(cases, draws, chains, "spectrum_id", 2).toPandas().set_index(keys).sort_index()
+    assert list(got.index) == list(want.index) and want.pred.isna().any() and len(want) > 300
+    assert all(np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True, atol=1e-9) for c in ("y", "pred", "pred_std"))
+
+
+def test_blocks_are_not_moved_again_for_the_groups_of_cells(spark, table):  # noqa: F811
+    cases = table.withColumn("cases", F.create_map(F.lit("all"), F.col("y")))
+    draws = splits.mc_splits(cases.select("sample_id").distinct().withColumn("case", F.lit("all")), "sample_id", 4, cases=("case",))
+    plan = validation.monte_carlo(cases, draws, [[], ["snv"], ["emsc"]], "sample_id", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_spectra_of_a_sample_lie_in_one_block_unless_it_is_large(spark, table, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(validation, "BLOCK_ROWS", 80)
+    odd = table.withColumn("sample_id", F.when(F.col("spectrum_id") < 63, "big").when(F.col("spectrum_id") >= 171, F.lit(None).cast("string")).otherwise(F.col("sample_id")))
+    cases = odd.withColumn("cases", F.create_map(F.lit("all"), F.col("y")))
+    tests = cases.select(F.col("spectrum_id").alias("unit"), F.create_map(F.lit("all"), F.array(F.lit(0))).alias("tests"))
+    pdf = validation._blocks(cases, tests, [[], ["snv"]], "spectrum_id", ["all"], {"all": [0]}).select("block", "n", F.explode("sample_id").alias("s")).toPandas()
+    spread = pdf.groupby("s").block.nunique()
+    assert len(pdf) == 180 and pdf.s.isna().sum() == 9 and spread["big"] > 1 and set(spread.drop("big")) == {1}
+
+
+def test_a_draw_of_many_units_counts_few_ranges_and_moves_no_draws(spark):
+    units = spark.range(5000).select(F.concat(F.lit("S_"), "id").alias("sample_id"), F.lit("all").alias("case"))
+    draws = splits.mc_splits(units, "sample_id", 2, cases=("case",))
+    pdf = draws.toPandas()
+    for it in (0, 1):
+        order = sorted(pdf[pdf.iter == it].sample_id, key=lambda k: (hashlib.md5(f"{k}_{it + 42}".encode()).hexdigest(), k))
+        assert set(pdf[(pdf.iter == it) & (pdf.part == "test")].sample_id) == set(order[:1000]) and len(order) == 5000
+    grouped = draws.where("part = 'test'").groupBy("sample_id", "case").agg(F.collect_list("iter").alias("iters"))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Window" not in plan  # the units by key, before they are drawn
